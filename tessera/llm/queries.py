@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash
+from tessera.llm import bagminhash, bytepair, leakage, splitting
 from tessera.runtime import table
 
 
@@ -23,6 +23,34 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicate_classes(chunks, "chunk_id", "text_content")
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2,000 characters of each oversized chunk."""
+    chunks = table(spark, sf_dir, "product_chunk_metadata")
+    pieces = splitting.split_texts(chunks, "chunk_id", "text_content", "kind", "updated_at")
+    return pieces.withColumnRenamed("record_id", "chunk_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oversized chunks, as the splitter met them."""
+    return p2_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_id")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document by byte_bpe_50k."""
+    return bytepair.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items they leak, how much of each, and where."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return leakage.leaked_items(docs, items, "doc_id", "text", "item_id", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items of which ten consecutive words occur in them."""
+    return p8_report(spark, sf_dir).select("doc_id", "item_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 

@@ -12,7 +12,10 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    low = text.lower()
+    if len(low) == len(text):
+        return WORD.findall(low)
+    return [w.lower() for w in WORD.findall(text)]  # a letter whose lower case is two characters splits no word
 
 
 class WordHashes(dict):
