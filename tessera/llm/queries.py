@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, bytepair, leakage, splitting
+from tessera.llm import bagminhash, bytepair, leakage, neighbours, splitting
 from tessera.runtime import table
 
 
@@ -35,6 +35,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_id")
 
 
+_STORE = ["store", "generation_id", "model_id", "dim"]
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = table(spark, sf_dir, "dense_vectors").select(F.lit("dense").alias("store"), "generation_id", "model_id", "dim", "document_id", "embedding")
+    residual = table(spark, sf_dir, "residual_dense_vectors")
+    residual = residual.select(F.lit("residual").alias("store"), "generation_id", F.lit(None).cast("string").alias("model_id"), "dim", "document_id", "embedding")
+    return dense.union(residual)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one is among the ten most similar of the other, with a cosine of 0.9 or more."""
+    index, pairs = neighbours.similar_pairs(_vectors(spark, sf_dir), _STORE)
+    named = pairs.join(F.broadcast(index.table), "part")
+    return named.select("store", "generation_id", F.least("a", "b").alias("document_id_a"), F.greatest("a", "b").alias("document_id_b")).distinct()
+
+
+def p4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of every row whose id hash is divisible by 20, against all rows."""
+    asked = F.pmod(F.xxhash64("id"), F.lit(20)) == 0
+    index, pairs = neighbours.nearest(_vectors(spark, sf_dir), _STORE, asked)
+    named = pairs.join(F.broadcast(index.table), "part")
+    return named.select("store", "generation_id", "model_id", "dim", F.col("a").alias("document_id"), F.col("b").alias("neighbour_id"), "similarity", "place")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document by byte_bpe_50k."""
     return bytepair.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
