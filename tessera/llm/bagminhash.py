@@ -37,7 +37,7 @@ from tessera.runtime import BROADCAST_BYTES, materialise
 @dataclass(frozen=True)
 class NearDupSpec:
     """Parameters. A pair of similarity s becomes a candidate with probability 1-(1-s^rows)^bands, times that of
-    its sketch (a bit agrees with probability (1+s)/2, ``max_far`` lies over four standard deviations off at ``threshold``)."""
+    its sketches. ``rows`` bounds how many unlike pairs meet (s^rows each): raise it, and ``bands``, with the collection."""
 
     shingle: int = 5
     threshold: float = 0.8
@@ -49,8 +49,15 @@ class NearDupSpec:
 
     @property
     def max_far(self) -> int:
+        """Differing bits of the 128-bit sketch (one bit a slot) that a pair at the threshold stays under, at three deviations."""
         p = (1 - self.threshold) / 2
-        return int(128 * p + 4.2 * (128 * p * (1 - p)) ** 0.5) + 1
+        return int(128 * p + 3 * (128 * p * (1 - p)) ** 0.5)
+
+    @property
+    def max_far_fine(self) -> int:
+        """The same of the fine sketch (four bits a slot), where a slot that differs flips two bits in the mean."""
+        q = 1 - self.threshold
+        return int(128 * 2 * q + 3.4 * (128 * (5 * q - 4 * q * q)) ** 0.5)
 
 
 #: The statement of TESTDATA.md: three words, half of the distinct sequences, twenty words at least.
@@ -117,7 +124,7 @@ def _sign(spec: NearDupSpec):
                     bags.append((keys, weights))
                 if not ids:
                     continue
-                bands = sketch = None
+                bands = sketch = fine = None
                 if bags:
                     lens = [len(k) for k, _ in bags]
                     sig = signatures(
@@ -131,24 +138,28 @@ def _sign(spec: NearDupSpec):
                     for i in range(spec.rows):
                         key = mix(key ^ grid[:, :, i])
                     bands = key.view(np.int64)
-                    sketch = np.packbits((mix(code) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                    bits = mix(code)
+                    sketch = np.packbits((bits & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                    nibble = ((bits >> np.uint64(1)) & np.uint64(15)).astype(np.uint8)
+                    fine = np.ascontiguousarray(nibble[:, ::2] * 16 + nibble[:, 1::2]).view(np.int64)
                 yield pd.DataFrame({
                     "record_id": ids,
                     "cls": np.array(classes, np.uint64).view(np.int64),
                     "bands": [None if s < 0 else bands[s] for s in slot_of],
                     "s1": [0 if s < 0 else int(sketch[s, 0]) for s in slot_of],
                     "s2": [0 if s < 0 else int(sketch[s, 1]) for s in slot_of],
+                    "fine": [None if s < 0 else fine[s] for s in slot_of],
                 })
 
     return run
 
 
 def signed_records(df: DataFrame, id_col: str, text_col: str, spec: NearDupSpec) -> DataFrame:
-    """(record_id, cls, bands, s1, s2) of each record with enough words; bands is null on a copy seen before in the task."""
+    """(record_id, cls, bands, s1, s2, fine) of each record with enough words; bands and fine are null on a copy seen before in the task."""
     least = 2 * max(spec.min_words, spec.shingle) - 1
     body = df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("body"))
     body = body.where(F.col("record_id").isNotNull() & (F.length("body") >= least))
-    return body.mapInPandas(_sign(spec), "record_id string, cls long, bands array<long>, s1 long, s2 long")
+    return body.mapInPandas(_sign(spec), "record_id string, cls long, bands array<long>, s1 long, s2 long, fine array<long>")
 
 
 def candidate_pairs(signed: DataFrame, spec: NearDupSpec) -> DataFrame:
@@ -162,7 +173,12 @@ def candidate_pairs(signed: DataFrame, spec: NearDupSpec) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     far = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (far <= spec.max_far))
-    return met.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+    pairs = met.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+    # unlike pairs that passed by chance are dropped by the fine sketch before any text moves
+    fine = signed.where(F.col("fine").isNotNull()).select("cls", *[F.element_at("fine", i + 1).alias(f"f{i}") for i in range(8)]).dropDuplicates(["cls"])
+    a, b = (fine.select(F.col("cls").alias(f"cls_{x}"), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(8)]) for x in "ab")
+    apart = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(8)), F.lit(0))
+    return pairs.join(a, "cls_a").join(b, "cls_b").where(apart <= spec.max_far_fine).select("cls_a", "cls_b")
 
 
 def overlap(a: Counter, b: Counter) -> float:
