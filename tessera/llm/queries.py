@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, bytepair, leakage, neighbours, splitting
+from tessera.llm import bagminhash, bytepair, leakage, neighbours, pii, splitting
 from tessera.runtime import table
 
 
@@ -35,6 +35,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_id")
 
 
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, cars = table(spark, sf_dir, "product_chunk_metadata"), table(spark, sf_dir, "product_sidecars")
+    a = chunks.select(F.lit("product_chunk_metadata").alias("source_table"), F.col("chunk_id").alias("record_id"), F.col("text_content").alias("body"))
+    b = cars.select(F.lit("product_sidecars").alias("source_table"), F.concat_ws("|", "document_id", "kind").alias("record_id"), F.col("text").alias("body"))
+    return a.union(b).where(F.col("record_id").isNotNull())
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds of personal information in chunks and sidecars."""
+    return pii.find_pii(_personal(spark, sf_dir)).select("source_table", "record_id", "pii_type", "start_pos").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its finds replaced by typed placeholders, and by keyed surrogates."""
+    return pii.redact(_personal(spark, sf_dir))
+
+
 _STORE = ["store", "generation_id", "model_id", "dim"]
 
 
