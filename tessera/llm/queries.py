@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, bytepair, leakage, neighbours, pii, splitting
+from tessera.llm import bagminhash, bytepair, credentials, leakage, neighbours, pii, splitting
 from tessera.runtime import table
 
 
@@ -77,6 +77,18 @@ def p4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("store", "generation_id", "model_id", "dim", F.col("a").alias("document_id"), F.col("b").alias("neighbour_id"), "similarity", "place")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret values in chunks, by where they start."""
+    chunks = table(spark, sf_dir, "product_chunk_metadata")
+    found = credentials.find_secrets(chunks, "chunk_id", "text_content")
+    return found.select(F.col("record_id").alias("chunk_id"), "start_pos").distinct()
+
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with its secrets masked in place."""
+    return credentials.mask_secrets(table(spark, sf_dir, "product_chunk_metadata"), "chunk_id", "text_content")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document by byte_bpe_50k."""
     return bytepair.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
