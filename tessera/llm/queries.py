@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bagminhash, bytepair, credentials, leakage, neighbours, pii, splitting
+from tessera.llm import bagminhash, bytepair, credentials, leakage, neighbours, pii, reading, splitting, turns
 from tessera.runtime import table
 
 
@@ -77,6 +77,16 @@ def p4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("store", "generation_id", "model_id", "dim", F.col("a").alias("document_id"), F.col("b").alias("neighbour_id"), "similarity", "place")
 
 
+def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speaker turns with their clean text."""
+    return turns.speaker_turns(table(spark, sf_dir, "fixture_meeting"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speaker turns by number, speaker and start."""
+    return p5_turns(spark, sf_dir).select("meeting_id", "turn_no", "speaker", "start_millis")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret values in chunks, by where they start."""
     chunks = table(spark, sf_dir, "product_chunk_metadata")
@@ -105,6 +115,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_report(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and difficulty of each English prose document."""
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of each English prose document."""
+    return p9_levels(spark, sf_dir).select("doc_id", "level")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
