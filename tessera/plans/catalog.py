@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
+
+from tessera.plans import registry
+
+MODULES = ("retrieval",)
+
+for _name in MODULES:
+    importlib.import_module(f"tessera.plans.{_name}")
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
