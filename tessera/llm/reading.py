@@ -26,14 +26,16 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import WORD, words
+from tessera.llm.words import words
 from tessera.runtime import materialise
 
 MIN_WORDS, MIN_SHARE, ROUNDS = 60, 0.001, 3
@@ -69,27 +71,31 @@ def running_text(text: str) -> str:
 
 
 def is_english(found: list[str]) -> bool:
-    english = sum(w in ENGLISH for w in found)
-    return english > sum(w in OTHER for w in found) * 1.5 and english >= 0.06 * len(found)
+    english = sum(map(ENGLISH.__contains__, found))
+    return english > sum(map(OTHER.__contains__, found)) * 1.5 and english >= 0.06 * len(found)
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for doc, text in zip(batch["doc_id"], batch["body"]):
-            total = words(text)
-            if len(total) < MIN_WORDS or not is_english(total):
-                continue
             body = running_text(text)
             found = words(body)
-            if not found:
-                body, found = text, total
+            if len(found) < MIN_WORDS:
+                total = words(text)
+                if len(total) < MIN_WORDS:
+                    continue
+                if not found:
+                    body, found = text, total
+            if not is_english(found):
+                continue
             ends = len([s for s in _SENTENCE.split(body) if len(s) > 12]) or 1
             per = len(found) / ends
             # a text without full stops tells nothing of the length of its sentences
             length = per if ends > 2 and per < 60 else 0.0
-            out.append((doc, length, sum(map(len, found)) / len(found), found))
-        yield pd.DataFrame(out, columns=["doc_id", "sentence", "letters", "words"])
+            count = Counter(found)
+            out.append((doc, length, (len(body) - len(found)) / len(found), list(count), list(count.values())))
+        yield pd.DataFrame(out, columns=["doc_id", "sentence", "letters", "words", "counts"])
 
 
 def _judged(labels: DataFrame) -> DataFrame:
@@ -100,34 +106,75 @@ def _judged(labels: DataFrame) -> DataFrame:
     return rows.join(bias, "rater", "left").groupBy("doc_id").agg(F.avg(F.col("level") - F.coalesce("bias", F.lit(0.0))).alias("judged"))
 
 
-def _levels(tokens: DataFrame, shared, sums: bool):
-    """Levels t_d under a model; with ``sums`` the word sums (w, n, st, stt) under these levels instead."""
+def _numbered(tokens: DataFrame, number) -> DataFrame:
+    """(doc_id, judged, ids, counts): the words of the vocabulary by number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, b, weight, a0, a1 = shared.value
-        s = np.zeros((3, len(number))) if sums else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = number.value.get
+        for batch in batches:
+            lists = batch.column(2)
+            ids = np.array([get(w, -1) for w in lists.flatten().to_pylist()], np.int32)
+            counts = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            known = ids >= 0
+            ends = np.concatenate(([0], np.cumsum(known)))[np.cumsum(np.concatenate(([0], lists.value_lengths().to_numpy(zero_copy_only=False))))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, ids[known]), pa.ListArray.from_arrays(ends, counts[known])], names=["doc_id", "judged", "ids", "counts"])
+
+    return tokens.select("doc_id", "judged", "words", "counts").mapInArrow(run, "doc_id long, judged double, ids array<int>, counts array<int>")
+
+
+def _estimates(batch: pa.RecordBatch, b: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Raw levels of the documents of a batch, and of each word place its document and number."""
+    ids = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+    counts = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+    n = batch.num_rows
+    doc = np.repeat(np.arange(n), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+    w = weight[ids] * counts
+    total = np.bincount(doc, w, n)
+    return np.where(total > 0, np.bincount(doc, w * b[ids], n) / np.where(total > 0, total, 1), 2.5), doc, ids
+
+
+def _word_sums(numbered: DataFrame, shared) -> DataFrame:
+    """(w, n, st, stt, m, mt, mtt): of each word the sums of the raw levels of documents without a judgment, and of the
+    levels of those with one; row -1 has the moments of raw level against judgment. One row per word and task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        b, weight = shared.value
+        s, fit = np.zeros((6, len(b))), np.zeros(6)
         for batch in batches:
-            docs, levels = [], []
-            for doc, judged, found in zip(batch["doc_id"], batch["judged"], batch["words"]):
-                ids = np.array([i for i in map(number.get, found) if i is not None], np.int64)
-                w = weight[ids]
-                total = w.sum()
-                t = a0 + a1 * float((w * b[ids]).sum() / total) if total > 0 else 2.5
-                if sums:
-                    level = t if judged is None or judged != judged else judged
-                    ids = np.unique(ids)
-                    s[0, ids] += 1
-                    s[1, ids] += level
-                    s[2, ids] += level * level
-                docs.append(doc)
-                levels.append(t)
-            if not sums:
-                yield pd.DataFrame({"doc_id": docs, "judged": batch["judged"].to_numpy(), "t": levels})
-        if sums:
-            used = np.nonzero(s[0])[0]
-            yield pd.DataFrame({"w": used, "n": s[0, used], "st": s[1, used], "stt": s[2, used]})
-
-    return tokens.select("doc_id", "judged", "words").mapInPandas(run, "w long, n double, st double, stt double" if sums else "doc_id long, judged double, t double")
+            t, doc, ids = _estimates(batch, b, weight)
+            judged = batch.column(1).to_numpy(zero_copy_only=False).astype(float)
+            is_free = np.isnan(judged)
+            free = is_free[doc]
+            for i, x in enumerate((np.ones(len(t)), t, t * t)):
+                s[i] += np.bincount(ids[free], x[doc[free]], len(b))
+            y = np.where(is_free, 0, judged)
+            for i, x in enumerate((np.ones(len(t)), y, y * y)):
+                s[3 + i] += np.bincount(ids[~free], x[doc[~free]], len(b))
+            k, tt, yy = (~is_free).sum(), t[~is_free], judged[~is_free]
+            fit += (k, tt.sum(), yy.sum(), (tt * tt).sum(), (tt * yy).sum(), 0)
+        out = pd.DataFrame(s.T, columns=list("abcdef"))
+        out.insert(0, "w", np.arange(len(b)))
+        out = out[(out["a"] > 0) | (out["d"] > 0)]
+        out.loc[-1] = [-1, *fit]
+        out["w"] = out["w"].astype("int64")
+        yield out
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in run(batches):
+            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    sums = numbered.mapInArrow(arrow, "w long, a double, b double, c double, d double, e double, f double")
+    return sums.groupBy("w").agg(*[F.sum(x).alias(x) for x in "abcdef"])
+
+
+def _levels(numbered: DataFrame, shared) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, weight, a0, a1 = shared.value
+        for batch in batches:
+            t, _, _ = _estimates(batch, b, weight)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a0 + a1 * t)], names=["doc_id", "judged", "t"])
+
+    return numbered.mapInArrow(run, "doc_id long, judged double, t double")
 
 
 def _model(n: np.ndarray, st: np.ndarray, stt: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +189,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, kind: str = "prose") -> D
     spark = docs.sparkSession
     body = docs.where((F.col("kind") == kind) & F.col("doc_id").isNotNull() & (F.length("text") >= 2 * MIN_WORDS - 1))
     body = body.select("doc_id", F.col("text").alias("body"))
-    found = body.mapInPandas(_tokens, "doc_id long, sentence double, letters double, words array<string>")
+    found = body.mapInPandas(_tokens, "doc_id long, sentence double, letters double, words array<string>, counts array<int>")
     tokens = found.join(_judged(labels), "doc_id", "left")
     tokens = materialise(tokens, label="tokens")
     # one pass for vocabulary, starting levels and sentence lengths; a word counts once a document
@@ -151,7 +198,7 @@ def reading_levels(docs: DataFrame, labels: DataFrame, kind: str = "prose") -> D
         return spark.createDataFrame([], "doc_id long, level int, difficulty double")
     anchored = size["j"] >= 20
     start = F.col("judged") if anchored else (F.col("letters") - size["l"]) / max(size["sl"] or 1.0, 1e-6) + 2.5
-    each = tokens.select(start.alias("t"), "sentence", F.explode(F.array_distinct("words")).alias("word"))
+    each = tokens.select(start.alias("t"), "sentence", F.explode("words").alias("word"))
     vocabulary = each.groupBy("word").agg(
         F.count("*").alias("df"), F.count("t").alias("n"), F.sum("t").alias("st"), F.sum(F.col("t") * F.col("t")).alias("stt"),
         F.sum(F.when(F.col("sentence") > 0, F.col("sentence"))).alias("ls"), F.count(F.when(F.col("sentence") > 0, 1)).alias("ln"),
@@ -161,22 +208,27 @@ def reading_levels(docs: DataFrame, labels: DataFrame, kind: str = "prose") -> D
     number = {w: i for i, w in enumerate(v["word"])}
     length = ((v["ls"].fillna(0) + 15 * 2) / (v["ln"] + 2)).to_numpy(float)
     b, weight = _model(v["n"].to_numpy(float), v["st"].fillna(0).to_numpy(float), v["stt"].fillna(0).to_numpy(float), length)
+    spark_context = spark.sparkContext
+    numbered = materialise(_numbered(tokens, spark_context.broadcast(number)), label="numbered")
     a0, a1 = 0.0, 1.0
-    for i in range(ROUNDS + 1):
-        shared = spark.sparkContext.broadcast((number, b, weight, a0, a1))
-        if i == ROUNDS:
-            break
-        if anchored:
-            fit = _levels(tokens.where(F.col("judged").isNotNull()), spark.sparkContext.broadcast((number, b, weight, 0.0, 1.0)), False)
-            r = fit.agg(F.avg("t").alias("mt"), F.avg("judged").alias("mj"), F.var_pop("t").alias("vt"), F.covar_pop("t", "judged").alias("c")).first()
-            a1 = r["c"] / r["vt"] if r["vt"] else 1.0
-            a0 = r["mj"] - a1 * r["mt"]
-            shared = spark.sparkContext.broadcast((number, b, weight, a0, a1))
-        s = _levels(tokens, shared, True).groupBy("w").agg(F.sum("n").alias("n"), F.sum("st").alias("st"), F.sum("stt").alias("stt")).toPandas()
+    for _ in range(ROUNDS):
+        s = _word_sums(numbered, spark_context.broadcast((b, weight))).toPandas().set_index("w")
+        k, mt, mj, mtt, mtj, _ = s.loc[-1]
+        if anchored and k and mtt / k > (mt / k) ** 2:
+            a1 = (mtj / k - mt * mj / k / k) / (mtt / k - (mt / k) ** 2)
+            a0 = mj / k - a1 * mt / k
+        s = s.drop(index=-1)
         n, st, stt = np.zeros((3, len(number)))
-        n[s["w"]], st[s["w"]], stt[s["w"]] = s["n"], s["st"], s["stt"]
+        n[s.index] = s["a"] + s["d"]
+        st[s.index] = a0 * s["a"] + a1 * s["b"] + s["e"]
+        stt[s.index] = a0 * a0 * s["a"] + 2 * a0 * a1 * s["b"] + a1 * a1 * s["c"] + s["f"]
         b, weight = _model(n, st, stt, length)
-    levels = _levels(tokens, shared, False)
+    if anchored:
+        s = _word_sums(numbered.where(F.col("judged").isNotNull()), spark_context.broadcast((b, weight))).where("w = -1").first()
+        if s["d"] / s["a"] > (s["b"] / s["a"]) ** 2:
+            a1 = (s["e"] / s["a"] - s["b"] * s["c"] / s["a"] ** 2) / (s["d"] / s["a"] - (s["b"] / s["a"]) ** 2)
+            a0 = s["c"] / s["a"] - a1 * s["b"] / s["a"]
+    levels = _levels(numbered, spark_context.broadcast((b, weight, a0, a1)))
     if anchored:  # cut points over a histogram of bounded size
         grid = levels.where(F.col("judged").isNotNull()).groupBy(F.round("t", 2).alias("t"), F.greatest(F.lit(1), F.least(F.lit(4), F.round("judged").cast("int"))).alias("y")).count().toPandas()
         cuts = best_cuts(grid["t"].to_numpy(float), grid["y"].to_numpy(int), grid["count"].to_numpy(float))
