@@ -48,7 +48,7 @@ def query_terms(query: str) -> list[str]:
 
 def fact_sentences(c) -> Column:
     """At most five sentences of twelve bytes or more that hold a digit or an identifier."""
-    parts = F.transform(F.split(_col(c), r"[.!?\n]"), F.trim)
+    parts = F.transform(F.split(_col(c), r"[.!?\n]"), lambda s: F.trim(s))
     return F.slice(F.filter(parts, lambda s: (F.octet_length(s) >= 12) & s.rlike(r"[0-9]|[A-Za-z]+_[A-Za-z]+|[a-z]+[A-Z]")), 1, 5)
 
 
