@@ -218,7 +218,8 @@ def drop_contained(spans: DataFrame) -> DataFrame:
 def page_after(rows: DataFrame, order: Sequence[str], cursor: tuple | None, size: int) -> DataFrame:
     """Keyset page: rows after the cursor in key order, one more than asked, by which the caller sees whether there is a next page."""
     if cursor is not None:
-        rows = rows.where(F.struct(*order) > F.struct(*[F.lit(v) for v in cursor]))
+        types = dict(rows.dtypes)
+        rows = rows.where(F.struct(*order) > F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, cursor)]))
     return rows.orderBy(*order).limit(size + 1)
 
 
