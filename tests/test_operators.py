@@ -248,3 +248,17 @@ def test_decay(spark):
 def test_postings_of_empty_table(spark):
     d = spark.createDataFrame([], "id int, t string")
     assert index.postings(d, "id", T.index_tokens("t")).count() == 0
+
+
+def test_question_helpers(spark):
+    from tessera.functions import questions as Q
+
+    assert Q.identifiers("why does fetchRows call `a b` in pkg/x.go for ABC-12?") == ["fetchRows", "a b", "pkg/x.go", "ABC-12"]
+    assert Q.variants("the of")[0] == "the of" and len(Q.variants("where is read_cache used by the planner")) == 3
+    assert Q.decompose("Where is the cache stored and who owns the nightly replay", True) == ["Where is the cache stored", "who owns the nightly replay?"]
+    assert Q.infer_plan("how many shards")["type"] == "wide" and Q.infer_plan("read_cache")["type"] == "exact"
+    d = spark.createDataFrame([(["abc", "ab", "abc"],), (None,)], "t array<string>")
+    v = [sum(r[0]) for r in d.select(Q.hash_embedding(F.col("t"))).collect()]
+    assert v == [2.0, 0.0]
+    t = spark.createDataFrame([("Cursor planner rebuilds shards",), (None,)], "t string")
+    assert [len(r[0]) for r in t.select(Q.question_lines(F.col("t"))).collect()] == [4, 0]
