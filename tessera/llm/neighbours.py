@@ -38,7 +38,7 @@ COPIES = 64
 _OUT = "part int, a string, b string, similarity double"
 
 
-def eta(dim: int, threshold: float = 0.2) -> float:
+def eta(dim: int, threshold: float = 0.5) -> float:
     """Weight of the parallel residual for inner products above ``threshold`` (unit vectors, uniform directions)."""
     return max(1.0, (dim - 1) * threshold**2 / (1 - threshold**2))
 
@@ -113,13 +113,20 @@ class Quantiser:
                 along = rest + dot[m, row, codes[:, m]]
         return codes
 
-    def packed(self, x: np.ndarray) -> np.ndarray:
-        """Two four-bit codes a byte, one row per pair of sub-spaces."""
+    def packed(self, x: np.ndarray, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(codes, margins): two four-bit codes a byte, one row per vector, and how far below ``least`` the score of a
+        query with that true similarity may lie: the parallel error, plus the part across it at four deviations of
+        its projection on a random direction, or in full where that is less."""
         c = self.encode(x)
-        return np.ascontiguousarray((c[:, ::2] * 16 + c[:, 1::2]).astype(np.uint8).T)
+        r = self.padded(x) - self.books[np.arange(c.shape[1])[None], c]
+        r = r.reshape(len(x), -1)[:, : self.dim]
+        along = (r * x).sum(1)
+        across = np.sqrt(np.maximum((r * r).sum(1) - along**2, 0))
+        margin = np.abs(along) + (1 - least**2) ** 0.5 * across * min(1.0, 4 / max(self.dim - 1, 1) ** 0.5)
+        return (c[:, ::2] * 16 + c[:, 1::2]).astype(np.uint8), margin.astype(np.float32)
 
     def scores(self, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Approximate inner products (queries x rows) by table look-ups."""
+        """Approximate inner products (queries x rows) by table look-ups; codes has a row per pair of sub-spaces."""
         sub = self.padded(queries)
         luts = np.einsum("qmd,mwd->qmw", sub, self.books).astype(np.float32)
         pair = (luts[:, ::2, :, None] + luts[:, 1::2, None, :]).reshape(len(queries), -1, 256)
@@ -129,16 +136,17 @@ class Quantiser:
         return out
 
 
-def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, pq: Quantiser, codes: np.ndarray, k: int, least: float | None, rerank: int):
+def best_of(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, pq: Quantiser, codes: np.ndarray, margin: np.ndarray, k: int, least: float | None, rerank: int):
     """(query ids, row ids, similarities) of the up to k best rows of each query, itself left out."""
     out = []
+    codes = np.ascontiguousarray(codes.T)
     for at in range(0, len(q), 128):
         block, ids = q[at : at + 128], q_ids[at : at + 128]
         near: list[tuple[np.ndarray, np.ndarray]] = []
         for lo in range(0, len(x), 8192):
             s = pq.scores(block, codes[:, lo : lo + 8192])
             if least is not None:
-                i, j = np.nonzero(s >= least - 0.12)
+                i, j = np.nonzero(s >= least - margin[None, lo : lo + 8192])
             else:
                 take = min(rerank + 1, s.shape[1])
                 j = np.argpartition(-s, take - 1, axis=1)[:, :take]
@@ -212,7 +220,8 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
 
 
-def _cells(index: Index, spread: int) -> DataFrame:
+def _cells(index: Index, spread: int, least: float) -> DataFrame:
+    """(part, id, unit, code, margin, cells): each vector is normalised and encoded once, before its copies go to its cells."""
     shared = index.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,16 +229,18 @@ def _cells(index: Index, spread: int) -> DataFrame:
             part = batch.column(0).to_numpy()
             for p in np.unique(part):
                 rows = batch.take(pa.array(np.nonzero(part == p)[0]))
-                x, centres = _unit(_matrix(rows.column(2))), shared.value[int(p)][0]
+                centres, pq = shared.value[int(p)]
+                x = _unit(_matrix(rows.column(2)))
+                codes, margin = pq.packed(x, least)
                 take = min(spread, len(centres))
                 near = np.argpartition(-(x @ centres.T), take - 1, axis=1)[:, :take].astype(np.int32)
                 offsets = np.arange(len(x) + 1, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.ListArray.from_arrays(offsets * x.shape[1], x.ravel()), pa.ListArray.from_arrays(offsets * take, near.ravel())],
-                    names=["part", "id", "unit", "cells"],
+                    [rows.column(0), rows.column(1), pa.ListArray.from_arrays(offsets * x.shape[1], x.ravel()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(margin), pa.ListArray.from_arrays(offsets * take, near.ravel())],
+                    names=["part", "id", "unit", "code", "margin", "cells"],
                 )
 
-    return index.rows.mapInArrow(run, "part int, id string, unit array<float>, cells array<int>")
+    return index.rows.mapInArrow(run, "part int, id string, unit array<float>, code binary, margin float, cells array<int>")
 
 
 def similar_pairs(df: DataFrame, keys: list[str], k: int = 10, least: float = 0.9, spread: int = 4) -> tuple[Index, DataFrame]:
@@ -239,7 +250,7 @@ def similar_pairs(df: DataFrame, keys: list[str], k: int = 10, least: float = 0.
     shared = index.shared
     base, direct = _without_copies(index, k)
     index.rows = base
-    placed = _cells(index, spread).select("part", "id", "unit", F.explode("cells").alias("cell"))
+    placed = _cells(index, spread, least).select("part", "id", "unit", "code", "margin", F.explode("cells").alias("cell"))
     big = placed.groupBy("part", "cell").agg(F.count("*").alias("n")).where(F.col("n") > TILE).collect()
     if big:  # at most n / TILE cells: their rows are dealt to tiles, and each pair of tiles meets once
         tiles = {(r["part"], r["cell"]): -(-r["n"] // TILE) for r in big}
@@ -247,16 +258,17 @@ def similar_pairs(df: DataFrame, keys: list[str], k: int = 10, least: float = 0.
         placed = placed.withColumn("tiles", lookup).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
         other = F.sequence(F.lit(0), F.col("tiles") - 1)
         meet = F.transform(other, lambda o: F.least(o, F.col("tile")) * F.col("tiles") + F.greatest(o, F.col("tile")))
-        placed = placed.select("part", "cell", F.explode(meet).alias("tile"), "id", "unit")
+        placed = placed.select("part", "cell", F.explode(meet).alias("tile"), "id", "unit", "code", "margin")
     else:
-        placed = placed.select("part", "cell", F.lit(0).alias("tile"), "id", "unit")
+        placed = placed.select("part", "cell", F.lit(0).alias("tile"), "id", "unit", "code", "margin")
 
     def search(table: pa.Table) -> pa.Table:
         p = table.column("part")[0].as_py()
         ids, first = np.unique(np.array(table.column("id").to_pylist(), dtype=object).astype(str), return_index=True)
         x = _matrix(table.column("unit"))[first]
-        pq = shared.value[p][1]
-        found = best_of(x, ids, x, ids, pq, pq.packed(x), k, least, 0) if len(x) > 1 else None
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1)[first]
+        margin = table.column("margin").to_numpy()[first]
+        found = best_of(x, ids, x, ids, shared.value[p][1], codes, margin, k, least, 0) if len(x) > 1 else None
         if found is None:
             found = [np.array([], str), np.array([], str), np.array([], float)]
         a, b, s = found
@@ -325,7 +337,7 @@ def _against(rows: DataFrame, asked, shared, k: int, rerank: int) -> DataFrame:
             ids, first = np.unique(np.array(batch.column("id").to_pylist(), dtype=str), return_index=True)
             if len(ids):
                 x = _unit(_matrix(batch.column("embedding")))[first]
-                a, b, s = best_of(q, q_ids, x, ids, pq, pq.packed(x), k, None, rerank)
+                a, b, s = best_of(q, q_ids, x, ids, pq, *pq.packed(x), k, None, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), p, np.int32)), pa.array(a.tolist(), pa.string()), pa.array(b.tolist(), pa.string()), pa.array(s)], names=["part", "a", "b", "similarity"])
 
     return rows.mapInArrow(run, _OUT)
