@@ -46,7 +46,7 @@ PREFIX_HINTS = ("akia", "asia", "gho_", "ghp_", "ghs_", "ghr_", "ghu_", "github_
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN)[\s\S]){0,20000}?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 PEM_OPEN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:[\s\\nr]|[A-Za-z0-9+/=]{16,}|\w[\w\-]*: [^\n]*)*")
 _PLACEHOLDER = re.compile(
-    r"(?i)^(?:<[^>]*>?|\$\{.*|\$\(.*|\$[a-z_]\w*$|\$\w{1,2}\$.*|\{\{.*|%\(?\w+\)?[s%].*|[*.x•]{3,}|.*(?:replace|change|fill|insert)[-_ ]?(?:me|this|it|in).*|your[-_ ].*|.*\byour[-_].*|example.*|.*EXAMPLE(?:KEY)?$|dummy.*|todo.*|redacted"
+    r"(?i)^(?:<[^>]*>?|\$\{.*|\$\(.*|\$[a-z_]\w*$|\$\w{1,2}\$.*|\{\{.*|%\w+%$|%\(\w+\)[sdr]$|%[sdv]$|[*.x•]{3,}|.*(?:replace|change|fill|insert)[-_ ]?(?:me|this|it|in).*|your[-_ ].*|.*\byour[-_].*|example.*|.*EXAMPLE(?:KEY)?$|dummy.*|todo.*|redacted"
     r"|placeholder.*|none|null|nil|true|false|undefined|empty|os\.(?:environ|getenv).*|process\.env.*|env[.\[(].*|getenv.*|vault[.:/(].*|secrets?[.:/(].*|config[.\[(].*|settings[.\[(].*|arn:.*|sha\d+[:\-].*|data:.*|https?://.*|ref\+.*|!.*|file:.*|/.*)$"
 )
 _SEP = re.compile(r"[\"'`\])]{0,3}[ \t]*(?::=|=>|=(?!=)|:(?!:)|,(?=[ \t]*[\"'`])|>(?![>=]))[ \t]*(?:Bearer[ \t]+|Basic[ \t]+)?", re.I)
@@ -57,8 +57,9 @@ _PASSPHRASE = re.compile(r"[a-z]{3,}(?:-[a-z]{3,}){2,}$")
 _AUTH = re.compile(r"(?i)authorization[\"']?\s*[:,=]\s*[\"'`]?\s*(?:bearer|basic|token)\s+([A-Za-z0-9+/=_\-.~]{8,})")
 _URL = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s:/@\"'<>]*:([^\s/\"'<>][^\s\"'<>]*?)@(?=[\w\-\[])", re.I)
 _NETRC = re.compile(r"(?i)\blogin\s+\S+\s+password\s+(\S+)")
+_USER = re.compile(r"(?:\bcurl\b[^\n]{0,400}?\s(?:-u|--user)[ =]+[\"']?[^\s:\"'/]+:|\bsshpass\s+-p\s*[\"']?|\bredis-cli\b[^\n]{0,200}?\s-a\s+[\"']?)([^\s\"']{4,})")
 _SET = re.compile(r"[ \t]+([\"'`])([^\"'`\n]+)\1")
-_SAID = re.compile(r"[ \t]+(?:is|was|=)[ \t]+([^\s\"'`,;]+?)(?=[,.;]?(?:\s|$))")
+_SAID = re.compile(r"\s+(?:is|was)\s+([^\s\"'`,;]+?)(?=[,.;]?(?:\s|$))")
 _BLOCK = re.compile(r"[\"']?\s*\{\s*(?:[a-z_]+\s*=\s*(?!\")\S+\s+|description\s*=\s*\"[^\"\n]*\"\s+)*default\s*=\s*\"([^\"\n]+)\"")
 _VALUE_LINE = re.compile(r"[\"']?[ \t]*\r?\n[ \t]*[\"']?value[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"']+)")
 _MANIFEST = re.compile(r"kind:\s*Secret\b[^\n]*\n(?:(?!kind:|---)[^\n]*\n){0,12}?[ \t]*(?:stringData|data):[ \t]*\r?\n((?:[ \t]+[\w.\-]+:[ \t]*[^\s#]+[ \t]*(?:\r?\n|$))+)", re.I)
@@ -76,6 +77,8 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("://", (3, "url"))
     a.add_word("password ", (9, "netrc"))
     a.add_word("kind: secret", (12, "manifest"))
+    for w in ("curl ", "sshpass ", "redis-cli "):
+        a.add_word(w, (len(w), "user"))
     a.make_automaton()
     return a
 
@@ -132,6 +135,10 @@ class Scanner:
                 prefix = True
             elif kind == "url":
                 url = True
+            elif kind == "user":
+                m = _USER.match(text, end - size + 1)
+                if m and not _PLACEHOLDER.match(m[1]):
+                    out.append((m.start(1), m.end(1), "password"))
             elif kind == "manifest":
                 m = _MANIFEST.search(text, end - size, end + 2000)
                 for v in _PAIR.finditer(text, m.start(1), m.end(1)) if m else ():
