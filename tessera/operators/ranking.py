@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normal_stem
 from tessera.operators import index
+from tessera.runtime import materialise
 
 MAX_TERMS = 256
 
@@ -26,13 +27,25 @@ def terms_table(df: DataFrame, terms: Sequence[str]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame([(t,) for t in terms], "token string"))
 
 
+def query_hits(docs: DataFrame, id_col: str, tokens: Column, terms: Sequence[str]) -> DataFrame:
+    """(doc, dl, hit): length and matching tokens of every document, as a narrow written table.
+
+    Texts are read and tokenised once; every score of a query, and the corpus statistics, come from this table.
+    """
+    terms = list(dict.fromkeys(terms))
+    d = docs.select(F.col(id_col).alias("doc"), tokens.alias("ts"))
+    return materialise(d.select("doc", F.size("ts").alias("dl"), F.filter("ts", lambda t: t.isin(*terms)).alias("hit")), label="hits")
+
+
 def bm25(docs: DataFrame, id_col: str, tokens: Column, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc, score): BM25 with idf ln(1 + (N - df + 0.5) / (df + 0.5)); documents without a term are left out."""
-    terms = list(dict.fromkeys(terms))
-    counted = docs.select(F.col(id_col).alias("doc"), tokens.alias("ts"))
-    counted = counted.select("doc", F.size("ts").alias("dl"), F.filter("ts", lambda t: t.isin(*terms)).alias("hit"))
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    post = counted.where(F.size("hit") > 0).select("doc", "dl", F.explode("hit").alias("token")).groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
+    return bm25_of(query_hits(docs, id_col, tokens, terms), k1, b)
+
+
+def bm25_of(hits: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of a table of query hits."""
+    stats = hits.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    post = hits.where(F.size("hit") > 0).select("doc", "dl", F.explode("hit").alias("token")).groupBy("doc", "dl", "token").agg(F.count("*").alias("tf"))
     df = post.groupBy("token").agg(F.count("*").alias("df"))
     scored = post.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))  # one row of statistics
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -120,8 +120,9 @@ _FUSE = f"""{_BM25},
 @query(f"""{_FUSE} SELECT doc, round(sum(1.0 / (60 + rank)), 9) AS score, CAST(arg_min(list, list * 1000 + rank) AS INT) AS first_list, CAST(arg_min(rank, list * 1000 + rank) AS INT) AS first_rank
   FROM r WHERE rank <= 50 GROUP BY doc""")
 def rrf_fused(spark, sf):
-    docs, tokens = _docs(spark, sf), T.index_tokens("text")
-    lists = [ranking.bm25(docs, "doc_id", tokens, TERMS), ranking.coverage_tfidf(docs, "doc_id", tokens, TERMS), ranking.summed_tf(docs, "doc_id", tokens, TERMS)]
+    hits = ranking.query_hits(_docs(spark, sf), "doc_id", T.index_tokens("text"), TERMS)  # one pass over the texts for three lists
+    hit = F.col("hit")
+    lists = [ranking.bm25_of(hits), ranking.coverage_tfidf(hits, "doc", hit, TERMS), ranking.summed_tf(hits, "doc", hit, TERMS)]
     fused = ranking.rrf([ranking.ranked(s, 50) for s in lists])
     return fused.select("doc", F.round("score", 9).alias("score"), "first_list", "first_rank")
 
@@ -174,9 +175,9 @@ def path_multiplier(spark, sf):
   sig AS (SELECT bm.doc, bm.score / top AS lex, sm.score AS tf FROM bm JOIN sm USING (doc), best)
   SELECT doc, round(0.6 * lex + 0.15 * (tf >= 3)::INT + 0.05, 6) AS fused FROM sig""")
 def rank_fusion(spark, sf):
-    docs, tokens = _docs(spark, sf), T.index_tokens("text")
-    lex = ranking.bm25(docs, "doc_id", tokens, TERMS).withColumnRenamed("score", "lexical")
-    tf = ranking.summed_tf(docs, "doc_id", tokens, TERMS)
+    hits = ranking.query_hits(_docs(spark, sf), "doc_id", T.index_tokens("text"), TERMS)
+    lex = ranking.bm25_of(hits).withColumnRenamed("score", "lexical")
+    tf = ranking.summed_tf(hits, "doc", F.col("hit"), TERMS)
     zero = F.lit(0.0)
     signals = lex.join(tf, "doc").select("doc", "lexical", F.when(F.col("score") >= 3, 1).otherwise(0).alias("defines"), zero.alias("pagerank"), zero.alias("degree"), F.lit(1.0).alias("path_weight"))
     return ranking.rank_fusion(signals).select("doc", F.round("fused", 6).alias("fused"))
