@@ -80,14 +80,15 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc, text in zip(batch["doc_id"], batch["body"]):
             body = running_text(text)
-            found = words(body)
+            speech = found = words(body)
             if len(found) < MIN_WORDS:
                 total = words(text)
                 if len(total) < MIN_WORDS:
                     continue
+                speech = total
                 if not found:
                     body, found = text, total
-            if not is_english(found):
+            if not is_english(speech):
                 continue
             ends = len([s for s in _SENTENCE.split(body) if len(s) > 12]) or 1
             per = len(found) / ends
