@@ -149,12 +149,10 @@ def render(text: Column, mode: str) -> Column:
 
 
 def clip_bytes(text: Column, most: int) -> Column:
-    """At most ``most`` UTF-8 bytes, cut between characters: whole characters are counted by their first bytes."""
+    """At most ``most`` UTF-8 bytes, cut between characters: of the four possible cuts the first that leaves no broken character."""
     raw = F.encode(text, "UTF-8")
-    part = F.substring(raw, 1, most)
-    fits = F.octet_length(text) <= most
-    # a trailing incomplete character decodes to a replacement character, which is dropped
-    return F.when(fits, text).otherwise(F.regexp_replace(F.try_validate_utf8(F.decode(part, "UTF-8")), "�+$", ""))
+    cuts = [F.substring(raw, 1, max(most - k, 0)).cast("string") for k in range(4)]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cuts]))
 
 
 def pack(items: DataFrame, limit: int) -> DataFrame:

@@ -262,3 +262,33 @@ def test_question_helpers(spark):
     assert v == [2.0, 0.0]
     t = spark.createDataFrame([("Cursor planner rebuilds shards",), (None,)], "t string")
     assert [len(r[0]) for r in t.select(Q.question_lines(F.col("t"))).collect()] == [4, 0]
+
+
+def test_tree_source_and_media(spark, tmp_path):
+    import hashlib
+
+    from tessera.sources import connectors
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("hi")
+    (tmp_path / "e.png").write_bytes(b"12")
+    (tmp_path / "z.exe").write_bytes(b"1")
+    got = {r["path"]: r for r in connectors.read_tree(spark, str(tmp_path)).collect()}
+    assert set(got) == {"a/x.txt", "e.png", "z.exe"} and got["a/x.txt"]["blob"] == hashlib.sha1(b"blob 2\0hi").hexdigest()
+    assert rows(connectors.admit_media(spark, str(tmp_path)).na.fill("-"), "kind", "admitted", "reason") == [("exe", False, "type"), ("png", True, "-"), ("txt", True, "-")]
+
+
+def test_evidence_operators(spark):
+    from tessera.operators import evidence as E
+
+    d = spark.createDataFrame([("aé語x",), ("ab",), (None,)], "t string")
+    assert [r[0] for r in d.select(E.clip_bytes(F.col("t"), 5)).collect()] == ["aé", "ab", None]
+    pool = spark.createDataFrame([("q", "d", "long text", 0.5), ("q", "e", None, 0.4)], "query string, doc string, text string, score double")
+    got = rows(E.rerank_with(pool, lambda q, t: t.str.len().astype("float64")), "doc", "score")
+    assert got == [("d", 9.0), ("e", 0.4)]
+    jobs = spark.createDataFrame([("d", "context_header", "first line\nrest"), ("e", "other", "x")], "doc string, kind string, text string")
+    assert rows(E.run_workers(jobs, "context_header"), "doc", "output") == [("d", "From d: first line")]
+    edges = spark.createDataFrame([("f", "pkg/cursor", False), ("g", "pkg/cursor", True)], "file string, to string, resolved boolean")
+    assert rows(E.import_stem_edges(edges, "Cursor"), "file") == [("f",)]
+    s = spark.createDataFrame([(1, "One two. Cursor planner here! Cursor"), (2, None)], "id int, t string")
+    assert rows(E.support_sentences(s, "id", "t", ["cursor", "planner"])) == [(1, "Cursor planner here!", 2)]
