@@ -42,7 +42,7 @@ PREFIXES = re.compile(
     r"(?<![\w/+])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|xox[abprs]-[\w\-]{10,}|eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]*"
     r"|(?:sk|rk|pk)_live_[0-9A-Za-z]{16,}|AIza[\w\-]{35}|npm_[A-Za-z0-9]{36}|(?:[a-z]{2,6}_(?:live|test)_|[a-z]{2,6}[.\-])[0-9a-f]{24,64})(?![\w])"
 )
-PREFIX_HINTS = ("akia", "asia", "gho_", "ghp_", "ghs_", "ghr_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "eyj", "_live_", "_test_", "aiza", "npm_", "xb-", "key-", "ouro-", "pbk.")
+PREFIX_HINTS = ("akia", "asia", "gho_", "ghp_", "ghs_", "ghr_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "eyj", "_live_", "_test_", "aiza", "npm_", "xb-", "key-", "pbk.")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN)[\s\S]){0,20000}?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
 PEM_OPEN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:[\s\\nr]|[A-Za-z0-9+/=]{16,}|\w[\w\-]*: [^\n]*)*")
 _PLACEHOLDER = re.compile(
