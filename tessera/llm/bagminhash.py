@@ -237,14 +237,23 @@ def class_links(df: DataFrame, id_col: str, text_col: str, spec: NearDupSpec = S
     return members, both.mapInPandas(_verify(spec), "cls_a long, cls_b long, similarity double")
 
 
-def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(record_a, record_b), a < b: the links of classes spelled out for their records, and the pairs of equal records."""
+def record_pairs(members: DataFrame, links: DataFrame, spell_out: int = 1_000) -> DataFrame:
+    """(record_a, record_b), a < b: the links of classes spelled out for their records, and the pairs of equal records.
+
+    A class of more than ``spell_out`` equal records is not expanded into all pairs: each of its records is paired with
+    the first one, which alone carries the class's links. No link between different bags is lost, and a class
+    that holds a third of the collection gives as many rows as it has records.
+    """
     who = members.distinct()
-    a = who.select(F.col("cls").alias("cls_a"), F.col("record_id").alias("x"))
-    b = who.select(F.col("cls").alias("cls_b"), F.col("record_id").alias("y"))
+    crowd = who.groupBy("cls").agg(F.count("*").alias("n"), F.min("record_id").alias("head")).where(F.col("n") > spell_out).select("cls", "head")
+    placed = who.join(crowd, "cls", "left")
+    star = placed.where(F.col("head") < F.col("record_id")).select(F.col("head").alias("x"), F.col("record_id").alias("y"))
+    shown = placed.where(F.col("head").isNull() | (F.col("head") == F.col("record_id"))).select("cls", "record_id")
+    a = shown.select(F.col("cls").alias("cls_a"), F.col("record_id").alias("x"))
+    b = shown.select(F.col("cls").alias("cls_b"), F.col("record_id").alias("y"))
     across = links.select("cls_a", "cls_b").join(a, "cls_a").join(b, "cls_b").where(F.col("x") != F.col("y")).select("x", "y")
     inside = a.join(b, (F.col("cls_a") == F.col("cls_b")) & (F.col("x") < F.col("y"))).select("x", "y")
-    pairs = across.union(inside)
+    pairs = across.union(inside).union(star)
     return pairs.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).distinct()
 
 

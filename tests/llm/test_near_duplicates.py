@@ -72,3 +72,11 @@ def test_signatures_estimate_weighted_jaccard():
 
 def test_overlap():
     assert B.overlap(Counter("aab"), Counter("ab")) == 2 / 3 and B.overlap(Counter(), Counter()) == 0.0
+
+
+def test_a_crowd_of_copies_is_a_star(spark):
+    text = " ".join(f"t{i}" for i in range(40))
+    df = spark.createDataFrame([(f"c{i:02d}", text, "x", 1) for i in range(12)] + [("near", text + " more", "x", 1)], SCHEMA)
+    members, links = B.class_links(df, "record_id", "body", B.STATED)
+    got = {tuple(r) for r in B.record_pairs(members, links, spell_out=5).collect()}
+    assert got == {("c00", f"c{i:02d}") for i in range(1, 12)} | {("c00", "near")}
