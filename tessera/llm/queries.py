@@ -129,5 +129,27 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
 
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_SQL = {
+    "p1_found": f"""WITH c AS (SELECT DISTINCT chunk_id, {_WORDS.format("text_content")} AS ts FROM product_chunk_metadata WHERE text_content IS NOT NULL AND chunk_id IS NOT NULL),
+      g AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(ts) - 1), lambda i: ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2])) AS gram FROM c WHERE len(ts) >= 20),
+      n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY chunk_id),
+      p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.chunk_id < b.chunk_id GROUP BY ALL)
+      SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE 2 * both_have >= x.n + y.n - both_have""",
+    "p2_found": "SELECT DISTINCT chunk_id FROM product_chunk_metadata WHERE length(text_content) > 2000",
+    "p4_found": """WITH r AS (SELECT 'dense' AS store, generation_id, model_id, dim, document_id, embedding FROM dense_vectors UNION ALL SELECT 'residual', generation_id, NULL, dim, document_id, embedding FROM residual_dense_vectors),
+      u AS (SELECT store, generation_id, model_id, dim, document_id, any_value(embedding)::DOUBLE[] AS e FROM r WHERE document_id IS NOT NULL AND len(embedding) = dim AND dim > 0 AND NOT list_has_any(list_transform(embedding, lambda v: isnan(v) OR isinf(v)), [true])
+        AND NOT list_bool_and(list_transform(embedding, lambda v: v = 0)) GROUP BY ALL),
+      s AS (SELECT a.store, a.generation_id, a.document_id AS x, b.document_id AS y, row_number() OVER (PARTITION BY a.store, a.generation_id, a.model_id, a.dim, a.document_id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.document_id) AS place, list_cosine_similarity(a.e, b.e) AS c
+        FROM u a JOIN u b ON a.store = b.store AND a.generation_id = b.generation_id AND a.model_id IS NOT DISTINCT FROM b.model_id AND a.dim = b.dim AND a.document_id <> b.document_id)
+      SELECT DISTINCT store, generation_id, least(x, y) AS document_id_a, greatest(x, y) AS document_id_b FROM s WHERE place <= 10 AND c >= 0.9""",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS ts FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format("text")} AS ts FROM benchmark WHERE text IS NOT NULL),
+      dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ts) - 8), lambda k: array_to_string(ts[k : k + 9], ' '))) AS g FROM d WHERE len(ts) >= 10),
+      ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ts) - 8), lambda k: array_to_string(ts[k : k + 9], ' '))) AS g FROM i WHERE len(ts) >= 10)
+      SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say the same at test size; the other queries are tested in tests/llm."""
+    return dict(_SQL)
