@@ -44,3 +44,25 @@ def materialise(df: DataFrame, *, label: str = "cut") -> DataFrame:
 def checked_broadcast(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     """Broadcast ``df`` only if its measured row count keeps it under ``BROADCAST_BYTES``; else leave the join to shuffle."""
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: nothing to do where its folder is on their path, else it is sent along once."""
+    import os
+    import tempfile
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    on_path = root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if on_path or sc.master.startswith("local[") and os.getcwd() == root or getattr(sc, "_tessera_sent", False):
+        return
+    place = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_package.zip")  # the driver serves it from here
+    with zipfile.ZipFile(place, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "tessera")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(place)
+    sc._tessera_sent = True
