@@ -2,7 +2,8 @@
 
 One Aho-Corasick pass over the lower-cased text finds the places worth a look (given names, phrases that
 introduce a person, street words, labels of identity numbers, at-signs); small patterns are applied there
-only. Digit groups are found by one pattern over the text. Finds that overlap are settled in favour of
+only. Digit groups, and capitalised first names or initials with a surname, are found by one pattern each
+over the text; the latter count by lists of names and by context. Finds that overlap are settled in favour of
 email, then identity number, phone, address, name.
 
 ``redact`` replaces each find either by a placeholder of its type or by a surrogate: a replacement keyed
@@ -29,10 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import people
+
 # Given names by gender: a parameter of the detector, extend it for other corpora.
 FEMALE = "agnès anna chidera claire elena emma haruka helga ingrid keturah leocadia liora lucia luzie maite maria marie marit mary mirela nerys ottilie petra petrina priyal saskia sarah sofia solvei susan tavika wanda xiulan yselle zdenka zoë zoe".split()
 MALE = "amadi anselm benedek björk carlos corvin danek david dovid eskil florin hakon hans ibo ignacio íñigo iñigo inigo james jean john joren josé juan karl luis michael noam oswin paul peter pierre radu robert ruvim thomas tomé".split()
-GIVEN = {**dict.fromkeys(FEMALE, "f"), **dict.fromkeys(MALE, "m")}
+GIVEN = {**dict.fromkeys([w for w in people.FEMALE if w not in people.DOUBTFUL], "f"), **dict.fromkeys([w for w in people.MALE if w not in people.DOUBTFUL], "m"), **dict.fromkeys(FEMALE, "f"), **dict.fromkeys(MALE, "m")}
 SURNAME_END = re.compile(r"(?:aert|arro|berg|berger|brand|dal|enko|escu|feld|haven|holm|holt|imura|lund|mann|moor|ovic|ovich|quist|ski|son|stein|strand|ström|sen|tonne|vski|wick|worth)$", re.I)
 BEFORE_NAME = (
     "go to ", "cc: ", "dr. ", "signed: ", "reported by ", "account of ", "bitte an ", "ask for ", "gemeldet von ", "rappeler ", "avisar a ",
@@ -49,6 +52,10 @@ _PART = r"(?:(?i:de\s+la|de\s+los|van\s+der|van\s+den|de|del|van|von|der|di|da|l
 _FIRST_LAST = rf"(?:(?P<g>{_W})|[^\W\d_]\.)\s+(?:[^\W\d_]\.\s+)?{_PART}(?P<s>{_W})"
 _LAST_FIRST = rf"{_PART}(?P<s2>{_W})\s?,\s+(?:(?P<g2>{_W})|[^\W\d_]\.)(?:\s+[^\W\d_]\.)?"
 NAME_AT = re.compile(rf"(?:{_FIRST_LAST}|{_LAST_FIRST})(?![\w@])")
+_CAP = r"[^\W\d_a-z][^\W\d_]*(?:['’\-][^\W\d_]+)*"  # an upper-case letter first; other scripts' small letters are sorted out by title()
+SHAPE = re.compile(rf"(?<![\w@/'’\-])(?<![\w]\.)(?P<i>(?:[^\W\d_a-z]\.[ \xa0]?){{1,3}}|{_CAP}[ \xa0]+(?:[^\W\d_a-z]\.[ \xa0]+)?)(?:[ \xa0\n]*)(?P<p>{_PART})(?P<s>{_CAP})(?![\w@(]|\.\w|[/-]\w)")
+DOES = re.compile(rf"['’]s\b|,?\s+(?P<v>{people.DOES})\b")
+CUES = re.compile(people.CUES, re.I)
 NAME_END = re.compile(rf"(?<![\w.@])(?:{_FIRST_LAST}|{_LAST_FIRST})$")
 EMAIL_AT = re.compile(r"(?P<l>[^\W_][\w.+\-]*|_[\w.+\-]+)(?:@|\s?[\[({]\s?at\s?[\])}]\s?|\s+at\s+(?=[\w\-]+\s+dot\s))(?P<d>[\w\-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)[^\W_][\w\-]*)+)", re.I)
 FILE_END = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|py|go|rs|ts|js|java|css|html?|json|ya?ml|md|txt)$", re.I)
@@ -133,6 +140,7 @@ class Detector:
         contacts = [f for f in out if f[2] in ("email", "phone")]
         for at, kind in names:
             self._name(text, low, at, kind, out)
+        self._shaped(text, out)
         for a, _, _ in contacts:  # a name that stands before a phone number or an address in a record
             m = re.search(r"[,;|<(\t]\s*\"?$", text[max(0, a - 4) : a])
             if m:
@@ -234,6 +242,33 @@ class Detector:
                 out.append((lo + cut + 1 + m.start(), lo + cut + 1 + m.end(), "name"))
                 return
 
+    def _shaped(self, text: str, out: list) -> None:
+        """Names of any capitalised first name or initials with a surname: what is in no list counts by its context."""
+        taken = [(a, b) for a, b, t in out if t == "name"]
+        at = 0
+        while m := SHAPE.search(text, at):
+            at = m.end("i")
+            if any(a < m.end() and m.start() < b for a, b in taken):
+                continue
+            first, last = m["i"].split()[0], m["s"]
+            if not _titled(last) or last.lower() in people.WORDS or last.lower() in _STREET_WORDS or len(last) < 2:
+                continue
+            initials = first.endswith(".")
+            if not first[0].isupper() or not initials and (not _titled(first) or len(first) < 2 or first.lower() in people.WORDS):
+                continue
+            listed, surname = not initials and first.lower() in people.DOUBTFUL, last.lower() in people.SURNAMES or bool(SURNAME_END.search(last)) and len(last) > 4
+            after = DOES.match(text, m.end())
+            does = 0 if not after else 2 if not after["v"] or after["v"] in people.STRONG else 1
+            cue = 2 if CUES.search(text[max(0, m.start() - 30) : m.start()]) else 0
+            if initials and "\n" in text[m.end("i") - 1 : m.start("s")]:
+                continue
+            if initials and re.search(r"[^\W\d_]\s+$", text[max(0, m.start() - 3) : m.start()]) and not cue and (does < 2 and not surname or last.lower() in people.WORDS):
+                continue  # the end of a sentence: option B. Then
+            if 2 * surname + listed + does + cue >= 2:
+                out.append((m.start(), m.end(), "name"))
+                taken.append(m.span())
+                at = m.end()
+
     @staticmethod
     def _is_name(m: re.Match, hinted: bool) -> bool:
         given, last = m["g"] or m["g2"], m["s"] or m["s2"]
@@ -242,6 +277,8 @@ class Detector:
             return False
         shaped = bool(SURNAME_END.search(last))
         title = last[:1].isupper() and (given is None or given[:1].isupper())
+        if known and not hinted and (last.lower() in people.WORDS or last.lower() in _STREET_WORDS):
+            return False
         if known:
             lower = hinted and given.islower() and last.islower() and len(last) > 3 and last not in _NOT_LAST
             return shaped or lower or title and (given[1:].isupper() == last[1:].isupper() or not given.isupper())
@@ -262,6 +299,12 @@ def _trimmed(number: str) -> str:
     return number
 
 
+def _titled(word: str) -> bool:
+    """Capitalised, not all capitals: Huber, O'Neill, McAdam, Żak, Иванов."""
+    return word[0].isupper() and (word[1:2].islower() or word[1:2] in "'’" and len(word) > 3) and not any(c.isdigit() for c in word)
+
+
+_STREET_WORDS = set(STREETS.split("|")) | {w.strip() for w in EURO_STREETS}
 _NOT_LAST = set("the and for with from this that these those your our their his her every each you team support group dataset street lane road monday tuesday wednesday thursday friday saturday sunday".split())
 
 

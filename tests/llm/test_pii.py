@@ -56,3 +56,12 @@ def test_surrogates_are_distinct_and_keep_form():
     assert s.of("name", "Marit Lindholt").split(" ")[1].lower() == s.of("name", "LINDHOLT, MARIT").split(",")[0].lower()
     assert s.of("name", "marit lindholt").islower() and s.of("name", "MARIT LINDHOLT").isupper()
     assert P.Surrogates(b"other").of("phone", "+33 1 99 00 53 52") != s.of("phone", "+33 1 99 00 53 52")
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Emily Clark joined the review", ["Emily Clark"]), ("a note by William Stone and Stefan Huber", ["William Stone", "Stefan Huber"]), ("E. Clark reviewed it, J. R. Smith agreed", ["E. Clark", "J. R. Smith"]),
+    ("CLARK, EMILY", ["CLARK, EMILY"]), ("Иван Петров сказал", ["Иван Петров"]), ("Tarquin Ashgrove asked for it; we met Bożydar Żak", ["Tarquin Ashgrove", "Bożydar Żak"]),  # in no list
+    ("Choose option B. Then restart. Mark Completed items. The Grace Period ended. Visual Studio and San Francisco are no people.", []),
+])
+def test_names_in_ordinary_text(text, want):
+    assert [text[a:b] for a, b, t in D.finds(text) if t == "name"] == want
