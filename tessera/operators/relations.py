@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import path_multiplier
+from tessera.runtime import materialise
+
 # ---- filters -------------------------------------------------------------------------------------
 
 
@@ -109,12 +112,13 @@ def latest_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def symbol_hop(symbols: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+def symbol_hop(symbols: DataFrame, seeds: DataFrame, k: int, short: bool = True) -> DataFrame:
     """(path, name): up to k files that share a symbol name with the seed files, by their first shared name, definitions before references.
 
-    ``symbols`` (path, name, kind in def/ref); ``seeds`` (path) is a short list of a query.
+    ``symbols`` (path, name, kind in def/ref); ``seeds`` (path) is a short list of a query, which is broadcast, or of any length if not ``short``.
     """
-    s = F.broadcast(seeds.select("path").distinct())
+    s = seeds.select("path").distinct()
+    s = F.broadcast(s) if short else s
     names = symbols.join(s, "path", "left_semi").select("name").distinct()
     near = symbols.join(names, "name").join(s, "path", "left_anti")
     first = near.groupBy("path").agg(F.min(F.struct("name", F.when(F.col("kind") == "def", 0).otherwise(1).alias("k"))).alias("f"))
@@ -135,12 +139,55 @@ def expand_seeds(symbols: DataFrame, seeds: DataFrame, multiplier: Column, k: in
     return seeds.select("path", F.lit(2.0).alias("score")).union(near)
 
 
-def impact(symbols: DataFrame, name: str, depth: int = 2, k: int = 24) -> DataFrame:
-    """(path, hops, severity): files that define or refer to a symbol and, to a bounded depth, their symbol neighbours."""
-    found = symbols.where(F.lower("name") == name.lower()).select("path").distinct().orderBy("path").limit(k).withColumn("hops", F.lit(0))
+def resolve_seeds(files: DataFrame, symbols: DataFrame, seed: str, most: int = 5) -> DataFrame:
+    """(path): what a seed stands for: with a slash the file of that path, else up to ``most`` files whose path holds it, in path order;
+    without one all files that define the symbol, in any case."""
+    seed = seed.strip()
+    if "/" in seed or "\\" in seed:
+        hits = files.select("path").distinct().where(F.col("path").contains(seed)).withColumn("exact", F.col("path") == seed)
+        return hits.orderBy(F.desc("exact"), "path").limit(most).withColumn("any", F.max("exact").over(Window.partitionBy())).where(F.col("exact") | ~F.col("any")).select("path")
+    return symbols.where((F.col("kind") == "def") & (F.lower("name") == seed.lower()) & (F.lit(seed) != "")).select("path").distinct()
+
+
+def direct_files(symbols: DataFrame, name: str, imports: DataFrame | None, edges: DataFrame | None, refs: int = 24, stems: int = 16, calls: int = 24) -> DataFrame:
+    """(path): all files that define a symbol; of those that refer to it the ``refs`` best by path multiplier; the first ``stems``
+    that import (path, target) the stem of a defining file; files of the first ``calls`` edges into the symbol.
+
+    Each arm counts only files that the arms before it have not. A stem lies in a target at any place, so the defining
+    files' distinct stems meet the imports in a nested loop.
+    """
+    names = list(dict.fromkeys([name, name.lower()]))
+    defining = symbols.where((F.col("kind") == "def") & (F.lower("name") == name.lower())).select("path").distinct()
+    referring = symbols.where((F.col("kind") == "ref") & F.col("name").isin(*names)).select("path").distinct().join(defining, "path", "left_anti")
+    found = defining.union(referring.orderBy(F.desc(path_multiplier(F.col("path"))), "path").limit(refs))
+    if imports is not None:
+        stem = F.regexp_replace(F.regexp_replace(F.lower("path"), r"^.*/", ""), r"\.[^.]*$", "")
+        s = defining.groupBy(stem.alias("stem")).agg(F.min("path").alias("definer"))
+        i = imports.select("path", F.lower("target").alias("target")).distinct().join(found, "path", "left_anti")
+        hits = i.join(s, F.col("target").contains(F.col("stem"))).groupBy("path").agg(F.min("definer").alias("definer"))
+        found = found.union(hits.orderBy("definer", "path").limit(stems).select("path"))
+    if edges is not None:
+        into = None
+        for n in names:
+            e = callers(edges, n, calls).select("file", F.lit(names.index(n)).alias("name"))
+            into = e if into is None else into.union(e)
+        new = into.groupBy(F.col("file").alias("path")).agg(F.min("name").alias("name")).join(found, "path", "left_anti")
+        found = found.union(new.orderBy("name", "path").limit(calls).select("path"))
+    return found
+
+
+def impact(symbols: DataFrame, name: str, depth: int = 2, k: int = 40, imports: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """(path, hops, severity): the files a symbol's change meets directly and, to a bounded depth, up to k symbol neighbours of the last hop's files.
+
+    ``imports`` (path, target) and ``edges`` (file, position, from, to, kind) add the files that import a defining file or call the
+    symbol. The reference also ends the closure at 40 files in all, which leaves nearly no neighbours where more define the symbol; here every hop counts.
+    """
+    found = materialise(direct_files(symbols, name, imports, edges).withColumn("hops", F.lit(0)))
+    last = found
     for i in range(depth):  # a fixed small number of joins
-        near = symbol_hop(symbols, found.select("path"), k).select("path").withColumn("hops", F.lit(i + 1))
-        found = found.union(near)
+        near = symbol_hop(symbols, last.select("path"), k, short=False).select("path").join(found.select("path"), "path", "left_anti")
+        last = materialise(near.withColumn("hops", F.lit(i + 1)))
+        found = found.union(last)
     n = found.agg(F.count("*").alias("n"))
     level = F.when(F.col("n") <= 4, "low").when(F.col("n") <= 16, "medium").otherwise("high")
     return found.crossJoin(F.broadcast(n)).select("path", "hops", level.alias("severity"))

@@ -292,3 +292,26 @@ def test_evidence_operators(spark):
     assert rows(E.import_stem_edges(edges, "Cursor"), "file") == [("f",)]
     s = spark.createDataFrame([(1, "One two. Cursor planner here! Cursor"), (2, None)], "id int, t string")
     assert rows(E.support_sentences(s, "id", "t", ["cursor", "planner"])) == [(1, "Cursor planner here!", 2)]
+
+
+def test_impact_keeps_every_definer_and_ranks_the_rest(spark):
+    from tessera.operators import relations as R
+
+    defs = [(f"z/d{i:02d}.go", "Widget", "def") for i in range(30)]
+    refs = [(f"a/tests/r{i:02d}.go", "widget", "ref") for i in range(24)] + [(f"src/r{i}.go", "Widget", "ref") for i in range(3)]
+    s = spark.createDataFrame([*defs, *refs, ("n/near.go", "Other", "ref"), ("z/d29.go", "Other", "def")], "path string, name string, kind string")
+    imports = spark.createDataFrame([(f"i/{i:02d}.go", "x/D07") for i in range(20)], "path string, target string")
+    edges = spark.createDataFrame([("c/call.go", 0, "f", "Widget", "call"), ("c/self.go", 0, "Widget", "Widget", "call")], "file string, position int, from string, to string, kind string")
+    got = {r["path"]: r["hops"] for r in R.impact(s, "Widget", imports=imports, edges=edges).collect()}
+    direct = {p for p, h in got.items() if h == 0}
+    assert {p for p, _, _ in defs} <= direct and {"src/r0.go", "src/r1.go", "src/r2.go"} <= direct and "c/call.go" in direct and "c/self.go" not in got
+    assert sum(p.startswith("a/tests") for p in direct) == 21 and {p for p in direct if p[0] == "i"} == {f"i/{i:02d}.go" for i in range(16)} and got["n/near.go"] == 1
+
+
+def test_seeds_by_path_and_symbol(spark):
+    from tessera.operators import relations as R
+
+    files = spark.createDataFrame([(f"m{i}/a/b.go",) for i in range(9)] + [("a/b.go",)], "path string")
+    s = spark.createDataFrame([("x.go", "Widget", "def"), ("y.go", "widget", "def"), ("z.go", "Widget", "ref")], "path string, name string, kind string")
+    got = lambda seed: sorted(r["path"] for r in R.resolve_seeds(files, s, seed).collect())
+    assert got("a/b.go") == ["a/b.go"] and got("/a/b") == [f"m{i}/a/b.go" for i in range(5)] and got("WIDGET") == ["x.go", "y.go"] and got(" ") == []
