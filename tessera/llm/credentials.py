@@ -62,8 +62,10 @@ _SET = re.compile(r"[ \t]+([\"'`])([^\"'`\n]+)\1")
 _SAID = re.compile(r"\s+(?:is|was)\s+([^\s\"'`,;]+?)(?=[,.;]?(?:\s|$))")
 _BLOCK = re.compile(r"[\"']?\s*\{\s*(?:[a-z_]+\s*=\s*(?!\")\S+\s+|description\s*=\s*\"[^\"\n]*\"\s+)*default\s*=\s*\"([^\"\n]+)\"")
 _VALUE_LINE = re.compile(r"[\"']?[ \t]*\r?\n[ \t]*[\"']?value[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"']+)")
-_MANIFEST = re.compile(r"kind:\s*Secret\b[^\n]*\n(?:(?!kind:|---)[^\n]*\n){0,12}?[ \t]*(?:stringData|data):[ \t]*\r?\n((?:[ \t]+[\w.\-]+:[ \t]*[^\s#]+[ \t]*(?:\r?\n|$))+)", re.I)
-_PAIR = re.compile(r"[ \t]+[\w.\-]+:[ \t]*[\"']?([^\s\"'#]+)")
+_KIND = re.compile(r"kind:\s*[\"']?Secret[\"']?[ \t]*(?:#.*)?$", re.I)
+_SECTION = re.compile(r"(?:stringData|data):[ \t]*(?:#.*)?$", re.I)
+_ENTRY = re.compile(r"[\"']?[\w.\-/]+[\"']?:(?:[ \t]+|$)(?P<v>(?P<q>[\"'])(?P<in>(?:\\.|(?!(?P=q)).)*)(?P=q)?|[|>][+\-\d]*[ \t]*(?:#.*)?$|[^\s#].*?(?=[ \t]+#|[ \t]*$))?")
+_PUBLIC = re.compile(r"\s*-----BEGIN (?:TRUSTED |X509 )?(?:CERTIFICATE|PUBLIC KEY)")
 _LITERAL = re.compile(r"(?<![A-Za-z0-9+/=_\-%\\])(?:[A-Za-z0-9+/_\-]{24,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.\-~]){0,200}?(?:%[0-9A-Fa-f]{2}){4,}(?:%[0-9A-Fa-f]{2}|[\w.\-~])*|(?:\\x[0-9a-fA-F]{2}){8,}|(?:\\u00[0-9a-fA-F]{2}){8,})(?![A-Za-z0-9+/=_])")
 
 
@@ -76,7 +78,8 @@ def _automaton() -> ahocorasick.Automaton:
     a.add_word("private key", (11, "pem"))
     a.add_word("://", (3, "url"))
     a.add_word("password ", (9, "netrc"))
-    a.add_word("kind: secret", (12, "manifest"))
+    for w in ("kind: secret", 'kind: "secret"', "kind: 'secret'"):
+        a.add_word(w, (len(w), "manifest"))
     for w in ("curl ", "sshpass ", "redis-cli "):
         a.add_word(w, (len(w), "user"))
     a.make_automaton()
@@ -140,10 +143,9 @@ class Scanner:
                 if m and not _PLACEHOLDER.match(m[1]):
                     out.append((m.start(1), m.end(1), "password"))
             elif kind == "manifest":
-                m = _MANIFEST.search(text, end - size, end + 2000)
-                for v in _PAIR.finditer(text, m.start(1), m.end(1)) if m else ():
-                    if not _PLACEHOLDER.match(v[1]) and len(v[1]) >= 8:
-                        out.append((v.start(1), v.end(1), "value"))
+                for a, b in manifest_values(text, end - size + 1):
+                    if not _PLACEHOLDER.match(text[a:b]) and b - a >= 8 and not _public(text[a:b]):
+                        out.append((a, b, "value"))
             elif end > done:
                 m = _NETRC.search(text, max(0, end - 120), end + 120)
                 if m and not _PLACEHOLDER.match(m[1]):
@@ -258,9 +260,113 @@ def decoded(literal: str) -> list[bytes]:
 
 
 def readable(raw: bytes) -> str | None:
-    if len(raw) < 8 or sum(32 <= b < 127 or b in b"\t\n\r" for b in raw) < len(raw):
+    """The text of bytes that are UTF-8 without control characters."""
+    if len(raw) < 8:
         return None
-    return raw.decode("ascii")
+    try:
+        text = raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    return text if all(c.isprintable() or c in "\t\n\r\xa0\xad\u200b\u202f\u3000\ufeff" for c in text) else None
+
+
+def _lines(text: str, at: int, step: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the lines after (or before) the one that holds a place."""
+    while True:
+        if step > 0:
+            lo = text.find("\n", at) + 1
+            if not lo or lo >= len(text):
+                return
+        else:
+            hi = text.rfind("\n", 0, at)
+            if hi < 0:
+                return
+            lo = text.rfind("\n", 0, hi) + 1
+        end = text.find("\n", lo)
+        end = len(text) if end < 0 else end
+        yield lo, end - (text[end - 1 : end] == "\r" and end > lo)
+        at = lo
+
+
+def manifest_values(text: str, at: int) -> list[tuple[int, int]]:
+    """Values under data and stringData of the Kubernetes Secret whose ``kind:`` stands at a place, in any order of the keys.
+
+    The manifest is walked by lines both ways, to a ``---`` or a fence, to the manifest before or after, and in a list to the ends of its item.
+    """
+    start = text.rfind("\n", 0, at) + 1
+    end = text.find("\n", at)
+    if not _KIND.match(text[at : len(text) if end < 0 else end].rstrip("\r")):
+        return []
+    lead = text[start:at]
+    own = len(lead) if not lead.strip(" \t-") else len(lead) - len(lead.lstrip())
+
+    def parts(lo: int, hi: int) -> tuple[int, int]:
+        """(indent of the content behind a list dash, indent)"""
+        line = text[lo:hi]
+        raw = len(line) - len(line.lstrip(" \t"))
+        dash = re.match(r"[ \t]*-[ \t]+(?=\S)", line)
+        return (dash.end() if dash else raw), raw
+
+    def key(lo: int, hi: int, name: str) -> bool:
+        inner, _ = parts(lo, hi)
+        return inner == own and text.startswith(name, lo + inner)
+
+    lines, versioned = [(start, len(text) if end < 0 else end)], False
+    if "-" not in lead:
+        for lo, hi in _lines(text, start, -1):
+            inner, raw = parts(lo, hi)
+            if text.startswith(("---", "```"), lo + raw) or key(lo, hi, "kind:") or text[lo:hi].strip() and inner < own:
+                break
+            lines.append((lo, hi))
+            if raw < own and inner == own:
+                break
+            if key(lo, hi, "apiVersion:"):
+                versioned = True
+                break
+    lines.sort()
+    for lo, hi in _lines(text, start, 1):
+        _, raw = parts(lo, hi)
+        if text.startswith(("---", "```"), lo + raw) or key(lo, hi, "kind:") or versioned and key(lo, hi, "apiVersion:") or text[lo:hi].strip() and raw < own:
+            break
+        lines.append((lo, hi))
+    out: list[tuple[int, int]] = []
+    section, entry, open_end = False, None, ""
+    for lo, hi in lines:
+        inner, raw = parts(lo, hi)
+        if not text[lo:hi].strip():
+            continue
+        if inner <= own:
+            section, entry, open_end = bool(_SECTION.match(text[lo + inner : hi])) and inner == own, None, ""
+            continue
+        if not section:
+            continue
+        if entry is not None and raw > entry:  # the value goes on
+            if open_end == "any" or open_end == "code" and re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", text[lo:hi].strip()):
+                a = out[-1][0] if out[-1][0] >= 0 else lo + raw
+                out[-1] = (a, lo + len(text[lo:hi].rstrip(" \t\"'")))
+            continue
+        m = None if text[lo + raw] == "#" else _ENTRY.match(text[lo:hi], raw)
+        if m:
+            entry, open_end = raw, ""
+            value = m["v"] or ""
+            if m["q"]:
+                out.append((lo + m.start("in"), lo + m.end("in")))
+                open_end = "" if len(m["v"]) > 1 and m["v"].endswith(m["q"]) else "any"
+            elif not value or value[0] in "|>":
+                out.append((-1, -1))
+                open_end = "any"
+            else:
+                out.append((lo + m.start("v"), lo + m.end("v")))
+                open_end = "code" if re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", value) else ""
+    return [(a, b) for a, b in out if a >= 0]
+
+
+def _public(value: str) -> bool:
+    """A certificate or public key, plain or encoded."""
+    if _PUBLIC.match(value):
+        return True
+    plain = re.sub(r"\s", "", value)
+    return plain.startswith("LS0tLS1CRUdJTi") and any(_PUBLIC.match(r.decode("latin-1")) for r in decoded(plain))
 
 
 def _der(raw: bytes, at: int) -> tuple[int, int, int] | None:

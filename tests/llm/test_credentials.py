@@ -65,3 +65,22 @@ def test_masking_keeps_layout(spark):
     assert got["b"]["masked"] is None and got["c"]["masked"] == "" and got["c"]["finds"] == [] and AKIA not in got["d"]["masked"]
     assert C.find_secrets(df, "id", "t").where("record_id = 'a'").count() == 2
     assert C.find_secrets(df.where("false"), "id", "t").count() == 0
+
+
+def _secret_values(text):
+    return [text[a:b] for a, b, _ in C.Scanner().finds(text)]
+
+
+def test_manifests_are_read_whole_in_any_order():
+    long = "Q" + "aB3d" * 900
+    text = f"apiVersion: v1\ndata:\n  colour: Zmlyc3Qtb25l\nkind: Secret\nmetadata:\n  labels:\n" + "".join(f"    l{i}: x\n" for i in range(20)) + f"stringData:\n  blob: {long}\n  saying: plum tree hills\n  # note\n  other: 'w0rd of mouth' # why\n  block: |\n    ab12cd34\n    ef56\ntype: Opaque\n  stray: zzzzzzzzzz\n---\nkind: ConfigMap\ndata:\n  plain: nothing-here-at-all\n"
+    assert _secret_values(text) == ["Zmlyc3Qtb25l", long, "plum tree hills", "w0rd of mouth", "ab12cd34\n    ef56"]
+    items = "items:\n- apiVersion: v1\n  data:\n    colour: Zmlyc3Qtb25l\n  kind: Secret\n- apiVersion: v1\n  data:\n    colour: bm90LXNlY3JldA\n  kind: ConfigMap\n"
+    assert _secret_values(items) == ["Zmlyc3Qtb25l"]
+
+
+def test_encoded_layers_may_hold_any_utf8():
+    import base64
+
+    text = "blob " + base64.b64encode("# größe\npassword = 'hT7!kq9Zw2Lm'\n".encode()).decode() + " end"
+    assert len(_secret_values(text)) == 1
