@@ -10,8 +10,8 @@ email, then identity number, phone, address, name.
 by a secret and by the entity's normal form alone, so one person or number gets the same surrogate
 everywhere (coreference), of the same type and layout: digits are enciphered in place by a keyed
 permutation (so distinct numbers stay distinct), names keep gender, case, script and order, and emails
-stay addresses of a reserved domain. ``surrogate_collisions`` checks that distinct entities got distinct
-surrogates.
+stay addresses of a reserved domain. Entities that would share a surrogate are re-keyed before any is
+written; ``surrogate_collisions`` checks that distinct entities got distinct surrogates.
 
 Defined results: null and empty texts have no finds and come out unchanged; of rows with one record id
 all distinct texts are read and equal finds come out once; positions count code points from 0 in the
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import people
+from tessera.runtime import materialise
 
 # Given names by gender: a parameter of the detector, extend it for other corpora.
 FEMALE = "agnès anna chidera claire elena emma haruka helga ingrid keturah leocadia liora lucia luzie maite maria marie marit mary mirela nerys ottilie petra petrina priyal saskia sarah sofia solvei susan tavika wanda xiulan yselle zdenka zoë zoe".split()
@@ -318,19 +319,26 @@ def _settled(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 
 class Surrogates:
-    """Keyed replacements: equal entities get equal ones, distinct digits distinct ones."""
+    """Keyed replacements: equal entities get equal ones, distinct digits distinct ones; ``salts`` ((kind, normal form) -> number) re-keys entities that would share one."""
 
     GIVEN_OUT = {"f": ["Adela", "Birgit", "Celina", "Dorit", "Edda", "Fabia", "Gisela", "Hedda"], "m": ["Aldo", "Bertil", "Clemens", "Dario", "Egon", "Fabio", "Gustav", "Henrik"]}
     SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
 
-    def __init__(self, key: bytes):
-        self.key = key
+    def __init__(self, key: bytes, salts: dict[tuple[str, str], int] | None = None):
+        self.key, self.salts = key, salts or {}
 
     def _stream(self, kind: str, value: str) -> int:
         return int.from_bytes(hmac.new(self.key, f"{kind}\0{value}".encode("utf-8", "replace"), hashlib.sha256).digest(), "big")
 
     @staticmethod
     def normal(kind: str, value: str) -> str:
+        """A form whose own form is itself, so that entities can be named by it."""
+        while (form := Surrogates._form(kind, value)) != value:
+            value = form
+        return form
+
+    @staticmethod
+    def _form(kind: str, value: str) -> str:
         low = re.sub(r"\s+", " ", value.lower()).strip()
         if kind == "phone":
             return re.sub(r"^00", "+", re.sub(r"\(0\)|[^\d+]", "", low))
@@ -364,11 +372,12 @@ class Surrogates:
 
     def of(self, kind: str, value: str) -> str:
         normal = self.normal(kind, value)
-        n = self._stream(kind, normal)
+        salt = self.salts.get((kind, normal))
+        n = self._stream(kind, f"{normal}\0{salt}" if salt else normal)
         cased = (lambda s: s.upper()) if value.isupper() else (lambda s: s.lower()) if value.islower() else (lambda s: s)
         if kind == "phone":
-            keep = len(re.match(r"(?:\+|00)?(?:1|33|44|49|34)?", re.sub(r"[^\d+]", "", value))[0].lstrip("+")) if value[:1] == "+" or value[:2] == "00" else 0
-            return self._digits(kind, normal, value, keep)
+            keep = len(re.match(r"(?:\+|00)?(?:1|33|44|49|34)?", re.sub(r"\(0\)|[^\d+]", "", value))[0].lstrip("+")) if value[:1] == "+" or value[:2] == "00" else 0
+            return self._digits(kind, normal, value.replace("(0)", "\ue000"), keep).replace("\ue000", "(0)")
         if kind == "id_number":
             return self._digits(kind, normal, value)
         if kind == "email":
@@ -401,34 +410,74 @@ def find_pii(rows: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def resolve_salts(entities: DataFrame, key: str = "tessera") -> dict[tuple[str, str], int]:
+    """Salts by which all distinct entities (pii_type, entity) get distinct surrogates: of those that share one, the first keeps it.
+
+    Only entities that share a surrogate come to the driver: some n * n / 2e10 of n names.
+    """
+    each = entities.select("pii_type", "entity").distinct()
+    salts: dict[tuple[str, str], int] = {}
+    last = None
+    while True:
+        clash = _surrogates(each, key, salts)
+        shared = clash.groupBy("pii_type", "surrogate").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        rows = clash.join(shared, ["pii_type", "surrogate"]).collect()
+        groups: dict[tuple[str, str], list[str]] = {}
+        for r in rows:
+            groups.setdefault((r["pii_type"], r["surrogate"]), []).append(r["entity"])
+        if not groups or groups == last:  # enciphered numbers take no salt
+            return salts
+        last = groups
+        for (kind, _), same in groups.items():
+            for i, e in enumerate(sorted(same, key=lambda e: (salts.get((kind, e), 0), e))[1:], 1):
+                salts[kind, e] = salts.get((kind, e), 0) + i
+
+
 def redact(rows: DataFrame, key: str = "tessera") -> DataFrame:
-    """(source_table, record_id, redacted, surrogate_text, finds): every row with its finds replaced by placeholders, and by surrogates."""
+    """(source_table, record_id, redacted, surrogate_text, finds): every row with its finds replaced by placeholders, and by surrogates
+    that are distinct for distinct entities of all the rows. The texts are read once; their finds are kept in a written table."""
+
+    def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = Detector()
+        for batch in batches:
+            lists = [[{"pii_type": t, "start_pos": lo, "end_pos": hi, "entity": Surrogates.normal(t, body[lo:hi])} for lo, hi, t in d.finds(body)] if body else [] for body in batch["body"]]
+            yield pd.DataFrame({"source_table": batch["source_table"], "record_id": batch["record_id"], "body": batch["body"], "found": lists})
+
+    found = materialise(
+        rows.mapInPandas(detect, "source_table string, record_id string, body string, found array<struct<pii_type:string,start_pos:bigint,end_pos:bigint,entity:string>>"),
+        label="personal",
+    )
+    salts = resolve_salts(found.select(F.explode("found").alias("f")).select("f.pii_type", "f.entity"), key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, s = Detector(), Surrogates(key.encode())
+        s = Surrogates(key.encode(), salts)
         for batch in batches:
             placed, swapped, lists = [], [], []
-            for body in batch["body"]:
-                finds = d.finds(body) if body else []
-                a = b = body
-                for lo, hi, t in reversed(finds):
-                    a = f"{a[:lo]}[{t.upper()}]{a[hi:]}"
-                    b = b[:lo] + s.of(t, body[lo:hi]) + b[hi:]
-                placed.append(a)
-                swapped.append(b)
-                lists.append([{"pii_type": t, "start_pos": lo, "end_pos": hi} for lo, hi, t in finds])
+            for body, finds in zip(batch["body"], batch["found"]):
+                a, b, at = [], [], 0
+                for f in finds:
+                    lo, hi, t = f["start_pos"], f["end_pos"], f["pii_type"]
+                    a += [body[at:lo], f"[{t.upper()}]"]
+                    b += [body[at:lo], s.of(t, body[lo:hi])]
+                    at = hi
+                placed.append("".join(a) + body[at:] if body is not None else None)
+                swapped.append("".join(b) + body[at:] if body is not None else None)
+                lists.append([{"pii_type": f["pii_type"], "start_pos": f["start_pos"], "end_pos": f["end_pos"]} for f in finds])
             yield pd.DataFrame({"source_table": batch["source_table"], "record_id": batch["record_id"], "redacted": placed, "surrogate_text": swapped, "finds": lists})
 
-    return rows.mapInPandas(run, "source_table string, record_id string, redacted string, surrogate_text string, finds array<struct<pii_type:string,start_pos:bigint,end_pos:bigint>>")
-
+    return found.mapInPandas(run, "source_table string, record_id string, redacted string, surrogate_text string, finds array<struct<pii_type:string,start_pos:bigint,end_pos:bigint>>")
 
-def surrogate_collisions(found: DataFrame, key: str = "tessera") -> DataFrame:
-    """(pii_type, surrogate, entities): surrogates that distinct entities share; the check that redaction keeps entities apart."""
 
+def _surrogates(entities: DataFrame, key: str, salts: dict[tuple[str, str], int]) -> DataFrame:
     @F.pandas_udf("string")
     def swap(kind: pd.Series, value: pd.Series) -> pd.Series:
-        s = Surrogates(key.encode())
-        return pd.Series([s.of(k, v) for k, v in zip(kind, value)])
+        s = Surrogates(key.encode(), salts)
+        return pd.Series([s.of(k, v).lower() for k, v in zip(kind, value)])
 
-    each = found.select("pii_type", "entity").distinct().withColumn("surrogate", swap("pii_type", "entity"))
+    return entities.withColumn("surrogate", swap("pii_type", "entity"))
+
+
+def surrogate_collisions(found: DataFrame, key: str = "tessera", salts: dict[tuple[str, str], int] | None = None) -> DataFrame:
+    """(pii_type, surrogate, entities): surrogates that distinct entities share; the check that redaction keeps entities apart."""
+    each = _surrogates(found.select("pii_type", "entity").distinct(), key, salts or {})
     return each.groupBy("pii_type", "surrogate").agg(F.count("*").alias("entities")).where(F.col("entities") > 1)

@@ -65,3 +65,23 @@ def test_surrogates_are_distinct_and_keep_form():
 ])
 def test_names_in_ordinary_text(text, want):
     assert [text[a:b] for a, b, t in D.finds(text) if t == "name"] == want
+
+
+def test_entities_that_share_a_surrogate_are_told_apart(spark):
+    s, seen, pair = P.Surrogates(b"tessera"), {}, None
+    for i in range(2_000_000):
+        name = "Marit " + "".join("abcdefghiklmnoprstuv"[i // 20**k % 20] for k in range(5)).title() + "holt"
+        if seen.setdefault(out := s.of("name", name), name) != name:
+            pair = (seen[out], name)
+            break
+    rows = [("t", str(i), f"Ask {p} today", None) for i, p in enumerate([*pair, pair[0]])]
+    got = {r["record_id"]: r["surrogate_text"] for r in P.redact(spark.createDataFrame(rows, "source_table string, record_id string, body string, x int")).collect()}
+    assert got["0"] == got["2"] != got["1"]
+    entities = spark.createDataFrame([("name", p.lower()) for p in pair], "pii_type string, entity string")
+    assert P.surrogate_collisions(entities).count() == 1 and P.surrogate_collisions(entities, salts=P.resolve_salts(entities)).count() == 0
+
+
+def test_a_trunk_zero_is_no_other_number():
+    s, digits = P.Surrogates(b"k"), lambda v: "".join(c for c in v.replace("(0)", "") if c.isdigit())
+    a, b, c = (s.of("phone", v) for v in ("+49 (0)30 23125440", "+49 30 23125440", "0049 30 23125440"))
+    assert "(0)" in a and digits(a) == digits(b) == digits(c)[2:]
