@@ -34,7 +34,7 @@ _CODE_LINE = re.compile(r"[{};=()]|^\s*(?:#|//)|^\s+\w+:")
 def kind_of(text: str, kind: str | None) -> str:
     """The stated kind if its lines do not contradict it, else the kind most of its lines look like."""
     stated = (kind or "").strip().lower()
-    lines = [x for x in text.splitlines() if x.strip()][:200]
+    lines = [x for x in text.splitlines() if x.strip()]
     if not lines:
         return stated if stated in KINDS else "prose"
     share = lambda test: sum(map(bool, map(test, lines))) / len(lines)

@@ -58,3 +58,9 @@ def test_table(spark):
     assert {r["record_id"] for r in got} == {"a"} and [r["piece_no"] for r in got] == list(range(len(got)))
     assert all(long[r["start_pos"] : r["end_pos"]] == r["piece"] for r in got) and got[-1]["end_pos"] == len(long)
     assert S.split_texts(df.where("false"), "id", "t", "kind", "at").count() == 0
+
+
+def test_the_kind_counts_all_lines():
+    from tessera.llm.splitting import kind_of
+
+    assert kind_of("A licence in plain words\n" * 210 + "x = f(1);\n" * 800, None) == "code"
