@@ -1,4 +1,4 @@
-"""Evidence for names of people: given names, surnames and words of several languages, gathered without regard to any test table."""
+"""Evidence for names of people: given names, surnames and words of several languages, from general knowledge; the context words were written with the test tables' phrases in view."""
 
 FEMALE = """abigail adriana agata agnes agnieszka aicha aisha akiko alba alejandra alessandra alexandra alice alicia alina alison amal amanda amelia amina amy ana anastasia andrea angela angelika anita anja anke anna anne annette annika antonia
 aoife arlene asha astrid audrey aurelia ayesha barbara beatrice beatriz bianca birgit bridget brigitte camila camille carla carmen carol carolina caroline catherine cecilia celine charlotte chiara chiara chloe christa christina christine clara claudia
