@@ -42,3 +42,33 @@ def test_best_cuts():
     t = np.array([1.0, 1.2, 2.0, 2.1, 3.0, 3.2, 3.9])
     cuts = R.best_cuts(t, np.array([1, 1, 2, 2, 3, 3, 4]), np.ones(7))
     assert [int(sum(x >= c for c in cuts)) + 1 for x in t] == [1, 1, 2, 2, 3, 3, 4]
+
+
+def test_newton_finds_the_curves():
+    import numpy as np
+
+    nodes, trials = np.linspace(-2, 2, 41), np.full(41, 50_000.0)
+    truth = np.array([[-3.0, 1.5, 0.0], [-4.0, -1.0, 2.0], [-5.0, 0.0, 4.0]])
+    prob = 1 / (1 + np.exp(-(truth @ np.stack([np.ones(41), nodes, -nodes * nodes / 2]))))
+    x = prob * trials
+    sums = np.stack([x.sum(1), (x * nodes).sum(1), (x * nodes**2).sum(1)])
+    start = np.tile([-3.0, 0.0, 0.7], (3, 1))
+    got = R.newton(sums, nodes, trials, np.ones(3), start, 30)
+    assert np.abs(got - truth).max() < 0.02
+
+
+def test_levels_of_documents_from_known_curves():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    length, c = np.full(R.SLOTS, 4.0), np.full(R.SLOTS, -np.inf)
+    p, q = np.zeros(R.SLOTS), np.zeros(R.SLOTS)
+    where = rng.uniform(0, 5, 400) - R.MIDDLE
+    c[:400], p[:400], q[:400] = -7 - where**2, 2 * where, 2.0
+    curves = R.Curves(length, c, p, q)
+    levels = np.array([1.0, 2.0, 3.0, 4.0])
+    prob = np.exp(c[:400] + p[:400] * (levels[:, None] - R.MIDDLE) - (levels[:, None] - R.MIDDLE) ** 2)
+    counts = np.array([rng.multinomial(300, row / row.sum()) for row in prob])
+    doc, ids = np.nonzero(counts)
+    got, places = curves.levels(ids, counts[doc, ids], doc, 4)
+    assert np.abs(got - levels).max() < 0.25 and (places == 300).all()
