@@ -54,7 +54,7 @@ def test_newton_finds_the_curves():
     sums = np.stack([x.sum(1), (x * nodes).sum(1), (x * nodes**2).sum(1)])
     start = np.tile([-3.0, 0.0, 0.7], (3, 1))
     got = R.newton(sums, nodes, trials, np.ones(3), start, 30)
-    assert np.abs(got - truth).max() < 0.02
+    assert np.abs(got - truth).max() < 0.03
 
 
 def test_levels_of_documents_from_known_curves():
