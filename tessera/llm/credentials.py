@@ -2,10 +2,11 @@
 
 One Aho-Corasick pass finds key names, token prefixes and armour lines; the assignment (or header,
 URL, XML element, block attribute, command option, comment) around each is parsed and its value
-judged. Literals that look encoded (base64, hex, percent, backslash escapes) are decoded, up to
-``DEPTH`` layers; decoded text is scanned again, and decoded bytes are read by the grammar of key
-containers (DER: PKCS#1, PKCS#8, SEC1; the OpenSSH header). A find inside a layer is reported, and
-masked, as the whole literal in the text, so that the code around it stays intact.
+judged. Literals that look encoded (base64 on one line or wrapped over several, hex, percent, backslash
+escapes) are decoded; decoded text is scanned again, as deep as there are layers (each is shorter than the
+one around it), and decoded bytes are read by the grammar of key containers (DER: PKCS#1, PKCS#8, SEC1; the
+OpenSSH header). A find inside a layer is reported, and masked, as the whole literal in the text, so that
+the code around it stays intact.
 
 Masking keeps quotes, line structure and length: letters and digits of a value become ``*``.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import re
 from collections.abc import Iterator
 from urllib.parse import unquote
@@ -28,26 +30,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 3
-STEMS = (
-    "password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "api key", "access_key", "accesskey", "credential", "bearer", "hooksig",
-    "hook_sig", "svckey", "svc_key", "indexer_key", "private_key", "secret_key", "signingkey", "signing_key", "client_secret", "authorization", "pwd", "account_key", "auth_key", "encryption_key", "adminpw", "dbpw", "rootpw", "userpw", "_pw", "_pass", "dbpass", "deploy_key", "tls_key", "tlskey", "deploykey",
-)
-#: Key names (without punctuation) whose value is a secret whatever it looks like, short of a placeholder.
-SURE = frozenset(
-    "password passwd passphrase secret token apikey xapikey accesskey credential bearer hooksig svckey indexerkey sessiontoken authtoken accesstoken refreshtoken webhooksecret "
-    "dbsecret dbpassword clientsecret secretkey privatekey signingkey pwd secretaccesskey awssecretaccesskey apitoken bottoken deploytoken accountkey authkey encryptionkey userpassword adminpassword adminpw dbpw rootpw userpw dbpass smtppass rootpass adminpass userpass deploykey tlskey".split()
-)
+#: What the name of a secret ends in; the whole name decides how its value is judged (``named``).
+STEMS = ("password", "passwd", "passphrase", "passcode", "secret", "token", "credential", "credentials", "bearer", "authorization", "pwd", "pass", "pw", "key", "sig", "signature", "auth")
+#: Ends of names (without punctuation) whose value is a secret whatever it looks like, short of a placeholder.
+SURE = tuple("password passwd passphrase passcode secret credential credentials bearer pwd apikey accesskey secretkey privatekey signingkey encryptionkey authkey accountkey masterkey deploykey servicekey sshkey tlskey sslkey clientkey storagekey".split())
+#: Parts of names before ``token`` and ``key`` that speak of anything but a secret.
+HARMLESS = frozenset("public primary foreign sort partition cache routing row idempotency dedup hash object map group range shard lookup order next prev page cursor continuation sync start end stop pad mask eos bos unk sep cls max min num count csrf cancellation".split())
 PREFIXES = re.compile(
     r"(?<![\w/+])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|xox[abprs]-[\w\-]{10,}|eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]*"
-    r"|(?:sk|rk|pk)_live_[0-9A-Za-z]{16,}|AIza[\w\-]{35}|npm_[A-Za-z0-9]{36}|(?:[a-z]{2,6}_(?:live|test)_|[a-z]{2,6}[.\-])[0-9a-f]{24,64})(?![\w])"
+    r"|(?:sk|rk|pk)_live_[0-9A-Za-z]{16,}|AIza[\w\-]{35}|npm_[A-Za-z0-9]{36}|[a-z]{2,6}_(?:live|test)_[0-9a-f]{24,64})(?![\w])"
 )
-PREFIX_HINTS = ("akia", "asia", "gho_", "ghp_", "ghs_", "ghr_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "eyj", "_live_", "_test_", "aiza", "npm_", "xb-", "key-", "pbk.")
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN)[\s\S]){0,20000}?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
-PEM_OPEN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:[\s\\nr]|[A-Za-z0-9+/=]{16,}|\w[\w\-]*: [^\n]*)*")
+PREFIX_HINTS = ("akia", "asia", "gho_", "ghp_", "ghs_", "ghr_", "ghu_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "eyj", "_live_", "_test_", "aiza", "npm_")
+#: A short word and a long run of hex digits: an issued key, unless the word names what is no secret.
+ISSUED = re.compile(r"(?<![\w/+.\-])([a-z]{2,6})[.\-][0-9a-f]{24,64}(?!\w)")
+_ISSUED_HINT = re.compile(r"[.\-][0-9a-f]{24}")
+NOT_ISSUED = frozenset("sha md blake crc commit rev ref build trace span req run job img image blob etag uuid guid id hash digest sum object tree node doc page log file tmp cache layer pod".split())
+_PEM_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+_PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+_PEM_REST = re.compile(r"(?:[\s\\nr]|[A-Za-z0-9+/=]{16,}|\w[\w\-]*: [^\n]*)*")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:<[^>]*>?|\$\{.*|\$\(.*|\$[a-z_]\w*$|\$\w{1,2}\$.*|\{\{.*|%\w+%$|%\(\w+\)[sdr]$|%[sdv]$|[*.x•]{3,}|.*(?:replace|change|fill|insert)[-_ ]?(?:me|this|it|in).*|your[-_ ].*|.*\byour[-_].*|example.*|.*EXAMPLE(?:KEY)?$|dummy.*|todo.*|redacted"
-    r"|placeholder.*|none|null|nil|true|false|undefined|empty|os\.(?:environ|getenv).*|process\.env.*|env[.\[(].*|getenv.*|vault[.:/(].*|secrets?[.:/(].*|config[.\[(].*|settings[.\[(].*|arn:.*|sha\d+[:\-].*|data:.*|https?://.*|ref\+.*|!.*|file:.*|/.*)$"
+    r"|placeholder.*|none|null|nil|true|false|undefined|empty|os\.(?:environ|getenv).*|process\.env.*|env[.\[(].*|getenv.*|vault[.:/(].*|secrets?[.:/(].*|config[.\[(].*|settings[.\[(].*|arn:.*|sha\d+[:\-].*|data:.*|https?://.*|ref\+.*|![A-Za-z]+(?:[\s:.].*)?|file:.*)$"
 )
 _SEP = re.compile(r"[\"'`\])]{0,3}[ \t]*(?::=|=>|=(?!=)|:(?!:)|,(?=[ \t]*[\"'`])|>(?![>=]))[ \t]*(?:Bearer[ \t]+|Basic[ \t]+)?", re.I)
 _QUOTED = re.compile(r"(?:[bruf]{1,2})?([\"'`])((?:\\.|(?!\1)[^\\\n])*)\1")
@@ -56,8 +59,13 @@ _BARE = re.compile(r"[^\s\"'`<>,;]+")
 _PASSPHRASE = re.compile(r"[a-z]{3,}(?:-[a-z]{3,}){2,}$")
 _AUTH = re.compile(r"(?i)authorization[\"']?\s*[:,=]\s*[\"'`]?\s*(?:bearer|basic|token)\s+([A-Za-z0-9+/=_\-.~]{8,})")
 _URL = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s:/@\"'<>]*:([^\s/\"'<>][^\s\"'<>]*?)@(?=[\w\-\[])", re.I)
-_NETRC = re.compile(r"(?i)\blogin\s+\S+\s+password\s+(\S+)")
-_USER = re.compile(r"(?:\bcurl\b[^\n]{0,400}?\s(?:-u|--user)[ =]+[\"']?[^\s:\"'/]+:|\bsshpass\s+-p\s*[\"']?|\bredis-cli\b[^\n]{0,200}?\s-a\s+[\"']?)([^\s\"']{4,})")
+_NETRC = re.compile(r"(?i)login\s+\S+\s+password\s+(\S+)")
+_COMMAND = re.compile(r"(?:[^\n\\]|\\[\s\S]?)*")  # to the end of the line, or of the last line it is continued on
+_OPTIONS = {
+    "curl": re.compile(r"\s(?:-u|--user)[ =]+[\"']?[^\s:\"'/]+:([^\s\"']{4,})"),
+    "sshpass": re.compile(r"\s-p\s*[\"']?([^\s\"']{4,})"),
+    "redis-cli": re.compile(r"\s-a\s+[\"']?([^\s\"']{4,})"),
+}
 _SET = re.compile(r"[ \t]+([\"'`])([^\"'`\n]+)\1")
 _SAID = re.compile(r"\s+(?:is|was)\s+([^\s\"'`,;]+?)(?=[,.;]?(?:\s|$))")
 _BLOCK = re.compile(r"[\"']?\s*\{\s*(?:[a-z_]+\s*=\s*(?!\")\S+\s+|description\s*=\s*\"[^\"\n]*\"\s+)*default\s*=\s*\"([^\"\n]+)\"")
@@ -66,7 +74,10 @@ _KIND = re.compile(r"kind:\s*[\"']?Secret[\"']?[ \t]*(?:#.*)?$", re.I)
 _SECTION = re.compile(r"(?:stringData|data):[ \t]*(?:#.*)?$", re.I)
 _ENTRY = re.compile(r"[\"']?[\w.\-/]+[\"']?:(?:[ \t]+|$)(?P<v>(?P<q>[\"'])(?P<in>(?:\\.|(?!(?P=q)).)*)(?P=q)?|[|>][+\-\d]*[ \t]*(?:#.*)?$|[^\s#].*?(?=[ \t]+#|[ \t]*$))?")
 _PUBLIC = re.compile(r"\s*-----BEGIN (?:TRUSTED |X509 )?(?:CERTIFICATE|PUBLIC KEY)")
-_LITERAL = re.compile(r"(?<![A-Za-z0-9+/=_\-%\\])(?:[A-Za-z0-9+/_\-]{24,}={0,2}|(?:%[0-9A-Fa-f]{2}|[\w.\-~]){0,200}?(?:%[0-9A-Fa-f]{2}){4,}(?:%[0-9A-Fa-f]{2}|[\w.\-~])*|(?:\\x[0-9a-fA-F]{2}){8,}|(?:\\u00[0-9a-fA-F]{2}){8,})(?![A-Za-z0-9+/=_])")
+_LITERAL = re.compile(r"(?<![A-Za-z0-9+/_\-%\\])(?:[A-Za-z0-9+/_\-]{24,}={0,2}|(?:\\x[0-9a-fA-F]{2}){8,}|(?:\\u00[0-9a-fA-F]{2}){8,})(?![A-Za-z0-9+/=_%])")
+_WRAPPED = re.compile(r"(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/]{4,}={0,2}(?![^\s\"'`,;)\]}<]))+")
+_PERCENT, _ESCAPED = re.compile(r"[\w.\-~%+]*%[0-9A-Fa-f]{2}[\w.\-~%+]*"), re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2}){4}")
+_NO_LAYER = re.compile(r"(?i)(?:;base64,|sha\d*[:\-]|integrity)$")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -75,9 +86,11 @@ def _automaton() -> ahocorasick.Automaton:
         a.add_word(w, (len(w), "stem"))
     for w in PREFIX_HINTS:
         a.add_word(w, (len(w), "prefix"))
+    for w in ("?key=", "&key=", "?sig=", "&sig=", "?signature=", "&signature="):
+        a.add_word(w, (len(w) - 1, "param"))
     a.add_word("private key", (11, "pem"))
     a.add_word("://", (3, "url"))
-    a.add_word("password ", (9, "netrc"))
+    a.add_word("login ", (6, "netrc"))
     for w in ("kind: secret", 'kind: "secret"', "kind: 'secret'"):
         a.add_word(w, (len(w), "manifest"))
     for w in ("curl ", "sshpass ", "redis-cli "):
@@ -86,6 +99,18 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+_PATH = re.compile(r"(?:[A-Za-z]:|~|\.{1,2})?(?:/(?:[a-z0-9._\-]+|[A-Z0-9._\-]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)?)+")
+_CAMEL = re.compile(r"[a-z]+(?:[A-Z][a-z]+)+|(?:[A-Z][a-z]+)+")
+
+
+def spoken(v: str) -> bool:
+    """A name in camel case whose parts are long enough to be words."""
+    if not _CAMEL.fullmatch(v):
+        return False
+    parts = re.findall(r"[A-Z]?[a-z]+", v)
+    return len(v) >= 3.5 * len(parts) or sum(len(x) < 3 for x in parts) < 2
+
+
 def strong(v: str) -> bool:
     """Looks generated: long, and of mixed character classes or pure hex."""
     if len(v) < 10 or v.isdigit():
@@ -99,9 +124,9 @@ def strong(v: str) -> bool:
 
 def secret_value(v: str, sure: bool, quoted: bool) -> bool:
     """Whether a value assigned to a key of a secret is one."""
-    if len(v) < 6 or v.isdigit() or _PLACEHOLDER.match(v) or " " in v.strip() or re.fullmatch(r"\$2[aby]?\$.*|[\W_]+", v):
+    if len(v) < 6 or v.isdigit() or _PLACEHOLDER.match(v) or " " in v.strip() or re.fullmatch(r"\$2[aby]?\$.*|[\W_]+", v) or _PATH.fullmatch(v):
         return False
-    if PREFIXES.fullmatch(v) or strong(v):
+    if PREFIXES.fullmatch(v) or strong(v) or ISSUED.fullmatch(v):
         return True
     if not sure or "(" in v or "[" in v[:-1] and not quoted:
         return False
@@ -110,28 +135,40 @@ def secret_value(v: str, sure: bool, quoted: bool) -> bool:
     mixed = bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v))
     special = bool(re.search(r"[!#$%^&*?@+~]", v))
     if quoted:
-        odd = sum(a.islower() and b.isupper() for a, b in zip(v, v[1:])) >= 1 and not re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)+|(?:[A-Z][a-z]+)+", v)
+        odd = sum(a.islower() and b.isupper() for a, b in zip(v, v[1:])) >= 1 and not spoken(v)
         return mixed or special or odd
     if len(v) >= 12 and re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", v) and any(map(readable, decoded(v))):
         return True
     return len(v) >= 8 and (mixed or special) and not re.fullmatch(r"[a-z]+(?:_[a-z]+)*\d{0,2}|[\w\-]+(?:/[\w\-.]+)+|\d+(?:\.\d+)?\w{1,3}", v)
 
 
+def named(word: str) -> tuple[str | None, bool]:
+    """The name without punctuation, and whether it is surely that of a secret; None if it speaks of something else."""
+    parts = [x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+", word)]
+    name = "".join(parts)
+    if not parts or parts[-1] in ("key", "token", "auth") and any(x in HARMLESS for x in parts[:-1]):
+        return None, False
+    sure = name.endswith(SURE) or parts[-1] in ("pw", "pass", "token", "secret") and (len(parts) < 3 or word.isupper() or parts[-1] != "token")
+    return name, sure or re.fullmatch(r"(?:admin|db|root|user|smtp|ftp|mail|my)(?:pw|pass)", name) is not None
+
+
 class Scanner:
     """Secret spans (start, end, kind) of a text."""
 
     def __init__(self):
         self.hints = _automaton()
 
-    def finds(self, text: str, depth: int = DEPTH) -> list[tuple[int, int, str]]:
+    def finds(self, text: str) -> list[tuple[int, int, str]]:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         out: list[tuple[int, int, str]] = []
-        done, pem, prefix, url = -1, False, False, False
+        shell, pem, prefix, url = -1, False, False, False
         for end, (size, kind) in self.hints.iter(low):
             if kind == "stem":
                 self._assigned(text, low, end - size + 1, end + 1, out)
+            elif kind == "param":
+                self._value(text, end + 1, False, out, param=True)
             elif kind == "pem":
                 pem = True
             elif kind == "prefix":
@@ -139,24 +176,27 @@ class Scanner:
             elif kind == "url":
                 url = True
             elif kind == "user":
-                m = _USER.match(text, end - size + 1)
-                if m and not _PLACEHOLDER.match(m[1]):
-                    out.append((m.start(1), m.end(1), "password"))
+                at = end - size + 1
+                if at >= shell and (not at or not low[at - 1].isalnum()):
+                    shell = _COMMAND.match(text, at).end()
+                    for m in _OPTIONS[low[at:end]].finditer(text, end, shell):
+                        if not _PLACEHOLDER.match(m[1]):
+                            out.append((m.start(1), m.end(1), "password"))
             elif kind == "manifest":
                 for a, b in manifest_values(text, end - size + 1):
                     if not _PLACEHOLDER.match(text[a:b]) and b - a >= 8 and not _public(text[a:b]):
                         out.append((a, b, "value"))
-            elif end > done:
-                m = _NETRC.search(text, max(0, end - 120), end + 120)
+            else:
+                m = _NETRC.match(text, end - size + 1)
                 if m and not _PLACEHOLDER.match(m[1]):
                     out.append((m.start(1), m.end(1), "password"))
-                done = end
         if pem:
-            for m in PEM.finditer(text):
-                out.append((m.start(), m.end(), "private_key"))
-            for m in PEM_OPEN.finditer(text):
-                if all(not a <= m.start() < b for a, b, k in out if k == "private_key"):
-                    out.append((m.start(), m.end(), "private_key"))
+            for a, b in armoured(text):
+                out.append((a, b, "private_key"))
+        if _ISSUED_HINT.search(low):
+            for m in ISSUED.finditer(text):
+                if m[1] not in NOT_ISSUED:
+                    out.append((m.start(), m.end(), "token"))
         if prefix:
             for m in PREFIXES.finditer(text):
                 if not _PLACEHOLDER.match(m[0]):
@@ -165,8 +205,7 @@ class Scanner:
             for m in _URL.finditer(text):
                 if not _PLACEHOLDER.match(m[1]) and len(m[1]) >= 4:
                     out.append((m.start(1), m.end(1), "password"))
-        if depth:
-            self._layers(text, depth, out)
+        self._layers(text, out)
         return _settled(out)
 
     def _assigned(self, text: str, low: str, at: int, end: int, out: list) -> None:
@@ -176,19 +215,22 @@ class Scanner:
             a -= 1
         if end < n and (low[end].isalnum() or low[end] in "_-"):
             return  # a longer name: token_count, secret_name, password_hash
-        name = low[a:end].replace("_", "").replace("-", "").replace(" ", "")
+        while a and low[a - 1] == " " and low[a - 4 : a - 1] in ("api", "ess", "ate", "ret", "ing") and low[a:end] in ("key", "token"):
+            a = low.rfind(" ", 0, a - 1) + 1  # api key, access key, private key, secret key, signing key
+        name, sure = named(text[a:end])
+        if name is None:
+            return
         if name == "authorization":
             m = _AUTH.match(text, a)
             if m and not _PLACEHOLDER.match(m[1]):
                 out.append((m.start(1), m.end(1), "header"))
             return
-        sure = name in SURE or any(name.endswith(x) for x in ("password", "passwd", "apikey", "clientsecret", "secretkey")) and text[a:end].isupper()
         m = _SEP.match(text, end)
         if m:
             self._value(text, m.end(), sure, out, param=a > 0 and text[a - 1] in "?&")
         else:
             m = _SET.match(text, end)
-            if m and re.search(r"\bset\s+$", text[max(0, a - 8) : a]) and secret_value(m[2], sure, True):
+            if m and re.search(r"\bset$", low[max(0, (b := _bare_end(text, a)) - 4) : b]) and secret_value(m[2], sure, True):
                 out.append((m.start(2), m.end(2), "value"))
             m = _SAID.match(text, end)
             if m and secret_value(m[1], True, len(m[1]) >= 8):
@@ -227,25 +269,70 @@ class Scanner:
             if secret_value(value, sure, False):
                 out.append((m.start(), m.start() + len(value), "value"))
 
-    def _layers(self, text: str, depth: int, out: list) -> None:
+    def _layers(self, text: str, out: list) -> None:
+        known = sorted((a, b) for a, b, _ in out)
+        starts = [a for a, _ in known]
+
+        def inside(at: int) -> bool:
+            i = bisect.bisect_right(starts, at)
+            return any(a <= at < b for a, b in known[max(0, i - 3) : i])  # finds hardly overlap
+
+        done = tried = -1
         for m in _LITERAL.finditer(text):
-            if any(a <= m.start() < b for a, b, _ in out) or re.search(r"(?i)(?:data:[\w/+.\-]*;base64,|sha\d*[:\-]|integrity)$", text[max(0, m.start() - 60) : m.start()]):
+            if m.start() < done or inside(m.start()) or _NO_LAYER.search(text[max(0, m.start() - 16) : m.start()]):
                 continue
-            for raw in decoded(m[0]):
-                if key_container(raw):
-                    out.append((m.start(), m.end(), "encoded_key"))
-                    break
-                inner = readable(raw)
-                if inner and self.finds(inner, depth - 1):
-                    out.append((m.start(), m.end(), "encoded"))
-                    break
+            more = _WRAPPED.match(text, m.end()) if m.start() >= tried and text[m.end() : m.end() + 1] in ("\n", "\r") else None
+            lines = more[0].split() if more else []
+            if len(lines) > 1 and len(lines[0]) != len(m[0]):
+                more = None  # a line of another kind before wrapped ones
+            if more:
+                tried = more.end()  # a block is joined once, from its first line
+            if more and (kind := self._encoded(m[0] + "".join(lines))):
+                out.append((m.start(), more.end(), kind))
+                done = more.end()
+            elif kind := self._encoded(m[0]):
+                out.append((m.start(), m.end(), kind))
+        if "%" in text:
+            for m in _PERCENT.finditer(text):
+                if _ESCAPED.search(m[0]) and not inside(m.start()) and (kind := self._encoded(m[0])):
+                    out.append((m.start(), m.end(), kind))
+
+    def _encoded(self, literal: str) -> str | None:
+        """What a literal holds: a key container, or text with a secret in it."""
+        for raw in decoded(literal):
+            if key_container(raw):
+                return "encoded_key"
+            inner = readable(raw)
+            if inner and self.finds(inner):
+                return "encoded"
+        return None
+
+
+def _bare_end(text: str, at: int) -> int:
+    """Where the text before a place ends without its blanks."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def armoured(text: str) -> list[tuple[int, int]]:
+    """Private keys in armour, of any length; one without a closing line reaches as far as it looks like a key."""
+    out, done = [], -1
+    for m in _PEM_BEGIN.finditer(text):
+        if m.start() < done:
+            continue
+        following = text.find("-----BEGIN", m.end())
+        end = _PEM_END.search(text, m.end(), following if following >= 0 else len(text))
+        done = end.end() if end else _PEM_REST.match(text, m.end()).end()
+        out.append((m.start(), done))
+    return out
 
 
 def decoded(literal: str) -> list[bytes]:
     """Byte strings that a literal may stand for."""
     out = []
     if "%" in literal:
-        return [unquote(literal).encode("utf-8", "replace")]
+        return [unquote(re.sub(r"%(?:25)+(?=[0-9A-Fa-f]{2})", "%", literal)).encode("utf-8", "replace")]  # all percent layers at once
     if literal.startswith("\\x") or literal.startswith("\\u"):
         return [bytes(int(h, 16) for h in re.findall(r"(?:\\x|\\u00)([0-9a-fA-F]{2})", literal))]
     if len(literal) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", literal):
