@@ -105,14 +105,14 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the items they leak, how much of each, and where."""
+    """Documents with the items they leak, by question or answer, how much of each, and where."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return leakage.leaked_items(docs, items, "doc_id", "text", "item_id", "text")
+    return leakage.leaked_items(docs, items, "doc_id", "text", "item_id", "text", "gold_answer")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the items of which ten consecutive words occur in them."""
-    return p8_report(spark, sf_dir).select("doc_id", "item_id")
+    return p8_report(spark, sf_dir).where("part = 'question'").select("doc_id", "item_id")
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

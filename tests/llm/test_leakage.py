@@ -31,7 +31,7 @@ def test_against_brute_force(spark, monkeypatch):
     want = brute(docs, items, L.RUN)
     get = lambda: {(r["doc_id"], r["item_id"]) for r in L.leaked_items(d, q, "doc_id", "text", "item_id", "text").collect()}
     assert get() == want and want
-    monkeypatch.setattr(L, "BLOCK_WORDS", 100)  # many blocks
+    monkeypatch.setattr(L, "ITEM_WORDS", 100)  # many parts
     assert get() == want
 
 
@@ -43,3 +43,21 @@ def test_offsets_and_empty(spark):
     assert text[r["start_pos"] : r["end_pos"]].startswith("One, two") and text[r["start_pos"] : r["end_pos"]].endswith("TEN") and r["matched_words"] == 10
     assert L.leaked_items(d.where("false"), q, "doc_id", "text", "item_id", "text").count() == 0
     assert L.leaked_items(d, q.where("false"), "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_answers_are_a_part_of_their_own(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    d = spark.createDataFrame([(1, f"see {long} and Forty-Two."), (2, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10; forty two"), (3, "forty two only, nothing else of any item is here at all")], "doc_id bigint, text string")
+    q = spark.createDataFrame([(7, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11", "forty two"), (8, "none of it", long), (9, None, None)], "item_id bigint, text string, gold string")
+    got = {(r["doc_id"], r["item_id"], r["part"]): r for r in L.leaked_items(d, q, "doc_id", "text", "item_id", "text", "gold").collect()}
+    assert set(got) == {(1, 8, "answer"), (2, 7, "question")}
+    assert got[2, 7, "question"]["answer_pos"] == len("q1 q2 q3 q4 q5 q6 q7 q8 q9 q10; ") and got[1, 8, "answer"]["answer_pos"] == 4
+
+
+def test_repeated_words_and_shared_codes(monkeypatch):
+    m = L.ItemAutomaton([(1, "question", "blank " * 30), (2, "question", "blank " * 9)])
+    rows = m.rows(5, "x " + "blank " * 20_000)
+    assert [r[:5] for r in rows] == [(5, 1, "question", 20_000, 30)]
+    monkeypatch.setattr(L, "_LAST", L._FIRST + L._GAP + 3)  # three codes for all words: hits are compared by words
+    m = L.ItemAutomaton([(1, "question", " ".join(f"w{i}" for i in range(40)))])
+    assert m.rows(1, " ".join(f"w{i + 3}" for i in range(40))) and not m.rows(1, " ".join(f"w{i}" for i in range(40, 80)))
