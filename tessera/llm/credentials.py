@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.spans import settled
+
 #: What the name of a secret ends in; the whole name decides how its value is judged (``named``).
 STEMS = ("password", "passwd", "passphrase", "passcode", "secret", "token", "credential", "credentials", "bearer", "authorization", "pwd", "pass", "pw", "key", "sig", "signature", "auth")
 #: Ends of names (without punctuation) whose value is a secret whatever it looks like, short of a placeholder.
@@ -493,11 +495,7 @@ def key_container(raw: bytes) -> bool:
 
 
 def _settled(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    kept: list[tuple[int, int, str]] = []
-    for a, b, k in sorted(set(found), key=lambda f: (f[2] != "private_key", f[0], -f[1])):
-        if all(b <= x or a >= y for x, y, _ in kept):
-            kept.append((a, b, k))
-    return sorted(kept)
+    return settled(found, lambda f: (f[2] != "private_key", f[0], -f[1]))
 
 
 def masked(text: str, finds: list[tuple[int, int, str]]) -> str:

@@ -3,15 +3,17 @@
 One Aho-Corasick pass over the lower-cased text finds the places worth a look (given names, phrases that
 introduce a person, street words, labels of identity numbers, at-signs); small patterns are applied there
 only. Digit groups, and capitalised first names or initials with a surname, are found by one pattern each
-over the text; the latter count by lists of names and by context. Finds that overlap are settled in favour of
+over the text; the latter count by lists of names, by words that are no ordinary ones (a vocabulary of public
+tokenizers tells them), by context and by email addresses nearby that spell them. Finds that overlap are settled in favour of
 email, then identity number, phone, address, name.
 
 ``redact`` replaces each find either by a placeholder of its type or by a surrogate: a replacement keyed
 by a secret and by the entity's normal form alone, so one person or number gets the same surrogate
 everywhere (coreference), of the same type and layout: digits are enciphered in place by a keyed
-permutation (so distinct numbers stay distinct), names keep gender, case, script and order, and emails
-stay addresses of a reserved domain. Entities that would share a surrogate are re-keyed before any is
-written; ``surrogate_collisions`` checks that distinct entities got distinct surrogates.
+permutation (so distinct numbers stay distinct), names keep gender, case, script, particles and order, street
+addresses their street words and the layout of their numbers, and emails their spelling and a reserved domain.
+Entities that would share a surrogate are re-keyed before any is written; ``surrogate_collisions`` checks that
+distinct entities got distinct surrogates.
 
 Defined results: null and empty texts have no finds and come out unchanged; of rows with one record id
 all distinct texts are read and equal finds come out once; positions count code points from 0 in the
@@ -20,9 +22,12 @@ text as stored; texts of any length are read whole; columns beside the named one
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import hmac
+import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,19 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import people
+from tessera.llm.spans import Spans, settled
 from tessera.runtime import materialise
 
-# Given names by gender: a parameter of the detector, extend it for other corpora.
-FEMALE = "agnès anna chidera claire elena emma haruka helga ingrid keturah leocadia liora lucia luzie maite maria marie marit mary mirela nerys ottilie petra petrina priyal saskia sarah sofia solvei susan tavika wanda xiulan yselle zdenka zoë zoe".split()
-MALE = "amadi anselm benedek björk carlos corvin danek david dovid eskil florin hakon hans ibo ignacio íñigo iñigo inigo james jean john joren josé juan karl luis michael noam oswin paul peter pierre radu robert ruvim thomas tomé".split()
-GIVEN = {**dict.fromkeys([w for w in people.FEMALE if w not in people.DOUBTFUL], "f"), **dict.fromkeys([w for w in people.MALE if w not in people.DOUBTFUL], "m"), **dict.fromkeys(FEMALE, "f"), **dict.fromkeys(MALE, "m")}
-SURNAME_END = re.compile(r"(?:aert|arro|berg|berger|brand|dal|enko|escu|feld|haven|holm|holt|imura|lund|mann|moor|ovic|ovich|quist|ski|son|stein|strand|ström|sen|tonne|vski|wick|worth)$", re.I)
-BEFORE_NAME = (
-    "go to ", "cc: ", "dr. ", "signed: ", "reported by ", "account of ", "bitte an ", "ask for ", "gemeldet von ", "rappeler ", "avisar a ",
-    "by mistake: ", "ping ", "on monday ", "on tuesday ", "on wednesday ", "on thursday ", "on friday ", "on saturday ", "on sunday ", '"owner": "',
-    "mr. ", "mrs. ", "ms. ", "herr ", "frau ", "mme ", "monsieur ", "madame ", "señora ", "señor ", "prof. ", "contact: ", "regards, ", "attn: ", "dear ",
-)
-AFTER_NAME = (" moved to ", " called from ", " wrote:", " wohnt ", " lives at ")
+GIVEN = {**dict.fromkeys([w for w in people.FEMALE if w not in people.DOUBTFUL], "f"), **dict.fromkeys([w for w in people.MALE if w not in people.DOUBTFUL], "m")}
+SURNAME_END = re.compile(people.SURNAME_END, re.I)
 STREETS = "street|st|lane|drive|way|road|rd|blvd|boulevard|avenue|ave|court|ct|terrace|place|square|close|crescent|row"
 EURO_STREETS = ("rue ", "chemin ", "impasse ", "avenue ", "boulevard ", "place ", "quai ", "allée ", "calle ", "c/ ", "plaza ", "avenida ", "paseo ", "am ", "an der ", "straße ", "strasse ", "weg ", "gasse ", "platz ", "allee ")
 LABELS = ("national insurance", "nino", "ni number", "nif", "dni", "nie", "passport", "passeport", "pasaporte", "reisepass", "personalausweis", "qq")
@@ -57,6 +54,11 @@ _CAP = r"[^\W\d_a-z][^\W\d_]*(?:['’\-][^\W\d_]+)*"  # an upper-case letter fir
 SHAPE = re.compile(rf"(?<![\w@/'’\-])(?<![\w]\.)(?P<i>(?:[^\W\d_a-z]\.[ \xa0]?){{1,3}}|{_CAP}[ \xa0]+(?:[^\W\d_a-z]\.[ \xa0]+)?)(?:[ \xa0\n]*)(?P<p>{_PART})(?P<s>{_CAP})(?![\w@(]|\.\w|[/-]\w)")
 DOES = re.compile(rf"['’]s\b|,?\s+(?P<v>{people.DOES})\b")
 CUES = re.compile(people.CUES, re.I)
+SOFT = re.compile(people.SOFT, re.I)
+ARTICLE = re.compile(people.ARTICLE, re.I)
+NOUN_END = re.compile(people.NOUN_END)
+#: Vocabularies of public tokenizers (lines of base64 and rank), a parameter: what they hold in small letters is an ordinary word.
+LEXICONS = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 NAME_END = re.compile(rf"(?<![\w.@])(?:{_FIRST_LAST}|{_LAST_FIRST})$")
 EMAIL_AT = re.compile(r"(?P<l>[^\W_][\w.+\-]*|_[\w.+\-]+)(?:@|\s?[\[({]\s?at\s?[\])}]\s?|\s+at\s+(?=[\w\-]+\s+dot\s))(?P<d>[\w\-]+(?:(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+)[^\W_][\w\-]*)+)", re.I)
 FILE_END = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|py|go|rs|ts|js|java|css|html?|json|ya?ml|md|txt)$", re.I)
@@ -84,14 +86,27 @@ SPANISH_ADDRESS = re.compile(r"(?<!\w)(?:calle|c/|plaza|avenida|paseo)\s+[^\d,;]
 GERMAN_ADDRESS = re.compile(r"(?<!\w)(?:(?:Am|An der|Im|Zum|Zur)\s+)?[^\W\d_][\w\-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|ufer|\btor)?\s+\d{1,4}\s?[a-z]?,\s*\d{5}\s+[^\W\d_][\w\-]*")
 
 
+def ordinary_words(paths: tuple[str, ...] = LEXICONS) -> frozenset[str]:
+    """Words of at least four letters that the vocabularies hold in small letters with a blank before them; none where there is no file."""
+    out = set()
+    for path in paths:
+        if os.path.exists(path):
+            with open(path, "rb") as lines:
+                for line in lines:
+                    token = base64.b64decode(line.split()[0]).decode("utf-8", "replace")
+                    if len(token) > 4 and token[0] == " " and token[1:].isalpha() and token.islower():
+                        out.add(token[1:])
+    return frozenset(out)
+
+
 def _triggers() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     kinds: dict[str, set[str]] = {}
     for w in GIVEN:
         kinds.setdefault(w, set()).add("given")
-    for w in BEFORE_NAME:
+    for w in people.BEFORE:
         kinds.setdefault(w, set()).add("before")
-    for w in AFTER_NAME:
+    for w in people.AFTER:
         kinds.setdefault(w, set()).add("after")
     for w in STREETS.split("|"):
         kinds.setdefault(" " + w, set()).add("street")
@@ -107,15 +122,30 @@ def _triggers() -> ahocorasick.Automaton:
     return a
 
 
+FIELD = re.compile(people.FIELD, re.I)
+PAIR = re.compile(rf"(?<![\w.@+\-])(?:(?P<f>[^\W\d_]+(?:['’\-][^\W\d_]+)*)\.?[ \xa0]+(?:[^\W\d_]\.[ \xa0]+)?(?P<s>{_W})|(?P<t>{_W}),[ \xa0]+(?P<g>[^\W\d_]+)\.?)(?![\w@])")
+
+
+def _folded(word: str) -> str:
+    """Small letters without accents."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c)).replace("ø", "o").replace("ł", "l").replace("ß", "ss")
+
+
 _SPACES = dict.fromkeys(map(ord, "\t\n\r\x0b\x0c\xa0\u2002\u2003\u2009\u202f\u3000"), " ")
+MOST_CLASHES = 50_000
 TYPES = ("email", "id_number", "phone", "address", "name")
 
 
 class Detector:
     """Finds (start, end, type) in a text."""
 
-    def __init__(self):
+    def __init__(self, lexicon: frozenset[str] | None = None):
         self.triggers = _triggers()
+        self.lexicon = ordinary_words() if lexicon is None else lexicon
+
+    def _ordinary(self, word: str) -> bool:
+        low = word.lower()
+        return low in people.WORDS or low in self.lexicon or low in _STREET_WORDS or NOUN_END.search(low) is not None
 
     def finds(self, text: str) -> list[tuple[int, int, str]]:
         low = text.lower()
@@ -139,6 +169,11 @@ class Detector:
         if any(map(str.isdigit, low)):
             self._numbers(text, out)
         contacts = [f for f in out if f[2] in ("email", "phone")]
+        for a, b, kind in contacts:
+            if kind == "email":
+                self._told_by_email(text, a, b, out)
+        for m in FIELD.finditer(text):
+            names.append((m.end(), "field"))
         for at, kind in names:
             self._name(text, low, at, kind, out)
         self._shaped(text, out)
@@ -149,8 +184,8 @@ class Detector:
         return _settled(out)
 
     def _email(self, text: str, at: int, end: int, out: list) -> None:
-        lo = max(0, at - 100)
-        for m in EMAIL_AT.finditer(text, lo, min(len(text), end + 120)):
+        lo = max(0, at - 330)  # an address has at most 64 characters before its sign and 255 behind
+        for m in EMAIL_AT.finditer(text, lo, min(len(text), end + 330)):
             if m.start() <= at < m.end():
                 start, stop = m.span()
                 local, domain = m["l"], m["d"]
@@ -167,6 +202,19 @@ class Detector:
                 out.append((start, stop, "email"))
                 return
 
+    def _told_by_email(self, text: str, a: int, b: int, out: list) -> None:
+        """Names near an address whose local part spells them (first.last, last_first, flast)."""
+        local = _folded(re.split(r"@|\s|\(|\[|\{", text[a:b], maxsplit=1)[0])
+        parts = [x for x in re.split(r"[^a-z]+", local) if len(x) > 1]
+        if not parts:
+            return
+        lo = max(0, a - 200)
+        for m in PAIR.finditer(text, lo, min(len(text), b + 200)):
+            first, last = (m["f"], m["s"]) if m["f"] else (m["g"], m["t"])
+            x, y = _folded(first), _folded(last)
+            if len(y) > 2 and len(x) > 0 and (x in parts and y in parts or any(q in (x[0] + y, x + y, y + x, y + x[0]) for q in parts)) and not (a <= m.start() < b):
+                out.append((m.start(), m.end(), "name"))
+
     def _label(self, text: str, at: int, out: list) -> None:
         m = LABELLED.match(text, at)
         if m:
@@ -190,7 +238,7 @@ class Detector:
                 out.append((m.start(), m.end(), "id_number"))
 
     def _address(self, text: str, low: str, at: int, end: int, kind: str, out: list) -> None:
-        lo, hi = max(0, at - 60), min(len(text), end + 110)
+        lo, hi = max(0, at - 160), min(len(text), end + 240)
         if kind == "street":
             if end < len(low) and low[end].isalnum():
                 return
@@ -209,8 +257,10 @@ class Detector:
                 out.append((m.start(), m.end(), "address"))
 
     def _name(self, text: str, low: str, at: int, kind: str, out: list) -> None:
-        if kind == "before":
+        if kind in ("before", "field"):
             m = NAME_AT.match(text, at)
+            if m and kind == "field" and ("\n" in m[0] and "," not in m[0] or not m[0][0].isupper() or m[0].isupper() and text[at - 1 : at] not in ("'", '"')):
+                m = None
             if m and self._is_name(m, hinted=True):
                 out.append((m.start(), m.end(), "name"))
         elif not kind:
@@ -232,7 +282,7 @@ class Detector:
                     out.append((m.start(), m.end(), "name"))
 
     def _name_before(self, text: str, at: int, out: list, strict: bool) -> None:
-        lo = max(0, at - 70)
+        lo = max(0, at - 160)
         part = text[lo:at].rstrip()
         for cut in (part.rfind("\n"), -1):
             piece = part[cut + 1 :]
@@ -245,11 +295,15 @@ class Detector:
 
     def _shaped(self, text: str, out: list) -> None:
         """Names of any capitalised first name or initials with a surname: what is in no list counts by its context."""
-        taken = [(a, b) for a, b, t in out if t == "name"]
-        at = 0
+        taken, named = Spans(), set()
+        for a, b, t in out:
+            if t == "name":
+                taken.add(a, b)
+                named.add(" ".join(text[a:b].lower().split()))
+        at, left = 0, []
         while m := SHAPE.search(text, at):
             at = m.end("i")
-            if any(a < m.end() and m.start() < b for a, b in taken):
+            if not taken.free(m.start(), m.end()):
                 continue
             first, last = m["i"].split()[0], m["s"]
             if not _titled(last) or last.lower() in people.WORDS or last.lower() in _STREET_WORDS or len(last) < 2:
@@ -257,35 +311,50 @@ class Detector:
             initials = first.endswith(".")
             if not first[0].isupper() or not initials and (not _titled(first) or len(first) < 2 or first.lower() in people.WORDS):
                 continue
+            end = m.end()
+            if last[-2:] in ("'s", "’s"):
+                last, end = last[:-2], end - 2
             listed, surname = not initials and first.lower() in people.DOUBTFUL, last.lower() in people.SURNAMES or bool(SURNAME_END.search(last)) and len(last) > 4
-            after = DOES.match(text, m.end())
+            after = DOES.match(text, end)
             does = 0 if not after else 2 if not after["v"] or after["v"] in people.STRONG else 1
-            cue = 2 if CUES.search(text[max(0, m.start() - 30) : m.start()]) else 0
+            before = text[max(0, m.start() - 40) : m.start()]
+            cue = 2 if CUES.search(before) else 1 if SOFT.search(before) else 0
             if initials and "\n" in text[m.end("i") - 1 : m.start("s")]:
                 continue
-            if initials and re.search(r"[^\W\d_]\s+$", text[max(0, m.start() - 3) : m.start()]) and not cue and (does < 2 and not surname or last.lower() in people.WORDS):
+            if initials and re.search(r"[^\W\d_]\s+$", before[-3:]) and cue < 2 and (does < 2 and not surname or last.lower() in people.WORDS):
                 continue  # the end of a sentence: option B. Then
-            if 2 * surname + listed + does + cue >= 2:
-                out.append((m.start(), m.end(), "name"))
-                taken.append(m.span())
-                at = m.end()
-
-    @staticmethod
-    def _is_name(m: re.Match, hinted: bool) -> bool:
+            # words that are no ordinary ones speak for a name, ordinary ones and an article against it
+            odd = sum(self._ordinary(w) for w in ([last] if initials else [first, last]))
+            shape = 1 - odd if not odd or not surname else 1 - odd - (not initials and self._ordinary(first))
+            if ARTICLE.search(before):
+                shape -= 2
+            if 2 * surname + listed + min(does + cue, 3) + shape >= 2 + (odd > 1):
+                out.append((m.start(), end, "name"))
+                taken.add(m.start(), end)
+                named.add(" ".join(text[m.start() : end].lower().split()))
+                at = end
+            else:
+                left.append((m.start(), end))
+        if left and named:  # whoever is named elsewhere in the text
+            out.extend((a, b, "name") for a, b in left if " ".join(text[a:b].lower().split()) in named)
+
+    def _is_name(self, m: re.Match, hinted: bool) -> bool:
         given, last = m["g"] or m["g2"], m["s"] or m["s2"]
         known = bool(given) and given.lower() in GIVEN
-        if len(last) < 3 or m["s2"] and given and not known and not SURNAME_END.search(last):
+        if len(last) < 3 or m["s2"] and given and not known and not (hinted and given[:1].isupper() and last[:1].isupper() and not self._ordinary(last)):
             return False
         shaped = bool(SURNAME_END.search(last))
         title = last[:1].isupper() and (given is None or given[:1].isupper())
         if known and not hinted and (last.lower() in people.WORDS or last.lower() in _STREET_WORDS):
             return False
         if known:
-            lower = hinted and given.islower() and last.islower() and len(last) > 3 and last not in _NOT_LAST
+            lower = hinted and given.islower() and last.islower() and len(last) > 3 and not self._ordinary(last)
             return shaped or lower or title and (given[1:].isupper() == last[1:].isupper() or not given.isupper())
         if given is None:  # an initial
-            return hinted and title and (shaped or len(last) > 3) or shaped and title
-        return hinted and title and (shaped or (len(given) > 2 and last.lower() not in _NOT_LAST and given.lower() not in _NOT_LAST))
+            return hinted and title and (shaped or len(last) > 3) and not self._ordinary(last) or shaped and title
+        if not hinted or self._ordinary(given) or self._ordinary(last) and not shaped:
+            return False
+        return title and len(given) > 1 or given.islower() and last.islower() and len(given) > 2 and len(last) > 3 and shaped
 
 
 def _trimmed(number: str) -> str:
@@ -310,22 +379,39 @@ _NOT_LAST = set("the and for with from this that these those your our their his
 
 
 def _settled(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    order = {t: i for i, t in enumerate(TYPES)}
-    kept: list[tuple[int, int, str]] = []
-    for a, b, t in sorted(set(found), key=lambda f: (order[f[2]], f[0], -f[1])):
-        if all(b <= x or a >= y for x, y, _ in kept):
-            kept.append((a, b, t))
-    return sorted(kept)
+    return settled(found, lambda f: (TYPES.index(f[2]), f[0], -f[1]))
 
 
-class Surrogates:
-    """Keyed replacements: equal entities get equal ones, distinct digits distinct ones; ``salts`` ((kind, normal form) -> number) re-keys entities that would share one."""
+def _pools() -> dict[str, dict[str, list[str]]]:
+    """Given names to give out, by script and gender."""
+    out = {"latin": {"f": [], "m": []}, "cyrillic": {"f": [], "m": []}}
+    for names, gender in ((people.FEMALE, "f"), (people.MALE, "m")):
+        for w in sorted(set(names) - people.DOUBTFUL):
+            out["cyrillic" if "\u0400" <= w[0] <= "\u04ff" else "latin"][gender].append(w.title())
+    return out
 
-    GIVEN_OUT = {"f": ["Adela", "Birgit", "Celina", "Dorit", "Edda", "Fabia", "Gisela", "Hedda"], "m": ["Aldo", "Bertil", "Clemens", "Dario", "Egon", "Fabio", "Gustav", "Henrik"]}
-    SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
 
-    def __init__(self, key: bytes, salts: dict[tuple[str, str], int] | None = None):
-        self.key, self.salts = key, salts or {}
+_KEPT = re.compile(r"(?i)(?:de|del|la|le|les|los|las|du|des|der|die|den|van|von|zu|al|bin|ter|bis|am|an|im|zum|zur|da|di|apt|unit|suite|flat|no|" + STREETS + "|" + "|".join(w.strip() for w in EURO_STREETS) + r")")
+_STREET_TAIL = re.compile(r"(?:straße|strasse|str|weg|gasse|platz|allee|ring|ufer|tor)$", re.I)
+
+
+class Surrogates:
+    """Keyed replacements in the layout of what they replace: case, order, particles, initials, separators, the number of digits
+    and the script (Latin, Cyrillic, Greek) stay, gender too where the given name tells it. Equal entities get equal ones, distinct
+    digits distinct ones; ``salts`` ((kind, normal form) -> number) re-keys entities that would share one, and ``syllables`` is
+    the length of invented words, which bounds how many do."""
+
+    SYLLABLES = {
+        "latin": [c + v for c in "bdfgklmnprstvz" for v in "aeiou"],
+        "cyrillic": [c + v for c in "бвгдзклмнпрстф" for v in "аеиоу"],
+        "greek": [c + v for c in "βγδζκλμνπρστφχ" for v in "αειοη"],
+    }
+    GIVEN_OUT = _pools()
+
+    def __init__(self, key: bytes, salts: dict[tuple[str, str], int] | None = None, syllables: int = 5):
+        if not key:
+            raise ValueError("surrogates need a key")
+        self.key, self.salts, self.syllables = key, salts or {}, syllables
 
     def _stream(self, kind: str, value: str) -> int:
         return int.from_bytes(hmac.new(self.key, f"{kind}\0{value}".encode("utf-8", "replace"), hashlib.sha256).digest(), "big")
@@ -363,41 +449,103 @@ class Surrogates:
         it = iter(head + f"{a:0{la}d}{b:0{lb}d}")
         return "".join(next(it) if c.isdigit() else c for c in value)
 
-    def _word(self, n: int) -> str:
+    def _word(self, n: int, like: str) -> str:
+        """An invented word in the script and case of another."""
+        kinds = self.SYLLABLES[_script(like)]
         out = ""
-        for _ in range(5):
-            n, k = divmod(n, len(self.SYLLABLES))
-            out += self.SYLLABLES[k]
-        return out
+        for _ in range(self.syllables):
+            n, k = divmod(n, len(kinds))
+            out += kinds[k]
+        return _cased(out, like)
 
     def of(self, kind: str, value: str) -> str:
         normal = self.normal(kind, value)
         salt = self.salts.get((kind, normal))
-        n = self._stream(kind, f"{normal}\0{salt}" if salt else normal)
-        cased = (lambda s: s.upper()) if value.isupper() else (lambda s: s.lower()) if value.islower() else (lambda s: s)
+        seed = f"{normal}\0{salt}" if salt else normal
+        part = lambda i: self._stream(kind, f"{seed}\0{i}")
         if kind == "phone":
             keep = len(re.match(r"(?:\+|00)?(?:1|33|44|49|34)?", re.sub(r"\(0\)|[^\d+]", "", value))[0].lstrip("+")) if value[:1] == "+" or value[:2] == "00" else 0
             return self._digits(kind, normal, value.replace("(0)", "\ue000"), keep).replace("\ue000", "(0)")
         if kind == "id_number":
-            return self._digits(kind, normal, value)
+            letters = iter(range(len(value)))
+            return re.sub(r"[A-Za-z]", lambda m: _cased(chr(97 + part(next(letters)) % 26), m[0]), self._digits(kind, normal, value))
         if kind == "email":
-            return cased(f"{self._word(n)}@{self._word(n >> 64)[:6]}.invalid")
+            m = EMAIL_AT.fullmatch(value)
+            local, domain = (m["l"], m["d"]) if m else (value, "")
+            dot = re.findall(r"\.|\s?[\[({]\s?dot\s?[\])}]\s?|\s+dot\s+", domain, re.I)
+            at = value[len(local) : len(value) - len(domain)] if m else "@"
+            return self._word(part(0), local) + at + self._word(part(1), domain or local)[:6] + (dot[-1] if dot else ".") + _cased("invalid", domain or local)
         if kind == "address":
-            return re.sub(r"\d+", lambda m: f"{self._stream(kind, normal + m[0]) % 10 ** len(m[0]):0{len(m[0])}d}", f"{n % 900 + 100} {self._word(n >> 32).title()} Street")
-        given = next((w for w in re.findall(_W, normal) if w in GIVEN), None)
-        pool = self.GIVEN_OUT[GIVEN[given]] if given else self.GIVEN_OUT["fm"[n & 1]]
-        first = pool[n % len(pool)] if given else None
-        last = self._word(n >> 16).title()
-        initial = re.match(r"([^\W\d_])\.", value)
-        first = first or (initial[1] + "." if initial else pool[n % len(pool)])
-        return cased(f"{last}, {first}" if re.match(rf"{_PART}{_W},", value) else f"{first} {last}")
-
-
-def find_pii(rows: DataFrame) -> DataFrame:
+            return self._address(value, part)
+        return self._name(value, part)
+
+    def _address(self, value: str, part) -> str:
+        at = iter(range(len(value)))
+
+        def swap(m: re.Match) -> str:
+            w, n = m[0], part(next(at))
+            if w.isdigit():
+                return str(n % (9 * 10 ** (len(w) - 1)) + 10 ** (len(w) - 1)) if w[0] != "0" else f"{n % 10 ** len(w):0{len(w)}d}"
+            if _KEPT.fullmatch(w):
+                return w
+            if len(w) < 3:  # states, the letters of postal codes and house numbers
+                return "".join(_cased(chr(97 + (n >> 8 * i) % 26), c) for i, c in enumerate(w))
+            tail = _STREET_TAIL.search(w)
+            return _cased(self._word(n, w).lower() + tail[0].lower(), w) if tail and tail.start() else self._word(n, w)
+
+        return re.sub(r"\d+|[^\W\d_]+", swap, value)
+
+    def _name(self, value: str, part) -> str:
+        """Given names first, or last behind a comma; parts joined by a hyphen are replaced one by one."""
+        words_ = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", value)]
+        real = [(a, b) for a, b in words_ if not _PARTICLE.fullmatch(value[a:b])]
+        comma = value.find(",")
+        last = [w for w in real if (w[1] <= comma if comma >= 0 else w == real[-1] or value[w[1] : w[1] + 1] in ("-", "'", "’") and w[1] + 1 == real[-1][0])]
+        given = [w for w in real if w not in last]
+        known = next((g for a, b in given if (g := GIVEN.get(value[a:b].lower()))), None)
+        out, end = [], 0
+        for a, b in words_:
+            w = value[a:b]
+            if (a, b) in last:
+                new = self._word(part(last.index((a, b))), w)
+            elif (a, b) in given:
+                i = given.index((a, b))
+                n = part(100 + i)
+                pools = self.GIVEN_OUT.get(_script(w))
+                new = _cased(chr((0x430 if _script(w) == "cyrillic" else 0x3B1 if _script(w) == "greek" else 97) + n % (17 if _script(w) == "greek" else 26)), w) if b - a == 1 else _cased((pool := pools[known or "fm"[part(99) & 1]])[n % len(pool)], w) if pools else self._word(n, w)
+            else:
+                new = w
+            out += [value[end:a], new]
+            end = b
+        return "".join(out) + value[end:]
+
+
+_PARTICLE = re.compile(r"(?i)de|la|los|van|der|den|del|von|di|da|le|bin|al|ter|zu")
+
+
+def _script(word: str) -> str:
+    c = next((c for c in word if c.isalpha()), "a")
+    return "cyrillic" if "\u0400" <= c <= "\u04ff" else "greek" if "\u0370" <= c <= "\u03ff" else "latin"
+
+
+def _cased(word: str, like: str) -> str:
+    letters = [c for c in like if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return word.upper()
+    return word[:1].upper() + word[1:] if letters and letters[0].isupper() else word.lower()
+
+
+def _shared_words(df: DataFrame, paths: tuple[str, ...]):
+    """The ordinary words, read on the driver (some 25,000) and sent to the workers once."""
+    return df.sparkSession.sparkContext.broadcast(ordinary_words(paths))
+
+
+def find_pii(rows: DataFrame, lexicons: tuple[str, ...] = LEXICONS) -> DataFrame:
     """(source_table, record_id, pii_type, start_pos, end_pos, entity) of rows (source_table, record_id, body), each find once."""
+    shared = _shared_words(rows, lexicons)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = Detector()
+        d = Detector(shared.value)
         for batch in batches:
             out = [
                 (src, rec, t, a, b, Surrogates.normal(t, body[a:b]))
@@ -410,35 +558,41 @@ def find_pii(rows: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def resolve_salts(entities: DataFrame, key: str = "tessera") -> dict[tuple[str, str], int]:
-    """Salts by which all distinct entities (pii_type, entity) get distinct surrogates: of those that share one, the first keeps it.
+def resolve_salts(entities: DataFrame, key: str) -> tuple[dict[tuple[str, str], int], int]:
+    """(salts, syllables) by which all distinct entities (pii_type, entity) get distinct surrogates: of those that share one, the first keeps it.
 
-    Only entities that share a surrogate come to the driver: some n * n / 2e10 of n names.
+    Only entities that share a surrogate come to the driver. The length of invented words follows the number of entities, so that
+    fewer than ``MOST_CLASHES`` are expected to, however many there are.
     """
     each = entities.select("pii_type", "entity").distinct()
+    n, syllables = each.count(), 5
+    while n * n / (2 * len(Surrogates.SYLLABLES["latin"]) ** syllables) > MOST_CLASHES:
+        syllables += 1
     salts: dict[tuple[str, str], int] = {}
     last = None
     while True:
-        clash = _surrogates(each, key, salts)
+        clash = _surrogates(each, key, salts, syllables)
         shared = clash.groupBy("pii_type", "surrogate").agg(F.count("*").alias("n")).where("n > 1").drop("n")
         rows = clash.join(shared, ["pii_type", "surrogate"]).collect()
         groups: dict[tuple[str, str], list[str]] = {}
         for r in rows:
             groups.setdefault((r["pii_type"], r["surrogate"]), []).append(r["entity"])
         if not groups or groups == last:  # enciphered numbers take no salt
-            return salts
+            return salts, syllables
         last = groups
         for (kind, _), same in groups.items():
             for i, e in enumerate(sorted(same, key=lambda e: (salts.get((kind, e), 0), e))[1:], 1):
                 salts[kind, e] = salts.get((kind, e), 0) + i
 
 
-def redact(rows: DataFrame, key: str = "tessera") -> DataFrame:
+def redact(rows: DataFrame, key: str, lexicons: tuple[str, ...] = LEXICONS) -> DataFrame:
     """(source_table, record_id, redacted, surrogate_text, finds): every row with its finds replaced by placeholders, and by surrogates
-    that are distinct for distinct entities of all the rows. The texts are read once; their finds are kept in a written table."""
+    that are distinct for distinct entities of all the rows. The texts are read once; their finds are kept in a written table.
+    The key is a secret of the caller: with it, and only with it, equal entities of other tables get equal surrogates."""
+    shared = _shared_words(rows, lexicons)
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = Detector()
+        d = Detector(shared.value)
         for batch in batches:
             lists = [[{"pii_type": t, "start_pos": lo, "end_pos": hi, "entity": Surrogates.normal(t, body[lo:hi])} for lo, hi, t in d.finds(body)] if body else [] for body in batch["body"]]
             yield pd.DataFrame({"source_table": batch["source_table"], "record_id": batch["record_id"], "body": batch["body"], "found": lists})
@@ -447,10 +601,10 @@ def redact(rows: DataFrame, key: str = "tessera") -> DataFrame:
         rows.mapInPandas(detect, "source_table string, record_id string, body string, found array<struct<pii_type:string,start_pos:bigint,end_pos:bigint,entity:string>>"),
         label="personal",
     )
-    salts = resolve_salts(found.select(F.explode("found").alias("f")).select("f.pii_type", "f.entity"), key)
+    salts, syllables = resolve_salts(found.select(F.explode("found").alias("f")).select("f.pii_type", "f.entity"), key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s = Surrogates(key.encode(), salts)
+        s = Surrogates(key.encode(), salts, syllables)
         for batch in batches:
             placed, swapped, lists = [], [], []
             for body, finds in zip(batch["body"], batch["found"]):
@@ -468,16 +622,16 @@ def redact(rows: DataFrame, key: str = "tessera") -> DataFrame:
     return found.mapInPandas(run, "source_table string, record_id string, redacted string, surrogate_text string, finds array<struct<pii_type:string,start_pos:bigint,end_pos:bigint>>")
 
 
-def _surrogates(entities: DataFrame, key: str, salts: dict[tuple[str, str], int]) -> DataFrame:
+def _surrogates(entities: DataFrame, key: str, salts: dict[tuple[str, str], int], syllables: int = 5) -> DataFrame:
     @F.pandas_udf("string")
     def swap(kind: pd.Series, value: pd.Series) -> pd.Series:
-        s = Surrogates(key.encode(), salts)
+        s = Surrogates(key.encode(), salts, syllables)
         return pd.Series([s.of(k, v).lower() for k, v in zip(kind, value)])
 
     return entities.withColumn("surrogate", swap("pii_type", "entity"))
 
 
-def surrogate_collisions(found: DataFrame, key: str = "tessera", salts: dict[tuple[str, str], int] | None = None) -> DataFrame:
+def surrogate_collisions(found: DataFrame, key: str, salts: dict[tuple[str, str], int] | None = None, syllables: int = 5) -> DataFrame:
     """(pii_type, surrogate, entities): surrogates that distinct entities share; the check that redaction keeps entities apart."""
-    each = _surrogates(found.select("pii_type", "entity").distinct(), key, salts or {})
+    each = _surrogates(found.select("pii_type", "entity").distinct(), key, salts or {}, syllables)
     return each.groupBy("pii_type", "surrogate").agg(F.count("*").alias("entities")).where(F.col("entities") > 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record with its finds replaced by typed placeholders, and by keyed surrogates."""
-    return pii.redact(_personal(spark, sf_dir))
+    """Every record with its finds replaced by typed placeholders, and by keyed surrogates; the key is the session's, else one for this call."""
+    return pii.redact(_personal(spark, sf_dir), spark.conf.get("spark.tessera.surrogate.key", None) or secrets.token_hex(32))
 
 
 _STORE = ["store", "generation_id", "model_id", "dim"]
