@@ -5,13 +5,14 @@ out of the text. Within a block of a meeting the order is a precedence graph: ti
 neighbours in known start times, cue edges place a segment without any start before the first one that
 starts after its end, dialogue edges keep one that continues a sentence behind its beginning. An edge
 that contradicts those of a stronger kind is dropped, and the rest is sorted topologically. Blocks are
-stretches of time, so no group grows with a meeting; speakers are then carried forward and turns
-numbered by window functions that stream over a meeting's ordered segments.
+stretches of time, so no group grows with a meeting. Each block carries its speakers forward and counts its
+changes; only one row per block (first and last named speaker, changes) goes through a window over the meeting,
+and comes back to the segments by a join. So a meeting that holds a third of all rows is spread like any other.
 
 Defined results: a replayed row counts once; a null or empty text, or one without spoken words,
 neither makes nor ends a turn; starts given as epoch times are brought to the meeting's start; a
 segment without a column start takes the time written in its text, without that its end, without
-that it comes last; segments before any named speaker belong to the first one named, and to the
+that it comes last (in an order of its own by a hash of the text); segments before any named speaker belong to the first one named, and to the
 speaker null where none ever is; empty tables give an empty result; other columns are ignored.
 """
 
@@ -25,7 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.runtime import materialise
+
 BLOCK_MILLIS = 30 * 60 * 1000
+UNTIMED_BLOCKS = 4_096
 NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
 FILLERS = r"u+h+m*|u+m+|e+r+m*|e+h+m*|h+m+|m+h*m+|a+h+|ä+h+m*|e+u+h+|uh-huh|mm-hmm|you\s+know"
 
@@ -156,12 +160,13 @@ def order_block(starts: list[int | None], ends: list[int | None], texts: list[st
                         edges.append((known[j - 1], i, 2))
                 elif known:
                     edges.append((known[-1], i, 2))
+        open_of: dict[str | None, int] = {}  # the first unfinished sentence of each speaker
+        for j in known:
+            if texts[j] and texts[j][-1] not in ".!?":
+                open_of.setdefault(speakers[j], j)
         for i in range(n):
-            if starts[i] is None and texts[i][:1].islower():  # dialogue: the unfinished sentence of the same speaker
-                for j in known:
-                    if speakers[j] == speakers[i] and texts[j] and texts[j][-1] not in ".!?":
-                        edges.append((j, i, 1))
-                        break
+            if starts[i] is None and texts[i][:1].islower() and speakers[i] in open_of:  # dialogue: it goes on with it
+                edges.append((open_of[speakers[i]], i, 1))
     key = [(starts[i] if starts[i] is not None else ends[i] if ends[i] is not None else far, texts[i], i) for i in range(n)]
     return precedence_order(n, edges, key)
 
@@ -192,35 +197,50 @@ def parsed_segments(df: DataFrame) -> DataFrame:
 
     parsed = rows.mapInPandas(run, "meeting_id string, start long, end_ms long, named string, clean string").where(F.col("clean") != "")
     where = F.coalesce("start", "end_ms")
-    return parsed.withColumn("block", F.coalesce(F.floor(where / BLOCK_MILLIS), F.lit(1 << 40)))
+    # segments without any time are dealt to many blocks behind all others
+    return parsed.withColumn("block", F.coalesce(F.floor(where / BLOCK_MILLIS), F.lit(1 << 40) + F.pmod(F.xxhash64("clean"), F.lit(UNTIMED_BLOCKS))))
 
 
 def ordered_segments(df: DataFrame) -> DataFrame:
-    """Spoken segments with their place (block, pos) in the meeting."""
+    """Spoken segments with their place (block, pos), the speaker so far in the block (null before the first named one) and the
+    number of changes of speaker so far in the block."""
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         none = lambda col: [None if pd.isna(v) else int(v) for v in pdf[col]]
         rank = order_block(none("start"), none("end_ms"), list(pdf["clean"]), [None if pd.isna(v) else v for v in pdf["named"]])
-        return pdf.iloc[rank].assign(pos=range(len(pdf)))
-
-    schema = "meeting_id string, start long, end_ms long, named string, clean string, block long, pos long"
+        out = pdf.iloc[rank]
+        said, change, speakers, changes = None, 0, [], []
+        for name in out["named"]:
+            if not pd.isna(name):
+                change += said is not None and name != said
+                said = name
+            speakers.append(said)
+            changes.append(change)
+        return out.assign(pos=range(len(out)), said=speakers, change=changes)
+
+    schema = "meeting_id string, start long, end_ms long, named string, clean string, block long, pos long, said string, change long"
     return parsed_segments(df).groupBy("meeting_id", "block").applyInPandas(order, schema)
 
 
 def speaker_turns(df: DataFrame) -> DataFrame:
     """(meeting_id, turn_no, speaker, start_millis, end_millis, segments, text): one row per turn."""
-    line = Window.partitionBy("meeting_id").orderBy("block", "pos")
-    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = Window.partitionBy("meeting_id").orderBy("block", "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    said = ordered_segments(df)
-    said = said.withColumn("speaker", F.coalesce(F.last("named", True).over(so_far), F.first("named", True).over(first)))
-    new = F.lag(F.struct("speaker")).over(line).isNull() | ~F.lag("speaker").over(line).eqNullSafe(F.col("speaker"))
-    said = said.withColumn("turn_no", F.sum(F.when(new, 1).otherwise(0)).over(so_far))
-    turn = said.groupBy("meeting_id", "turn_no").agg(
-        F.first("speaker").alias("speaker"),
+    said = materialise(ordered_segments(df), label="segments")
+    blocks = said.groupBy("meeting_id", "block").agg(
+        F.min_by("named", F.when(F.col("named").isNotNull(), F.col("pos"))).alias("first"), F.max_by("said", "pos").alias("last"), F.max("change").alias("changes")
+    )
+    before = Window.partitionBy("meeting_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("carried", F.last("last", True).over(before))
+    # the first named speaker of a meeting takes what was said before; any other opens a turn where the one carried here differs
+    blocks = blocks.withColumn("opens", F.when(F.col("carried").isNotNull() & F.col("first").isNotNull() & (F.col("carried") != F.col("first")), 1).otherwise(0))
+    blocks = blocks.withColumn("turns", 1 + F.coalesce(F.sum(F.col("opens") + F.col("changes")).over(before), F.lit(0)))
+    placed = said.join(blocks.select("meeting_id", "block", "carried", "opens", "turns"), ["meeting_id", "block"])
+    number = F.col("turns") + F.when(F.col("said").isNull(), 0).otherwise(F.col("opens") + F.col("change"))
+    placed = placed.withColumn("turn_no", number.cast("long")).withColumn("speaker", F.coalesce("said", "carried"))
+    turn = placed.groupBy("meeting_id", "turn_no").agg(
+        F.max("speaker").alias("speaker"),  # one speaker, or none before the first named one
         F.min_by("start", F.struct("block", "pos")).alias("start_millis"),
         F.max("end_ms").alias("end_millis"),
         F.count("*").alias("segments"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "pos", "clean"))), lambda s: s["clean"]), " ").alias("text"),
     )
-    return turn.select("meeting_id", F.col("turn_no").cast("long").alias("turn_no"), "speaker", "start_millis", "end_millis", "segments", "text")
+    return turn.select("meeting_id", "turn_no", "speaker", "start_millis", "end_millis", "segments", "text")

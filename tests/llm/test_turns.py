@@ -50,3 +50,32 @@ def test_conflicting_edges_are_dropped():
     order = U.precedence_order(3, [(0, 1, 3), (1, 2, 3), (2, 0, 2)], [0, 1, 2])
     assert order == [0, 1, 2]
     assert U.precedence_order(3, [(0, 1, 3), (2, 0, 2), (1, 2, 1)], [0, 1, 2]) == [2, 0, 1]
+
+
+def test_a_large_meeting_equals_a_plain_walk(spark):
+    """Speakers carried over many blocks, with gaps of unnamed segments, against one loop over the sorted segments."""
+    import random
+
+    rng = random.Random(8)
+    data, plain = [], []
+    for i in range(4_000):
+        who = rng.choice([None, None, "s1", "s2", "s3"]) if i > 5 else None
+        at = i * 40_000 + rng.randint(0, 20_000)
+        data += rows((at, at + 10, f"w{i}", who))
+        plain.append((at, who))
+    want, speaker = [], None
+    for at, who in plain:
+        if who is not None and speaker is not None and who != speaker or not want:
+            want.append([who, at])
+        if who is not None:
+            speaker = who
+            want[-1][0] = who
+    got = turns(spark, data)
+    assert [(t[0], t[1], t[2]) for t in got] == [(i + 1, w, a) for i, (w, a) in enumerate(want)] and len(want) > 1_000
+
+
+def test_segments_without_any_time_come_last_in_many_blocks(spark):
+    data = rows((1000, 2000, "timed", "s1"), *[(None, None, f"word {i}", "s2") for i in range(300)])
+    got = turns(spark, data)
+    assert [(t[0], t[1]) for t in got] == [(1, "s1"), (2, "s2")] and len(got[1][3].split()) == 600
+    assert U.ordered_segments(spark.createDataFrame(data, SCHEMA)).select("block").distinct().count() > 100
