@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.runtime import BROADCAST_BYTES, materialise
+from tessera.runtime import BROADCAST_BYTES, checked_broadcast, materialise
 
 SAMPLE = 16_384  # rows of a partition that fit its index, at most
 CELL_ROWS, MAX_CELLS = 128, 1_024
@@ -177,7 +177,11 @@ def usable(df: DataFrame, keys: list[str], id_col: str = "document_id") -> DataF
 
 
 class Index:
-    """Partition numbers, cell centres and quantisers, fitted on samples of at most ``SAMPLE`` rows a partition."""
+    """Partition numbers, cell centres and quantisers, fitted on samples of at most ``SAMPLE`` rows a partition.
+
+    Each partition's sample, drawn by a hash of the id, is fitted in a task of its own; the driver gets the fitted models alone
+    (some 1,024 centres and the codebooks a partition) and sends them to the workers.
+    """
 
     def __init__(self, rows: DataFrame, keys: list[str]):
         self.keys = keys
@@ -190,18 +194,23 @@ class Index:
         on = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]) if keys else F.lit(True)
         # one row per partition: bounded by the number of stores, generations, models and lengths
         self.rows = rows.alias("r").join(F.broadcast(self.table).alias("p"), on).select("p.part", "p.share", "r.id", "r.embedding")
-        drawn = self.rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("part", "embedding")
-        sample: dict[int, list] = {}
-        for batch in drawn.toArrow().to_batches():
-            for p, e in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sample.setdefault(p, []).append(np.asarray(e.as_py(), np.float32))
+        most = {i: counts[p] // CELL_ROWS for p, i in self.number.items()}
+
+        def fit(table: pa.Table) -> pa.Table:
+            p = table.column("part")[0].as_py()
+            order = np.argsort(table.column("h").to_numpy(), kind="stable")  # by hash, whatever order the rows came in
+            x = _unit(_matrix(table.column("embedding")))[order]
+            cells = max(min(MAX_CELLS, most[p], len(x) // 8), 1)
+            centres = kmeans(x, cells, 4, p, True) if cells > 8 else x[:1].copy()
+            books = Quantiser.fit(x[:4096]).books  # the rows stand in the order of a hash: these are a random sample too
+            return pa.table({"part": pa.array([p], pa.int32()), "dim": pa.array([x.shape[1]], pa.int32()), "centres": pa.array([centres.astype(np.float32).tobytes()], pa.binary()), "books": pa.array([books.astype(np.float32).tobytes()], pa.binary())})
+
+        h = F.xxhash64("id")
+        drawn = self.rows.where(F.pmod(h, F.lit(1_000_000)) < F.col("share") * 1_000_000).select("part", h.alias("h"), "embedding")
         self.model = {}
-        for key, p in self.number.items():
-            if p in sample:
-                x = _unit(np.stack(sample[p]))
-                cells = min(MAX_CELLS, counts[key] // CELL_ROWS, max(len(x) // 8, 1))
-                centres = kmeans(x, max(cells, 1), 4, p, True) if cells > 8 else x[:1].copy()
-                self.model[p] = (centres.astype(np.float32), Quantiser.fit(x[:4096]))
+        for r in drawn.groupBy("part").applyInArrow(fit, "part int, dim int, centres binary, books binary").collect():
+            centres = np.frombuffer(r["centres"], np.float32).reshape(-1, r["dim"])
+            self.model[r["part"]] = (centres, Quantiser(np.frombuffer(r["books"], np.float32).reshape(-1, 16, 2), r["dim"]))
         self.shared = spark.sparkContext.broadcast(self.model)
         self.rows = self.rows.where(F.col("part").isin(sorted(self.model))).select("part", "id", "embedding") if self.model else self.rows.select("part", "id", "embedding")
 
@@ -220,6 +229,30 @@ def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
 
 
+def _cell_sizes(index: Index, spread: int) -> DataFrame:
+    """(part, cell, n): how many vectors go to each cell; vectors are not encoded for that."""
+    shared = index.shared
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            for p in np.unique(part):
+                centres = shared.value[int(p)][0]
+                near = _nearest_cells(_unit(_matrix(batch.column(1).filter(pa.array(part == p)))), centres, spread)
+                total[int(p)] = total.get(int(p), 0) + np.bincount(near.ravel(), minlength=len(centres))
+        for p, n in total.items():
+            cells = np.nonzero(n)[0].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), p, np.int32)), pa.array(cells), pa.array(n[cells])], names=["part", "cell", "n"])
+
+    return index.rows.select("part", "embedding").mapInArrow(run, "part int, cell int, n long").groupBy("part", "cell").agg(F.sum("n").alias("n"))
+
+
+def _nearest_cells(x: np.ndarray, centres: np.ndarray, spread: int) -> np.ndarray:
+    take = min(spread, len(centres))
+    return np.argpartition(-(x @ centres.T), take - 1, axis=1)[:, :take].astype(np.int32)
+
+
 def _cells(index: Index, spread: int, least: float) -> DataFrame:
     """(part, id, unit, code, margin, cells): each vector is normalised and encoded once, before its copies go to its cells."""
     shared = index.shared
@@ -232,8 +265,8 @@ def _cells(index: Index, spread: int, least: float) -> DataFrame:
                 centres, pq = shared.value[int(p)]
                 x = _unit(_matrix(rows.column(2)))
                 codes, margin = pq.packed(x, least)
-                take = min(spread, len(centres))
-                near = np.argpartition(-(x @ centres.T), take - 1, axis=1)[:, :take].astype(np.int32)
+                near = _nearest_cells(x, centres, spread)
+                take = near.shape[1]
                 offsets = np.arange(len(x) + 1, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(1), pa.ListArray.from_arrays(offsets * x.shape[1], x.ravel()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(margin), pa.ListArray.from_arrays(offsets * take, near.ravel())],
@@ -251,11 +284,12 @@ def similar_pairs(df: DataFrame, keys: list[str], k: int = 10, least: float = 0.
     base, direct = _without_copies(index, k)
     index.rows = base
     placed = _cells(index, spread, least).select("part", "id", "unit", "code", "margin", F.explode("cells").alias("cell"))
-    big = placed.groupBy("part", "cell").agg(F.count("*").alias("n")).where(F.col("n") > TILE).collect()
-    if big:  # at most n / TILE cells: their rows are dealt to tiles, and each pair of tiles meets once
-        tiles = {(r["part"], r["cell"]): -(-r["n"] // TILE) for r in big}
-        lookup = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for (p, c), n in tiles.items() for v in (f"{p}/{c}", n)]), F.concat_ws("/", "part", "cell")), F.lit(1))
-        placed = placed.withColumn("tiles", lookup).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    # cells of more than TILE rows: their rows are dealt to tiles, and each pair of tiles meets once
+    big = materialise(_cell_sizes(index, spread).where(F.col("n") > TILE).select("part", "cell", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), label="big")
+    n_big = big.count()
+    if n_big:
+        placed = placed.join(checked_broadcast(big, n_big, 24), ["part", "cell"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
         other = F.sequence(F.lit(0), F.col("tiles") - 1)
         meet = F.transform(other, lambda o: F.least(o, F.col("tile")) * F.col("tiles") + F.greatest(o, F.col("tile")))
         placed = placed.select("part", "cell", F.explode(meet).alias("tile"), "id", "unit", "code", "margin")
@@ -308,22 +342,26 @@ def _top(met: DataFrame, k: int) -> DataFrame:
     return once.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
-def nearest(df: DataFrame, keys: list[str], is_query, k: int = 10, rerank: int = 60, block: int = 2_048) -> tuple[Index, DataFrame]:
-    """(index, pairs(part, a, b, similarity, place)): the k nearest rows of each query row (``is_query`` on the column id)."""
+def nearest(df: DataFrame, keys: list[str], is_query, k: int = 10, rerank: int = 60, block_bytes: int = 16 << 20) -> tuple[Index, DataFrame]:
+    """(index, pairs(part, a, b, similarity, place)): the k nearest rows of each query row (``is_query`` on the column id).
+
+    Every row is encoded once, into a written table; queries are broadcast in blocks of at most ``block_bytes``, each of which
+    is scanned against all rows of its partition. At least ``rerank`` rows of each batch of rows are compared exactly."""
     rows = usable(df, keys)
     index = Index(rows, keys)
     shared = index.shared
-    asked = index.rows.where(is_query)
-    sizes = {r["part"]: r["n"] for r in asked.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    coded = materialise(_cells(index, 1, 0.0).select("part", "id", "unit", "code"), label="coded")
+    asked = coded.where(is_query)
+    sizes = asked.groupBy("part").agg(F.count("*").alias("n"), F.first(F.size("unit")).alias("dim")).collect()
     found = []
-    for p, n in sorted(sizes.items()):
-        blocks = -(-n // block)
-        mine = asked.where(F.col("part") == p)
+    for r in sorted(sizes, key=lambda r: r["part"]):
+        p, blocks = r["part"], -(-r["n"] * r["dim"] * 4 // block_bytes)
+        mine = asked.where(F.col("part") == p).select("id", "unit")
         for i in range(blocks):  # bounded blocks of queries, each against all rows of the partition
             part = mine.where(F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)) == i).dropDuplicates(["id"]).toArrow()
             if part.num_rows:
-                q_ids, q = np.array(part.column("id").to_pylist(), dtype=str), _unit(_matrix(part.column("embedding")))
-                found.append(_against(index.rows.where(F.col("part") == p), df.sparkSession.sparkContext.broadcast((p, q_ids, q)), shared, k, rerank))
+                q_ids, q = np.array(part.column("id").to_pylist(), dtype=str), _matrix(part.column("unit"))
+                found.append(_against(coded.where(F.col("part") == p), df.sparkSession.sparkContext.broadcast((p, q_ids, q)), shared, k, rerank))
     if not found:
         return index, df.sparkSession.createDataFrame([], _OUT + ", place int")
     return index, _top(reduce(DataFrame.union, found), k)
@@ -336,8 +374,9 @@ def _against(rows: DataFrame, asked, shared, k: int, rerank: int) -> DataFrame:
         for batch in batches:
             ids, first = np.unique(np.array(batch.column("id").to_pylist(), dtype=str), return_index=True)
             if len(ids):
-                x = _unit(_matrix(batch.column("embedding")))[first]
-                a, b, s = best_of(q, q_ids, x, ids, pq, *pq.packed(x), k, None, rerank)
+                x = _matrix(batch.column("unit"))[first]
+                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, -1)[first]
+                a, b, s = best_of(q, q_ids, x, ids, pq, codes, np.zeros(len(x), np.float32), k, None, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), p, np.int32)), pa.array(a.tolist(), pa.string()), pa.array(b.tolist(), pa.string()), pa.array(s)], names=["part", "a", "b", "similarity"])
 
     return rows.mapInArrow(run, _OUT)
