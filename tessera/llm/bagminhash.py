@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import WordHashes, mix, shingle_hashes, words
@@ -60,6 +60,8 @@ class NearDupSpec:
         return int(128 * 2 * q + 3.4 * (128 * (5 * q - 4 * q * q)) ** 0.5)
 
 
+#: Classes of a band key that are joined in one task at most; larger buckets are cut into pairs of tiles.
+TILE = 2_048
 #: The statement of TESTDATA.md: three words, half of the distinct sequences, twenty words at least.
 STATED = NearDupSpec(shingle=3, threshold=0.5, min_words=20, multiset=False, rows=3, bands=36)
 
@@ -165,15 +167,25 @@ def signed_records(df: DataFrame, id_col: str, text_col: str, spec: NearDupSpec)
 def candidate_pairs(signed: DataFrame, spec: NearDupSpec) -> DataFrame:
     """Pairs of classes (a < b) that share a band key and whose sketches are near; each once.
 
-    One exchange by band key serves both sides of the self-join and the removal of repeats of a class
-    within a key, which needs no further shuffle. AQE splits the partitions of hot keys.
+    One exchange by band key serves the removal of repeats of a class within a key, the size of each key's bucket and both
+    sides of the self-join. A bucket of more than ``TILE`` classes is not joined in one task: its classes are dealt to tiles,
+    and each pair of tiles meets in a task of its own. No class is left out of a bucket, however large.
     """
     rows = signed.where(F.col("bands").isNotNull()).select(F.explode("bands").alias("key"), "cls", "s1", "s2")
     rows = rows.repartition("key").groupBy("key", "cls").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    a, b = rows.alias("a"), rows.alias("b")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    small = rows.where(F.col("n").between(2, TILE))
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    hot = rows.where(F.col("n") > TILE).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    hot = hot.select("key", "cls", "s1", "s2", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    hot = hot.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other"))
     far = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (far <= spec.max_far))
-    pairs = met.select(F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")).distinct()
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (far <= spec.max_far)
+    # classes of one tile meet where the pair of tiles is that tile with itself
+    apart = (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi")) & ((F.col("a.tile") != F.col("b.tile")) | (F.col("a.lo") == F.col("a.hi")))
+    pair = [F.col("a.cls").alias("cls_a"), F.col("b.cls").alias("cls_b")]
+    met = small.alias("a").join(small.alias("b"), near).select(*pair).union(hot.alias("a").join(hot.alias("b"), near & apart).select(*pair))
+    pairs = met.distinct()
     # unlike pairs that passed by chance are dropped by the fine sketch before any text moves
     fine = signed.where(F.col("fine").isNotNull()).select("cls", *[F.element_at("fine", i + 1).alias(f"f{i}") for i in range(8)]).dropDuplicates(["cls"])
     a, b = (fine.select(F.col("cls").alias(f"cls_{x}"), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(8)]) for x in "ab")
@@ -257,13 +269,20 @@ def record_pairs(members: DataFrame, links: DataFrame, spell_out: int = 1_000) -
     return pairs.select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b")).distinct()
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, spec: NearDupSpec = NearDupSpec()) -> DataFrame:
-    """(record_id, class_id, n_copies, n_links): one row per record with its class and its class's links to other classes."""
+def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, spec: NearDupSpec = NearDupSpec(bands=30)) -> DataFrame:
+    """(record_id, class_id, n_copies, n_links): one row per record. Records of equal bags are one class, named by its first
+    record; n_links counts the other classes whose bags have at least the threshold of weighted Jaccard similarity with it.
+
+    Records with fewer words than a shingle, empty and null ones are classed by their exact words and have no links."""
     members, links = class_links(df, id_col, text_col, spec)
     ends = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     who = members.distinct()
-    sizes = who.groupBy("cls").agg(F.count("*").alias("n_copies"))
-    return (
-        who.join(sizes.join(ends, "cls", "left"), "cls")
-        .select("record_id", F.col("cls").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    sizes = who.groupBy("cls").agg(F.count("*").alias("n_copies"), F.min("record_id").alias("class_id")).join(ends, "cls", "left")
+    large = who.join(sizes, "cls").select("record_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # whoever has no bag: its words joined by blanks, which are short
+    rest = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("record_id"), F.col(text_col).alias("body"))
+    rest = rest.join(who.select("record_id"), "record_id", "left_anti")
+    found = F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    short = rest.select("record_id", F.array_join(found, " ").alias("said")).groupBy("record_id").agg(F.max("said").alias("said"))
+    classes = short.groupBy("said").agg(F.count("*").alias("n_copies"), F.min("record_id").alias("class_id"))
+    return large.union(short.join(classes, "said").select("record_id", "class_id", "n_copies", F.lit(0)))

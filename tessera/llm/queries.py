@@ -138,6 +138,18 @@ _SQL = {
       n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY chunk_id),
       p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS both_have FROM g a JOIN g b ON a.gram = b.gram AND a.chunk_id < b.chunk_id GROUP BY ALL)
       SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE 2 * both_have >= x.n + y.n - both_have""",
+    "p1_classes": f"""WITH c AS (SELECT DISTINCT chunk_id, {_WORDS.format("coalesce(text_content, '')")} AS ts FROM product_chunk_metadata WHERE chunk_id IS NOT NULL),
+      u AS (SELECT chunk_id, unnest(list_transform(range(1, len(ts) - 3), lambda i: array_to_string(ts[i : i + 4], ' '))) AS gram FROM c WHERE len(ts) >= 5),
+      g AS (SELECT chunk_id, gram, count(*) AS n FROM u GROUP BY ALL),
+      b AS (SELECT chunk_id, md5(string_agg(gram || ':' || n, ',' ORDER BY gram)) AS bag, sum(n) AS size FROM g GROUP BY chunk_id),
+      k AS (SELECT bag, min(chunk_id) AS class_id, count(*) AS n_copies, any_value(size) AS size FROM b GROUP BY bag),
+      r AS (SELECT g.* FROM g JOIN k ON g.chunk_id = k.class_id),
+      p AS (SELECT x.chunk_id AS a, y.chunk_id AS b, sum(least(x.n, y.n)) AS both_have FROM r x JOIN r y ON x.gram = y.gram AND x.chunk_id < y.chunk_id GROUP BY ALL),
+      l AS (SELECT a, b FROM p JOIN k x ON x.class_id = a JOIN k y ON y.class_id = b WHERE both_have >= 0.8 * (x.size + y.size - both_have)),
+      n AS (SELECT e, count(*) AS n_links FROM (SELECT a AS e FROM l UNION ALL SELECT b FROM l) GROUP BY e),
+      s AS (SELECT chunk_id, array_to_string(ts, ' ') AS said FROM c WHERE len(ts) < 5), t AS (SELECT said, min(chunk_id) AS class_id, count(*) AS n_copies FROM s GROUP BY said)
+      SELECT chunk_id AS record_id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM b JOIN k USING (bag) LEFT JOIN n ON n.e = k.class_id
+      UNION ALL SELECT chunk_id, class_id, n_copies, 0 FROM s JOIN t USING (said)""",
     "p2_found": "SELECT DISTINCT chunk_id FROM product_chunk_metadata WHERE length(text_content) > 2000",
     "p4_found": """WITH r AS (SELECT 'dense' AS store, generation_id, model_id, dim, document_id, embedding FROM dense_vectors UNION ALL SELECT 'residual', generation_id, NULL, dim, document_id, embedding FROM residual_dense_vectors),
       u AS (SELECT store, generation_id, model_id, dim, document_id, any_value(embedding)::DOUBLE[] AS e FROM r WHERE document_id IS NOT NULL AND len(embedding) = dim AND dim > 0 AND NOT list_has_any(list_transform(embedding, lambda v: isnan(v) OR isinf(v)), [true])

@@ -61,6 +61,28 @@ def test_empty_table_and_classes(spark):
     assert got == {"a": (2, 1), "b": (2, 1), "c": (1, 1)}
 
 
+def test_every_record_has_a_class(spark):
+    text = " ".join(f"t{i}" for i in range(60))
+    rows = [("a", text), ("b", "too short"), ("c", "Too, SHORT!"), ("d", None), ("e", ""), ("f", " - "), ("g", text), ("b", "too short"), (None, text)]
+    df = spark.createDataFrame([(r, t, "x", 1) for r, t in rows], SCHEMA)
+    got = {r["record_id"]: (r["class_id"], r["n_copies"], r["n_links"]) for r in B.near_duplicate_classes(df, "record_id", "body").collect()}
+    assert got == {"a": ("a", 2, 0), "g": ("a", 2, 0), "b": ("b", 2, 0), "c": ("b", 2, 0), "d": ("d", 3, 0), "e": ("d", 3, 0), "f": ("d", 3, 0)}
+
+
+def test_hot_band_keys_meet_in_tiles(spark, monkeypatch):
+    """A template that half of the records vary: their band keys are shared by most of them."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    records = corpus(5, 40)
+    for i in range(90):
+        edit = list(base)
+        edit[rng.randrange(120)] = f"x{i}"
+        records.append((f"t{i:02d}", " ".join(edit)))
+    monkeypatch.setattr(B, "TILE", 16)
+    assert found(spark, records, B.STATED) == brute(records, B.STATED)
+    assert len(brute(records, B.STATED)) >= 90 * 89 // 2
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2**63, 200).astype(np.uint64)
