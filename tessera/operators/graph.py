@@ -56,17 +56,16 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def components(edges: DataFrame, label: str = "components", max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, component): the smallest node of each connected component.
 
-    Large-star and small-star rounds, which halve the depth of the label trees, so a few rounds do on any
+    Large-star and small-star rounds to the fixed point; they halve the depth of the label trees, so rounds are few on any
     shape; only counts reach the driver. A hub's neighbours are grouped with partial aggregation (min), not collected.
     """
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+    e = materialise(edges.select("src", "dst").where("src <> dst").distinct(), label=label)
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    e = materialise(e, label=label)
     mark = _mark(e)
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         low = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         large = both.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()

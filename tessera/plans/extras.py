@@ -26,17 +26,17 @@ def exact_occurrences(spark, sf):
     return evidence.exact_occurrences(s.withColumnRenamed("name", "text"), name).select("path", "kind")
 
 
-@query("SELECT DISTINCT source_uri, regexp_matches(lower(source_uri), '/tests?/|/__tests__/|_test\\.|\\.test\\.|\\.spec\\.|^tests?/') AS is_test FROM product_chunk_metadata WHERE source_uri IS NOT NULL")
+@query("SELECT DISTINCT source_uri, list_bool_or(list_transform(['/test/', '/tests/', '/__tests__/', '.test.', '.spec.', '_test.', '/fixtures/', '/fixture/', '/mocks/', '/__mocks__/'], lambda x: contains(lower(source_uri), x))) AS is_test FROM product_chunk_metadata WHERE source_uri IS NOT NULL")
 def test_paths(spark, sf):
     u = table(spark, sf, "product_chunk_metadata").where(F.col("source_uri").isNotNull()).select("source_uri").distinct()
     return u.select("source_uri", evidence.is_test_path(F.col("source_uri")).alias("is_test"))
 
 
-@query("""SELECT DISTINCT source_uri, CAST(CASE WHEN contains(lower(source_uri), 'cursor_cache') THEN 1.8 WHEN contains(regexp_replace(lower(source_uri), '^.*/', ''), 'cursorcache') THEN 1.5 ELSE 1 END AS DOUBLE) AS boost
+@query("""SELECT DISTINCT source_uri, CAST(CASE WHEN contains(lower(source_uri), 'cursorservice') THEN 1.8 WHEN contains(list_last(string_split(lower(source_uri), '/')), 'cursor') THEN 1.5 ELSE 1 END AS DOUBLE) AS boost
   FROM product_chunk_metadata WHERE source_uri IS NOT NULL""")
 def interface_boost(spark, sf):
     u = table(spark, sf, "product_chunk_metadata").where(F.col("source_uri").isNotNull()).select("source_uri").distinct()
-    return u.select("source_uri", evidence.interface_boost(F.lit(1.0), F.col("source_uri"), "cursor_cache").alias("boost"))
+    return u.select("source_uri", evidence.interface_boost(F.lit(1.0), F.col("source_uri"), "ICursorService").alias("boost"))
 
 
 @query("""WITH c AS (SELECT s_suppkey AS card, CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE 'n' || s_nationkey END AS tenant, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'eu' END AS region, ['t' || (s_suppkey % 5), 't' || (s_suppkey % 3)] AS topics, s_suppkey * 3 AS docs, s_suppkey % 7 / 10.0 AS cost FROM supplier)
@@ -69,16 +69,16 @@ def prune_terms(spark, sf):
 _CL = f"c AS ({_CLAIM_SQL}), g AS (SELECT predicate || ':' || subject AS id, list_sort(list_distinct(list(doc))) AS documents FROM c GROUP BY ALL)"
 
 
-def _cited(spark, sf):
+def _citations(spark, sf):
+    """(id, doc): one row per claim and document that cites it."""
     c = C.extract_claims(table(spark, sf, "documents"), "doc_id", "text")
-    return c.groupBy(F.concat_ws(":", "predicate", "subject").alias("id")).agg(F.sort_array(F.collect_set("doc")).alias("documents"))
+    return c.select(F.concat_ws(":", "predicate", "subject").alias("id"), "doc").distinct()
 
 
 @query(f"WITH {_CL}, s AS (SELECT DISTINCT doc FROM c WHERE doc % 3 = 0) SELECT id, len(documents) AS n FROM g WHERE list_has_any(documents, (SELECT list(doc) FROM s))")
 def claims_citing(spark, sf):
-    g = _cited(spark, sf)
-    s = C.extract_claims(table(spark, sf, "documents"), "doc_id", "text").where("doc % 3 = 0").select("doc")
-    return evidence.citing(g, s).select("id", F.size("documents").cast("bigint").alias("n"))
+    c = _citations(spark, sf)
+    return evidence.citing(c, c.where("doc % 3 = 0").select("doc")).groupBy("id").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_POST}, l AS (SELECT doc, token AS id FROM post WHERE token IN (SELECT token FROM post GROUP BY token HAVING count(*) BETWEEN 2 AND 6)), s AS (SELECT min(doc) AS doc FROM l),
@@ -88,8 +88,8 @@ def claims_citing(spark, sf):
 def claim_walk(spark, sf):
     p = _post(spark, sf)
     few = p.groupBy("token").agg(F.count("*").alias("n")).where("n BETWEEN 2 AND 6")
-    c = p.join(few, "token", "left_semi").groupBy(F.col("token").alias("id")).agg(F.collect_set("doc").alias("documents"))  # at most six documents each
-    return evidence.claim_walk(c, c.select(F.explode("documents").alias("doc")).agg(F.min("doc").alias("doc")))
+    links = p.join(few, "token", "left_semi").select(F.col("token").alias("id"), "doc")
+    return evidence.claim_walk(links, links.agg(F.min("doc").alias("doc")))
 
 
 @query(f"""WITH {_POST}, r AS (SELECT token FROM post GROUP BY token HAVING count(*) <= 8), s AS (SELECT doc FROM (SELECT DISTINCT doc FROM post) ORDER BY doc LIMIT 5)

@@ -92,7 +92,32 @@ def read_lines(spark, sf):
 
 # ---- privacy -------------------------------------------------------------------------------------
 
-_CNT = ", ".join(f"len(regexp_extract_all(text, '{rx}')) AS {n}" for n, rx in privacy.CLASSES.items())
+# The patterns are written out here once more, so that a changed one in the operator shows.
+_RX = {
+    "private_key": r"(?s)-----BEGIN[ \t]+[A-Z0-9 \t]*PRIVATE KEY-----(?:.*?-----END[ \t]+[A-Z0-9 \t]*PRIVATE KEY-----|.*)",
+    "password_assignment": r"(?i)\b(?:password|passwd|pwd|secret)[ \t]*[:=][ \t]*[^\s,;]+",
+    "bearer_token": r"(?i)\bbearer[ \t]+[A-Za-z0-9._~+/\-]{12,}=*",
+    "api_key": r"\b(?:AKIA[0-9A-Z]{16}|(?:sk|api|key)_[A-Za-z0-9_\-]{12,}|sk-(?:proj-|ant-|or-)?[A-Za-z0-9_\-]{16,}|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{20,}|xox[baprs]-[A-Za-z0-9\-]{10,}|AIza[0-9A-Za-z_\-]{30,}|glpat-[A-Za-z0-9_\-]{16,}|(?:r8_|hf_)[A-Za-z0-9]{16,})\b",
+    "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,63}",
+    "credit_card": r"\b(?:[0-9][ -]?){12,18}[0-9]\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "phone": r"(?:\+?[0-9][0-9 .()\-]{7,}[0-9])",
+}
+
+
+def _luhn_sql(v: str) -> str:
+    """Whether the digits of a value number 13 to 19 and their Luhn sum ends in 0."""
+    d = f"reverse(regexp_replace({v}, '[^0-9]', '', 'g'))"
+    twice = f"list_sum(list_transform(range(1, strlen({d}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN ({d}[i])::INT WHEN ({d}[i])::INT > 4 THEN 2 * ({d}[i])::INT - 9 ELSE 2 * ({d}[i])::INT END))"
+    return f"(strlen({d}) BETWEEN 13 AND 19 AND {twice} % 10 = 0)"
+
+
+def _found_sql(name: str, text: str = "text") -> str:
+    found = f"regexp_extract_all({text}, '{_RX[name]}')"
+    return f"list_filter({found}, lambda m: {_luhn_sql('m')})" if name == "credit_card" else found
+
+
+_CNT = ", ".join(f"len({_found_sql(n)}) AS {n}" for n in _RX)
 
 
 @query(f"SELECT doc_id AS doc, {_CNT} FROM documents WHERE text IS NOT NULL")
@@ -101,18 +126,23 @@ def pii_counts(spark, sf):
 
 
 @query(f"""WITH c AS (SELECT text_content AS text FROM product_chunk_metadata WHERE text_content IS NOT NULL), n AS (SELECT {_CNT} FROM c)
-  SELECT CASE WHEN ssn > 0 THEN 'tombstone' WHEN card > 0 THEN 'quarantine' WHEN email + phone + ipv4 > 0 THEN 'redact' ELSE 'clean' END AS status, count(*) AS n FROM n GROUP BY 1""")
+  SELECT CASE WHEN ssn + private_key > 0 THEN 'tombstone' WHEN credit_card + api_key + bearer_token + password_assignment > 0 THEN 'quarantine' WHEN email + phone > 0 THEN 'redact' ELSE 'clean' END AS status, count(*) AS n FROM n GROUP BY 1""")
 def redaction_status(spark, sf):
     chunks = table(spark, sf, "product_chunk_metadata").where(F.col("text_content").isNotNull())
     return chunks.groupBy(privacy.status(privacy.counts(F.col("text_content"))).alias("status")).agg(F.count("*").alias("n"))
 
 
-_MASK = "text"
-for _n in ("email", "phone", "ssn"):
-    _MASK = f"regexp_replace({_MASK}, '{privacy.CLASSES[_n]}', '[{_n.upper()}]', 'g')"
+def _masked_sql() -> str:
+    steps, last = ["s0 AS (SELECT document_id, kind, text FROM product_sidecars WHERE text IS NOT NULL)"], 0
+    for n, rx in _RX.items():
+        hide = f"CASE WHEN {_luhn_sql('x[2]')} THEN repeat('*', strlen(x[2])) ELSE x[2] END" if n == "credit_card" else "repeat('*', strlen(x[2]))"
+        zipped = f"list_zip(string_split_regex(text, '{rx}'), regexp_extract_all(text, '{rx}'))"
+        steps.append(f"s{last + 1} AS (SELECT document_id, kind, CASE WHEN regexp_matches(text, '{rx}') THEN array_to_string(list_transform({zipped}, lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' ELSE {hide} END), '') ELSE text END AS text FROM s{last})")
+        last += 1
+    return f"WITH {', '.join(steps)} SELECT document_id, kind, md5(text) AS masked_digest FROM s{last}"
 
 
-@query(f"SELECT document_id, kind, md5({_MASK}) AS masked_digest FROM product_sidecars WHERE text IS NOT NULL")
+@query(_masked_sql())
 def masked_sidecars(spark, sf):
     s = table(spark, sf, "product_sidecars").where(F.col("text").isNotNull())
     return s.select("document_id", "kind", F.md5(privacy.masked(F.col("text"))).alias("masked_digest"))

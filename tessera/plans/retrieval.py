@@ -183,7 +183,8 @@ def rank_fusion(spark, sf):
     return ranking.rank_fusion(signals).select("doc", F.round("fused", 6).alias("fused"))
 
 
-_AUTH = " , ".join(f"CASE WHEN contains(b, '{k}') THEN {v} ELSE 0 END" for k, v in ranking.SOURCE_AUTHORITY.items())
+_AUTH = """CASE WHEN contains(b, 'confluence') THEN 1.0 WHEN contains(b, 'notion') THEN 0.95 WHEN contains(b, 'google_drive') OR contains(b, 'gdrive') THEN 0.9 WHEN contains(b, 'github') THEN 0.85
+  WHEN contains(b, 'linear') OR contains(b, 'jira') THEN 0.8 WHEN contains(b, 'slack') THEN 0.55 WHEN contains(b, 'gmail') OR contains(b, 'email') THEN 0.5 WHEN contains(b, 'fireflies') OR contains(b, 'video') OR contains(b, 'meeting') THEN 0.45 ELSE 0 END"""
 
 
 @query(f"""WITH x AS (SELECT doc_id AS doc, lower(coalesce(source, '') || ' ' || coalesce(title, '') || ' ' || substr(text, 1, 500)) AS b FROM documents WHERE text IS NOT NULL),
@@ -194,8 +195,13 @@ def source_authority(spark, sf):
     return _docs(spark, sf).select(F.col("doc_id").alias("doc"), ranking.authority(blob).alias("authority"))
 
 
-@query(f"""SELECT doc_id AS doc, CAST(round(CASE WHEN text = '' THEN 0.5 ELSE least(1.0, greatest(0.0, 0.5 + 0.12 * len(regexp_extract_all(text, '{ranking.CURRENT}')) - 0.15 * len(regexp_extract_all(text, '{ranking.OUTDATED}')))) END, 6) AS DOUBLE) AS currency
-  FROM documents WHERE text IS NOT NULL""")
+# Written out once more for the SQL.
+_NOW = r"(?i)\b(supersed(?:es|ed|ing)?|current\s+policy|updated\s+policy|goes\s+live|effective\s+20|the\s+newest\s+version|revised\s+policy|now\s+provides|company-?wide\s+policy)\b"
+_PAST = r"(?i)\b(draft\s+note|earlier\s+note|an\s+older\s+version|old\s+policy|superseded\s+by|obsolete|mistaken|wrongly|pilot\s+only|suggested)\b"
+
+
+@query(f"""SELECT doc_id AS doc, CAST(round(CASE WHEN text = '' THEN 0.5 ELSE least(1.0, greatest(0.0, 0.5 + 0.12 * len(regexp_extract_all(t, '{_NOW}')) - 0.15 * len(regexp_extract_all(t, '{_PAST}')))) END, 6) AS DOUBLE) AS currency
+  FROM (SELECT doc_id, text, CASE WHEN strlen(text) <= 2500 THEN text ELSE list_aggregate(list_transform(list_filter(generate_series(1, length(text)), lambda i: i <= 2500), lambda i: CASE WHEN i <= 2500 AND strlen(left(text, i)) <= 2500 THEN text[i] ELSE '' END), 'string_agg', '') END AS t FROM documents WHERE text IS NOT NULL)""")
 def currency_score(spark, sf):
     return _docs(spark, sf).select(F.col("doc_id").alias("doc"), F.round(ranking.currency(F.col("text")), 6).alias("currency"))
 

@@ -150,8 +150,25 @@ def test_structure_chunks_offsets(spark):
 def test_cards_and_status(spark):
     d = spark.createDataFrame([("4111 1111 1111 1111",), ("4111 1111 1111 1112",), ("411",)], "n string")
     assert [r[0] for r in d.select(privacy.valid_card(F.col("n"))).collect()] == [True, False, False]
-    s = spark.createDataFrame([("id 123-45-6789 a@b.org",), ("a@b.org",), ("none",)], "t string")
-    assert [r[0] for r in s.select(privacy.status(privacy.counts(F.col("t")))).collect()] == ["tombstone", "redact", "clean"]
+    s = spark.createDataFrame([("id 123-45-6789 a@b.org",), ("a@b.org",), ("none",), ("pay 4111 1111 1111 1111",), ("row 4111 1111 1111 1112x",), ("pwd = hunter2",)], "t string")
+    assert [r[0] for r in s.select(privacy.status(privacy.counts(F.col("t")))).collect()] == ["tombstone", "redact", "clean", "quarantine", "redact", "quarantine"]
+    m = spark.createDataFrame([("é a@b.org, password: höf 4111 1111 1111 1111",), ("no find",), ("-----BEGIN RSA PRIVATE KEY-----\nab",)], "t string")
+    assert [r[0] for r in m.select(privacy.masked(F.col("t"))).collect()] == ["é *******, ************** *******************", "no find", "*" * 34]
+
+
+def test_detectors_are_pluggable(spark):
+    import pandas as pd
+
+    d = spark.createDataFrame([(1, "é a@b.org and 123-45-6789"), (2, None), (3, "ghp_abcdefghij0123456789")], "id int, t string")
+    got = {(r["doc"], r["cls"], r["start"], r["end"]) for r in privacy.detect(d, "id", "t", classes=["email", "ssn", "api_key"]).collect()}
+    assert got == {(1, "email", 3, 10), (1, "ssn", 15, 26), (3, "api_key", 0, 24)}
+    privacy.detector("first_letter")(lambda texts: pd.Series([[{"cls": "x", "start": 0, "end": 1}] for _ in texts]))
+    assert privacy.detect(d, "id", "t", "first_letter").count() == 2
+    privacy.detector("broken")(lambda texts: pd.Series([[{"cls": "x", "start": 0, "end": 999}] for _ in texts]))
+    import pytest
+
+    with pytest.raises(Exception, match="outside its text"):
+        privacy.detect(d, "id", "t", "broken").collect()
 
 
 def test_privacy_evaluation(spark):
