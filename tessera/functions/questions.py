@@ -58,6 +58,22 @@ def infer_plan(question: str) -> dict[str, object]:
     return {**flags, "type": next((t for f, t in order if flags[f]), "semantic")}
 
 
+def identifier_list(question: Column) -> Column:
+    """``identifiers`` of a column of questions, as an array."""
+    found = F.regexp_extract_all(question, F.lit(f"({IDENTIFIER.pattern})"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda x: F.btrim(x, F.lit("`\""))))
+
+
+def question_plan(question: Column, several: bool = True) -> Column:
+    """(variants, parts, type) of a column of questions, by batches."""
+
+    @F.pandas_udf("variants array<string>, parts array<string>, type string")
+    def plan(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"variants": [variants(t) for t in texts], "parts": [decompose(t, several) for t in texts], "type": [infer_plan(t)["type"] for t in texts]})
+
+    return plan(question)
+
+
 def question_lines(text: Column, most: int = 5) -> Column:
     """Up to five templated questions from the first eight content words of a text's first 400 bytes, one string per line set."""
 

@@ -46,6 +46,13 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(kept or tokens))
 
 
+def query_term_list(c) -> Column:
+    """``query_terms`` of a column of questions, as an array."""
+    tokens = unicode_tokens(c)
+    kept = F.filter(tokens, lambda t: ~t.isin(*QUERY_STOP_WORDS))
+    return F.array_distinct(F.when((F.size(tokens) <= 1) | (F.size(kept) == 0), tokens).otherwise(kept))
+
+
 def fact_sentences(c) -> Column:
     """At most five sentences of twelve bytes or more that hold a digit or an identifier."""
     parts = F.transform(F.split(_col(c), r"[.!?\n]"), lambda s: F.trim(s))

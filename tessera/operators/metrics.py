@@ -70,11 +70,44 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def recall_relevance(symbol: Column, path: Column, handle: Column, text: Column, query: str) -> Column:
-    """Tiers: the symbol itself 1.0, the handle 0.9, part of the symbol 0.6, of the path 0.5, of the handle 0.4; else 0.3 x the share of query tokens in the text."""
+    """Tiers: the symbol itself 1.0, part of the symbol 0.9, of the path 0.6, of the handle 0.5, of the text 0.4; for queries of several
+    tokens at least 0.3 x the share of them that all four hold."""
     import re
 
     q = query.lower().strip()
-    tokens = list(dict.fromkeys(re.findall(r"[^\W_]+", q)))
+    tokens = list(dict.fromkeys(x for x in re.split(r"[\s/._\-]+", q) if x))
     s, p, h, t = (F.lower(F.coalesce(c, F.lit(""))) for c in (symbol, path, handle, text))
-    share = sum((t.contains(x).cast("int") for x in tokens), F.lit(0)) / max(len(tokens), 1)
-    return F.greatest(F.when(s == q, 1.0).otherwise(0.0), F.when(h == q, 0.9).otherwise(0.0), F.when(s.contains(q), 0.6).otherwise(0.0), F.when(p.contains(q), 0.5).otherwise(0.0), F.when(h.contains(q), 0.4).otherwise(0.0), 0.3 * share)
+    tiers = [F.when(c.contains(q), v).otherwise(0.0) for c, v in ((s, 0.9), (p, 0.6), (h, 0.5), (t, 0.4))]
+    if len(tokens) > 1:
+        held = F.split(F.concat_ws(" ", s, p, h, t), r"[\s/._\-]+")
+        tiers.append(0.3 * sum((F.array_contains(held, x).cast("int") for x in tokens), F.lit(0)) / len(tokens))
+    return F.when(s == q, 1.0).otherwise(F.greatest(*tiers))
+
+
+def gold_baseline(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row (gold_bytes, tree_bytes, ratio): bytes of the distinct files (path, size) that end in an expected path (suffix), of all files,
+    and the share that reading only the gold files saves. The suffixes are those of a suite of queries, a stated set."""
+    e = expected.select(F.trim("suffix").alias("suffix")).where("suffix <> ''").distinct()
+    whole = files.join(e, F.col("path").endswith(F.col("suffix")), "left_semi").select("path", "size")
+    gold = whole.distinct().agg(F.coalesce(F.sum("size"), F.lit(0)).alias("gold_bytes"))
+    tree = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("tree_bytes"))
+    both = gold.crossJoin(F.broadcast(tree))  # one row each
+    return both.withColumn("ratio", F.when(F.col("tree_bytes") > 0, 1 - F.col("gold_bytes") / F.col("tree_bytes")).otherwise(0.0))
+
+
+def prediction_error(recalls: DataFrame) -> DataFrame:
+    """One row (probes, error): the mean of 1 - recall, 0.5 where there is no probe."""
+    return recalls.agg(F.count("recall").alias("probes"), F.coalesce(F.avg(1 - F.col("recall")), F.lit(0.5)).alias("error"))
+
+
+def qa_aggregates(results: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """One row over queries (query, first_rank, hits, returned, latency): hit at k, mean precision, mean latency and the latency at place
+    floor((n - 1) x 0.95) of their order."""
+    hits = [F.avg(F.when(F.col("first_rank") <= k, 1.0).otherwise(0.0)).alias(f"hit_at_{k}") for k in ks]
+    precision = F.when(F.col("returned") > 0, F.col("hits") / F.col("returned")).otherwise(0.0)
+    one = results.agg(F.count("*").alias("queries"), *hits, F.avg(precision).alias("precision"), F.avg("latency").alias("latency"))
+    from pyspark.sql import Window
+
+    order = results.select("latency").withColumn("i", F.row_number().over(Window.orderBy("latency")) - 1)  # one row per query of a suite
+    at = order.crossJoin(F.broadcast(one.select("queries"))).where(F.col("i") == F.floor((F.col("queries") - 1) * 0.95))
+    return one.crossJoin(F.broadcast(at.agg(F.max("latency").alias("p95_latency"))))

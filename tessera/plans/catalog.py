@@ -6,7 +6,7 @@ import importlib
 
 from tessera.plans import registry
 
-MODULES = ("retrieval", "knowledge", "pipeline", "sources", "extras")
+MODULES = ("retrieval", "knowledge", "pipeline", "sources", "extras", "evidence_plans")
 
 for _name in MODULES:
     importlib.import_module(f"tessera.plans.{_name}")

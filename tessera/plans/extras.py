@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import questions as Q
 from tessera.functions import text as T
-from tessera.operators import evidence, index, metrics, ranking
+from tessera.operators import chunking, evidence, index, metrics, ranking
 from tessera.operators import claims as C
 from tessera.plans.knowledge import _CLAIM_SQL, _POST, _SYMBOLS, _post, symbols
 from tessera.plans.registry import query
@@ -137,11 +137,18 @@ def quote_recovery(spark, sf):
     return evidence.support_sentences(table(spark, sf, "documents"), "doc_id", "text", TERMS)
 
 
-@query(f"""WITH n AS (SELECT doc_id AS doc, 0 AS line, title, text FROM documents WHERE title IS NOT NULL)
-  SELECT doc, line, CAST(score AS DOUBLE) AS score FROM (SELECT doc, line, {" + ".join(f"contains(lower(title), '{t}')::INT + 0.25 * contains(lower(coalesce(text, '')), '{t}')::INT" for t in TERMS)} AS score FROM n) WHERE score > 0""")
+@query(rf"""WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL),
+  h AS (SELECT doc, line, trim(t, ' ') AS title FROM l WHERE regexp_matches(trim(t, ' '), '^#{{1,6}}\s+\S') OR (regexp_matches(trim(t, ' '), '^\d+(\.\d+)*[.)]?\s+[A-Z]') AND length(trim(t, ' ')) <= 80) OR (regexp_matches(trim(t, ' '), '^([A-Z][a-z]+ ){{1,6}}[A-Z][a-z]+$') AND length(trim(t, ' ')) <= 60)),
+  n AS (SELECT h.doc, h.line, title, string_agg(l.t, chr(10) ORDER BY l.line) AS text FROM h LEFT JOIN l ON l.doc = h.doc AND l.line > h.line AND l.line < coalesce((SELECT min(x.line) FROM h x WHERE x.doc = h.doc AND x.line > h.line), 1000000000) GROUP BY ALL)
+  SELECT doc, CAST(line AS INT) AS line, CAST(score AS DOUBLE) AS score FROM (SELECT doc, line, {" + ".join(f"contains(lower(title), '{t}')::INT + 0.25 * contains(lower(coalesce(text, '')), '{t}')::INT" for t in TERMS)} AS score FROM n) WHERE score > 0""")
 def page_index_search(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("title").isNotNull())
-    return evidence.page_index_search(d.select(F.col("doc_id").alias("doc"), F.lit(0).alias("line"), "title", "text"), TERMS)
+    """Heading nodes with the lines up to the next heading."""
+    d = _docs(spark, sf)
+    h = chunking.headings(d, "doc_id", "text").select("doc", "line", "title")
+    h = h.withColumn("next", F.coalesce(F.lead("line").over(Window.partitionBy("doc").orderBy("line")), F.lit(1_000_000_000)))
+    body = d.select(F.col("doc_id").alias("doc"), F.split("text", "\n").alias("ls"))
+    part = F.array_join(F.slice("ls", F.col("line") + 2, F.greatest(F.least(F.col("next"), F.size("ls")) - F.col("line") - 1, F.lit(0))), "\n")
+    return evidence.page_index_search(h.join(body, "doc").select("doc", "line", "title", part.alias("text")), TERMS)
 
 
 @query(r"""SELECT doc_id AS doc, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(?://|#|/\*|\*)')), chr(10))) AS digest FROM documents WHERE text IS NOT NULL AND kind = 'code'""")

@@ -218,11 +218,6 @@ def extract_claims(spark, sf):
     return claims.extract_claims(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query(f"WITH c AS ({_CLAIM_SQL}) SELECT subject, predicate, count(DISTINCT object) AS objects, count(*) AS claims FROM (SELECT DISTINCT doc, predicate, subject, object FROM c) GROUP BY ALL HAVING count(DISTINCT object) >= 2")
-def contested_claims(spark, sf):
-    return claims.contested(claims.extract_claims(table(spark, sf, "documents"), "doc_id", "text"))
-
-
 # Events as claims: the user is the subject, the event type the predicate, the value's tier the object.
 _EV = """ev AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS subject, event_type AS predicate, CAST(CAST(floor(value / 10) AS BIGINT) AS VARCHAR) AS object, ts AS valid_from,
     CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 2 DAY END AS valid_to, ts + INTERVAL 1 HOUR AS observed_at, CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 5 DAY END AS expired_at,
@@ -248,6 +243,11 @@ def claims_as_of(spark, sf):
     return claims.as_of(c, t("2024-01-15"), t("2024-01-16")).select("id", "subject", "predicate", "object")
 
 
+@query(f"WITH {_EV} SELECT subject, predicate, count(DISTINCT object) AS objects, count(*) AS claims FROM ev WHERE status = 'active' GROUP BY ALL HAVING count(DISTINCT object) >= 2")
+def contested_claims(spark, sf):
+    return claims.contested(_event_claims(spark, sf).where("status = 'active'"))
+
+
 @query(f"""WITH {_EV}, c AS (SELECT *, coalesce(valid_to, TIMESTAMP '9999-01-01') AS ve FROM ev WHERE valid_to IS NOT NULL)
   SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.subject = b.subject AND a.predicate = b.predicate AND a.id < b.id AND a.object <> b.object AND a.valid_from < b.ve AND b.valid_from < a.ve""")
 def overlapping_claims(spark, sf):

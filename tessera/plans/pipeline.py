@@ -327,15 +327,6 @@ def support_scores(spark, sf):
     return _docs(spark, sf).select(F.col("doc_id").alias("doc"), F.round(metrics.jaccard(q, ts), 6).alias("jaccard"), pm.alias("per_mille"), metrics.calibrated(pm).alias("calibrated"))
 
 
-@query("""WITH s AS (SELECT doc_id AS doc, lower(coalesce(title, '')) AS h, lower(coalesce(source, '')) AS p, lower(text) AS t FROM documents WHERE text IS NOT NULL),
-  r AS (SELECT doc, greatest(CASE WHEN h = 'retired cursors' THEN 0.9 ELSE 0 END, CASE WHEN contains(p, 'retired cursors') THEN 0.5 ELSE 0 END, CASE WHEN contains(h, 'retired cursors') THEN 0.4 ELSE 0 END,
-    0.3 * (contains(t, 'retired')::INT + contains(t, 'cursors')::INT) / 2) AS relevance FROM s)
-  SELECT doc, CAST(round(relevance, 6) AS DOUBLE) AS relevance FROM r WHERE relevance >= 0.15 ORDER BY relevance DESC, doc LIMIT 40""")
-def session_recall(spark, sf):
-    rel = metrics.recall_relevance(F.lit(""), F.col("source"), F.col("title"), F.col("text"), "retired cursors")
-    return _docs(spark, sf).select(F.col("doc_id").alias("doc"), F.round(rel, 6).alias("relevance")).where("relevance >= 0.15").orderBy(F.desc("relevance"), "doc").limit(40)
-
-
 @query(r"""WITH q AS (SELECT ['which', 'cursors', 'retired', 'manifest'] AS q), d AS (SELECT meeting_id, start_millis, speaker_label, text, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS ts FROM fixture_meeting WHERE text IS NOT NULL)
   SELECT DISTINCT meeting_id, text, CAST(round(len(list_intersect(ts, q)) / 4, 6) AS DOUBLE) AS score FROM d, q WHERE len(list_intersect(ts, q)) >= 2""")
 def turn_grep(spark, sf):

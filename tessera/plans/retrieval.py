@@ -136,6 +136,10 @@ def _paths(spark, sf):
     return _docs(spark, sf).withColumn("path", path)
 
 
+#: A file defines the words of its title.
+_DEFINED = f"(CASE WHEN path IN (SELECT {_PATH} FROM documents WHERE text IS NOT NULL AND list_has_any(string_split(lower(title), ' '), [{_IN}])) THEN 14 ELSE 0 END)"
+
+
 def _multiplier_sql(p: str) -> str:
     base = f"regexp_replace({p}, '^.*/', '')"
     return rf"""((CASE WHEN regexp_matches({p}, '/tests?/|/__tests__/|\.test\.|\.spec\.|_test\.|/fixtures?/|perf-data|\.snap|/mocks/|/__mocks__/') THEN 0.10 WHEN regexp_matches({p}, '/test|testing') THEN 0.30 ELSE 1.0 END)
@@ -158,10 +162,12 @@ def _term_bonus_sql(p: str) -> str:
   tok AS (SELECT path, unnest(ts) AS token FROM src), post AS (SELECT path, token, count(*) AS tf FROM tok WHERE token IN ({_IN}) GROUP BY ALL),
   dfs AS (SELECT token, count(*) AS df FROM post GROUP BY token), st AS (SELECT count(*) AS n FROM src),
   s AS (SELECT path, sum(ln(1 + tf) * ln(1 + n / (df + 1))) * (0.10 + 0.90 * count(*) / {len(TERMS)}) AS base FROM post JOIN dfs USING (token), st GROUP BY path)
-  SELECT path, round(base * {_multiplier_sql('path')} + {_term_bonus_sql('path')} + (CASE WHEN starts_with(path, 'src/') THEN 3.0 WHEN contains(path, '/src/') THEN 1.5 ELSE 0 END), 6) AS score
-  FROM s ORDER BY base * {_multiplier_sql('path')} + {_term_bonus_sql('path')} + (CASE WHEN starts_with(path, 'src/') THEN 3.0 WHEN contains(path, '/src/') THEN 1.5 ELSE 0 END) DESC, path LIMIT 50""")
+  SELECT path, round(base * {_multiplier_sql('path')} + {_term_bonus_sql('path')} + (CASE WHEN starts_with(path, 'src/') THEN 3.0 WHEN contains(path, '/src/') THEN 1.5 ELSE 0 END) + {_DEFINED}, 6) AS score
+  FROM s ORDER BY base * {_multiplier_sql('path')} + {_term_bonus_sql('path')} + (CASE WHEN starts_with(path, 'src/') THEN 3.0 WHEN contains(path, '/src/') THEN 1.5 ELSE 0 END) + {_DEFINED} DESC, path LIMIT 50""")
 def code_search(spark, sf):
-    hits = ranking.code_search(_paths(spark, sf), "path", T.unicode_tokens("text"), TERMS, k=50)
+    docs = _paths(spark, sf)
+    defined = docs.select("path", F.explode(F.split(F.lower("title"), " ")).alias("name"))
+    hits = ranking.code_search(docs, "path", T.unicode_tokens("text"), TERMS, defined, k=50)
     return hits.select("path", F.round("score", 6).alias("score"))
 
 
@@ -173,13 +179,13 @@ def path_multiplier(spark, sf):
 
 @query(f"""{_FUSE.replace("sm AS", "best AS (SELECT max(score) AS top FROM bm), sm AS")},
   sig AS (SELECT bm.doc, bm.score / top AS lex, sm.score AS tf FROM bm JOIN sm USING (doc), best)
-  SELECT doc, round(0.6 * lex + 0.15 * (tf >= 3)::INT + 0.05, 6) AS fused FROM sig""")
+  SELECT doc, round(0.6 * lex + 0.15 * (tf >= 3)::INT + 0.15 * (doc % 10) / 10 + 0.05 * (doc % 7) / 7 + 0.05 * (doc % 3), 6) AS fused FROM sig""")
 def rank_fusion(spark, sf):
     hits = ranking.query_hits(_docs(spark, sf), "doc_id", T.index_tokens("text"), TERMS)
     lex = ranking.bm25_of(hits).withColumnRenamed("score", "lexical")
     tf = ranking.summed_tf(hits, "doc", F.col("hit"), TERMS)
-    zero = F.lit(0.0)
-    signals = lex.join(tf, "doc").select("doc", "lexical", F.when(F.col("score") >= 3, 1).otherwise(0).alias("defines"), zero.alias("pagerank"), zero.alias("degree"), F.lit(1.0).alias("path_weight"))
+    part = lambda n: F.col("doc") % n / n
+    signals = lex.join(tf, "doc").select("doc", "lexical", F.when(F.col("score") >= 3, 1).otherwise(0).alias("defines"), part(10).alias("pagerank"), part(7).alias("degree"), (F.col("doc") % 3).alias("path_weight"))
     return ranking.rank_fusion(signals).select("doc", F.round("fused", 6).alias("fused"))
 
 
