@@ -55,7 +55,7 @@ def as_of(claims: DataFrame, valid: Column, known: Column | None, status: tuple[
 def overlaps(claims: DataFrame) -> DataFrame:
     """(a, b): claims of one subject and predicate, different objects, whose half-open validity intervals overlap.
 
-    Each (subject, predicate) is swept in start order: a claim is paired with the claims that start before it ends.
+    A self-join on subject and predicate with range conditions: its cost is quadratic in the claims of a group, as the result may be.
     """
     far = F.lit("9999-01-01").cast("timestamp")
     c = claims.select("id", "subject", "predicate", "object", "valid_from", F.coalesce("valid_to", far).alias("valid_end"))
@@ -78,31 +78,28 @@ def resolve(claims: DataFrame, group: list[str]) -> DataFrame:
 
     Single claims win; multi-valued predicates have no winner; then an unsuperseded superseder, the best
     evidence quality, the most documents, the tightest closed validity window; several superseders or a
-    remaining tie stay contested. Set-based: aggregates of each rung, no group is gathered.
+    remaining tie stay contested. Set-based: claims of one standing are counted first, and only the standings of a group meet.
     """
     c = claims.withColumn("docs", F.size("documents")).withColumn(
         "tight", F.when(F.col("valid_to") > F.col("valid_from"), F.unix_micros("valid_to") - F.unix_micros("valid_from")).otherwise(F.lit(1 << 62))
     )
-    # rung 1: who supersedes someone of the same group, and is not superseded inside it
+    # rung 1: who supersedes someone of the same group, and is not superseded inside it; both directions are joins on the ids
     ids = c.select(*group, "id", "supersedes", "superseded_by")
-    left, right = ids.alias("l"), ids.alias("r")
-    same = [F.col(f"l.{g}") == F.col(f"r.{g}") for g in group]
-    on = same[0]
-    for s in same[1:]:
-        on = on & s
-    beats = left.join(right, on & (F.col("l.id") != F.col("r.id")) & ((F.col("l.supersedes") == F.col("r.id")) | (F.col("r.superseded_by") == F.col("l.id")))).select(
-        *[F.col(f"l.{g}").alias(g) for g in group], F.col("l.id").alias("id")
-    )
-    inside = left.join(right, on & (F.col("l.superseded_by") == F.col("r.id"))).select(*[F.col(f"l.{g}").alias(g) for g in group], F.col("l.id").alias("id")).distinct()
-    beats = beats.distinct().join(inside, [*group, "id"], "left_anti").groupBy(*group).agg(F.count("*").alias("n_super"), F.min("id").alias("super"))
+    other = ids.select(*group, F.col("id").alias("other")).distinct()
+    down = ids.join(other.withColumnRenamed("other", "supersedes"), [*group, "supersedes"]).select(*group, "id", F.col("supersedes").alias("beaten"))
+    up = ids.join(other.withColumnRenamed("other", "superseded_by"), [*group, "superseded_by"]).select(*group, F.col("superseded_by").alias("id"), F.col("id").alias("beaten"))
+    inside = up.select(*group, F.col("beaten").alias("id")).distinct()
+    beats = down.union(up).where("id <> beaten").select(*group, "id").distinct().join(inside, [*group, "id"], "left_anti").groupBy(*group).agg(F.count("*").alias("n_super"), F.min("id").alias("super"))
+    # the other rungs: claims of one standing are one row, so a group's rows are its distinct standings
+    s = c.groupBy(*group, "quality", "docs", "tight").agg(F.count("*").alias("k"), F.min("id").alias("first"))
     w = Window.partitionBy(*group)
-    c = c.withColumn("n", F.count("*").over(w)).withColumn("mq", F.max("quality").over(w))
-    c = c.withColumn("q", (F.col("quality") == F.col("mq")).cast("int")).withColumn("md", F.max(F.when(F.col("q") == 1, F.col("docs"))).over(w))
-    c = c.withColumn("d", (F.col("q") * (F.col("docs") == F.col("md")).cast("int"))).withColumn("mt", F.min(F.when(F.col("d") == 1, F.col("tight"))).over(w))
-    c = c.withColumn("t", F.col("d") * (F.col("tight") == F.col("mt")).cast("int"))
-    g = c.groupBy(*group).agg(
-        F.max("n").alias("n"), F.sum("q").alias("nq"), F.sum("d").alias("nd"), F.sum("t").alias("nt"), F.max("mt").alias("mt"), F.min("id").alias("only"),
-        *[F.min(F.when(F.col(x) == 1, F.col("id"))).alias(f"w{x}") for x in "qdt"],
+    s = s.withColumn("q", F.col("quality") == F.max("quality").over(w))
+    s = s.withColumn("d", F.col("q") & (F.col("docs") == F.max(F.when(F.col("q"), F.col("docs"))).over(w)))
+    s = s.withColumn("mt", F.min(F.when(F.col("d"), F.col("tight"))).over(w)).withColumn("t", F.col("d") & (F.col("tight") == F.col("mt")))
+    g = s.groupBy(*group).agg(
+        F.sum("k").alias("n"), F.max("mt").alias("mt"), F.min("first").alias("only"),
+        *[F.sum(F.when(F.col(x), F.col("k")).otherwise(0)).alias(f"n{x}") for x in "qdt"],
+        *[F.min(F.when(F.col(x), F.col("first"))).alias(f"w{x}") for x in "qdt"],
     ).join(beats, group, "left")
     predicate = F.col("predicate") if "predicate" in group else F.lit("")
     reason = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,14 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(d.agg(F.max("d").alias("m")))).select("node", (F.col("d") / F.col("m")).alias("degree"))
 
 
+def degree_by_name(symbols: DataFrame) -> DataFrame:
+    """``degree_centrality`` of the links between references and definitions of names (path, name, kind), from counts by name alone."""
+    n = symbols.groupBy("name").agg(F.count_if(F.col("kind") == "def").alias("defs"), F.count_if(F.col("kind") == "ref").alias("refs")).where("defs > 0 AND refs > 0")
+    each = symbols.join(n, "name").select(F.col("path").alias("node"), F.when(F.col("kind") == "ref", 0.5 * F.col("defs")).otherwise(F.col("refs").cast("double")).alias("w"))
+    d = each.groupBy("node").agg(F.sum("w").alias("d"))
+    return d.crossJoin(F.broadcast(d.agg(F.max("d").alias("m")))).select("node", (F.col("d") / F.col("m")).alias("degree"))
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free checksum of an edge set, by one aggregation."""
     r = edges.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("src", "dst"), F.lit(1 << 40))).alias("c"), F.bit_xor(F.xxhash64("src", "dst")).alias("x")).first()
@@ -88,6 +98,35 @@ def pagerank(edges: DataFrame, nodes: DataFrame, steps: int, damping: float = 0.
     each; ``weighted`` splits by edges.weight. One join and one aggregation a step, hot targets being summed on
     the map side; the rank table is cut every few steps.
     """
+    w = F.col("weight") if weighted else F.lit(1.0)
+    out = edges.groupBy("src").agg(F.sum(w).alias("total"))
+    links = materialise(edges.join(out, "src").select("src", "dst", (w / F.col("total")).alias("share")), label="links")
+
+    def flow(rank: DataFrame) -> DataFrame:
+        return links.join(rank, links.src == rank.node).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("into"))
+
+    return _ranked(flow, out.select("src"), nodes, steps, damping, seeds, dangling, normalise, cut_every)
+
+
+def pagerank_by_name(symbols: DataFrame, nodes: DataFrame, steps: int, damping: float = 0.85, seeds: DataFrame | None = None, dangling: str = "uniform", normalise: bool = False, cut_every: int = 2) -> DataFrame:
+    """``pagerank`` over the links from each file that refers to a name to each that defines it (symbols path, name, kind ref or def),
+    without forming the links: what a file passes on is summed by name first and then goes to the name's files. So a name with r
+    references and d definitions costs r + d rows instead of r x d."""
+    named = materialise(symbols.where("kind IN ('ref', 'def')").select("path", "name", "kind").distinct(), label="named")
+    refs = named.where("kind = 'ref'").select(F.col("path").alias("src"), "name")
+    defs = named.where("kind = 'def'").select(F.col("path").alias("dst"), "name")
+    targets = defs.groupBy("name").agg(F.count("*").alias("targets"))
+    out = materialise(refs.join(targets, "name").groupBy("src").agg(F.sum("targets").alias("total")), label="out")
+
+    def flow(rank: DataFrame) -> DataFrame:
+        given = rank.join(out, rank.node == out.src).select("src", (F.col("rank") / F.col("total")).alias("each"))
+        by_name = refs.join(given, "src").groupBy("name").agg(F.sum("each").alias("each"))
+        return defs.join(by_name, "name").groupBy("dst").agg(F.sum("each").alias("into"))
+
+    return _ranked(flow, out.select("src"), nodes, steps, damping, seeds, dangling, normalise, cut_every)
+
+
+def _ranked(flow: Callable[[DataFrame], DataFrame], linked: DataFrame, nodes: DataFrame, steps: int, damping: float, seeds: DataFrame | None, dangling: str, normalise: bool, cut_every: int) -> DataFrame:
     n = nodes.count()
     if seeds is not None:
         marked = nodes.join(seeds.select("node").distinct().withColumn("s", F.lit(1)), "node", "left").withColumn("s", F.coalesce("s", F.lit(0)))
@@ -95,14 +134,10 @@ def pagerank(edges: DataFrame, nodes: DataFrame, steps: int, damping: float = 0.
         base = marked.select("node", (F.col("s") / F.lit(k)).alias("t"))
     else:
         base = nodes.select("node", F.lit(1.0 / n).alias("t"))
-    w = F.col("weight") if weighted else F.lit(1.0)
-    out = edges.groupBy("src").agg(F.sum(w).alias("total"))
-    links = edges.join(out, "src").select("src", "dst", (w / F.col("total")).alias("share"))
-    links = materialise(links, label="links")
-    base = materialise(base.join(out.select(F.col("src").alias("node"), F.lit(True).alias("has")), "node", "left"), label="base")
+    base = materialise(base.join(linked.select(F.col("src").alias("node"), F.lit(True).alias("has")), "node", "left"), label="base")
     rank = base.select("node", F.col("t").alias("rank"))
     for i in range(steps):
-        into = links.join(rank, links.src == rank.node).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("into"))
+        into = flow(rank)
         state = base.join(into, base.node == into.dst, "left").select("node", "t", F.coalesce("into", F.lit(0.0)).alias("into"))
         if dangling == "drop":
             step = state.select("node", ((1 - damping) * F.col("t") + damping * F.col("into")).alias("rank"))
@@ -149,11 +184,8 @@ def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1) -> DataFrame:
 
 def repo_map(symbols: DataFrame, steps: int = 8, per_file: int = 5) -> DataFrame:
     """(path, rank, names): files by PageRank over reference -> definition links, with their leading symbols (definitions count twice)."""
-    refs = symbols.where("kind = 'ref'").select(F.col("path").alias("src"), "name")
-    defs = symbols.where("kind = 'def'").select(F.col("path").alias("dst"), "name")
-    edges = refs.join(defs, "name").where("src <> dst").select("src", "dst")
     nodes = symbols.select(F.col("path").alias("node")).distinct()
-    rank = pagerank(edges, nodes, steps, normalise=True).withColumnRenamed("node", "path")
+    rank = pagerank_by_name(symbols, nodes, steps, normalise=True).withColumnRenamed("node", "path")
     weight = symbols.groupBy("path", "name").agg(F.sum(F.when(F.col("kind") == "def", 2).otherwise(1)).alias("w"))
     w = Window.partitionBy("path").orderBy(F.desc("w"), "name")
     names = weight.withColumn("i", F.row_number().over(w)).where(F.col("i") <= per_file).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("i", "name"))).alias("n"))

@@ -100,14 +100,9 @@ def impact_closure(spark, sf):
 _LINKS = f"""{_SYMBOLS}, links AS (SELECT r.path AS src, d.path AS dst FROM symbols r JOIN symbols d USING (name) WHERE r.kind = 'ref' AND d.kind = 'def' AND r.path <> d.path)"""
 
 
-def _links(spark, sf):
-    s = symbols(spark, sf)
-    return s.where("kind = 'ref'").select(F.col("path").alias("src"), "name").join(s.where("kind = 'def'").select(F.col("path").alias("dst"), "name"), "name").where("src <> dst").select("src", "dst")
-
-
 @query(f"WITH {_LINKS}, e AS (SELECT src AS node, 0.5 AS w FROM links UNION ALL SELECT dst, 1.0 FROM links), d AS (SELECT node, sum(w) AS d FROM e GROUP BY node) SELECT node, CAST(round(d / (SELECT max(d) FROM d), 6) AS DOUBLE) AS degree FROM d")
 def degree_centrality(spark, sf):
-    return graph.degree_centrality(_links(spark, sf)).select("node", F.round("degree", 6).alias("degree"))
+    return graph.degree_by_name(symbols(spark, sf)).select("node", F.round("degree", 6).alias("degree"))
 
 
 def _rank_sql(steps: int, teleport: str, lost: str) -> str:
@@ -124,12 +119,12 @@ def _nodes(spark, sf):
 
 @query(_rank_sql(4, "1.0 / n", "1.0 / n"))
 def pagerank_global(spark, sf):
-    return graph.pagerank(_links(spark, sf), _nodes(spark, sf), 4).select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank_by_name(symbols(spark, sf), _nodes(spark, sf), 4).select("node", F.round("rank", 9).alias("rank"))
 
 
 @query(_rank_sql(4, "CASE WHEN node IN (SELECT path FROM seeds) THEN 1.0 / (SELECT count(*) FROM seeds WHERE path IN (SELECT node FROM nodes)) ELSE 0 END", "t"))
 def pagerank_personal(spark, sf):
-    return graph.pagerank(_links(spark, sf), _nodes(spark, sf), 4, seeds=_seeds(spark, sf).withColumnRenamed("path", "node"), dangling="seeds").select("node", F.round("rank", 9).alias("rank"))
+    return graph.pagerank_by_name(symbols(spark, sf), _nodes(spark, sf), 4, seeds=_seeds(spark, sf).withColumnRenamed("path", "node"), dangling="seeds").select("node", F.round("rank", 9).alias("rank"))
 
 
 @query(_rank_sql(8, "1.0 / n", "1.0 / n").replace("SELECT node, round(rank, 9) AS rank FROM r8", """, wt AS (SELECT path, name, sum(CASE WHEN kind = 'def' THEN 2 ELSE 1 END) AS w FROM symbols GROUP BY ALL),

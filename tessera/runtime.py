@@ -17,11 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor shares: ``spark.checkpoint.dir`` of the session, a temporary one only where it is unset."""
+    """Folder every executor shares: ``spark.checkpoint.dir`` of the session. Where it is unset, a temporary one serves a session on one
+    machine; on a cluster that is an error, since each executor would write to its own disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))

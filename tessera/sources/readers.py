@@ -22,12 +22,21 @@ def list_files(spark: SparkSession, root: str, extensions: Sequence[str] = CODE,
 
 
 def crawl(spark: SparkSession, root: str, extensions: Sequence[str] = CODE, ignore: Sequence[str] = ()) -> DataFrame:
-    """(path, size, modified, text) of the files of at most ``MAX_FILE_BYTES``; size and name filters run before contents are read."""
+    """(path, size, modified, text) of the files of at most ``MAX_FILE_BYTES``; size and name filters run before contents are read.
+    ``left_out`` tells which files these filters left out, and why."""
     files = _wanted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root), extensions, ignore)
     files = files.where(F.col("length") <= MAX_FILE_BYTES)
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("text"))
 
 
+def left_out(spark: SparkSession, root: str, extensions: Sequence[str] = CODE, ignore: Sequence[str] = ()) -> DataFrame:
+    """(path, size, reason) of the files of a tree that ``crawl`` does not read: extension, ignored or too_large, the first that holds."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    known = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions)
+    reason = F.when(~known, "extension").when(ignored(F.col("path"), ignore), "ignored").when(F.col("length") > MAX_FILE_BYTES, "too_large")
+    return files.select("path", F.col("length").alias("size"), reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
 def _wanted(files: DataFrame, extensions: Sequence[str], ignore: Sequence[str]) -> DataFrame:
     files = files.where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*extensions))
     return files.where(~ignored(F.col("path"), ignore)) if ignore else files
@@ -94,7 +103,8 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
 class VersionedTable:
     """Parquet versions in one folder and a pointer table to the current one; a reader sees a whole version or none.
 
-    Publishing writes the version first and appends the pointer after, so a failure between leaves the old version current.
+    Publishing writes the version first and creates the pointer of its generation after, so a failure between leaves the old version
+    current. A pointer file is created only where none is: of two publishers of one generation one wins and the other is told.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -103,7 +113,7 @@ class VersionedTable:
     def _pointers(self) -> DataFrame | None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers")
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.schema("generation bigint, version string").json(f"{self.root}/pointers") if fs.exists(path) else None
+        return self.spark.read.schema("generation bigint, version string").option("pathGlobFilter", "g-*.json").json(f"{self.root}/pointers") if fs.exists(path) else None
 
     def current(self) -> tuple[int, str] | None:
         p = self._pointers()
@@ -119,7 +129,16 @@ class VersionedTable:
         generation, version = (c[0] + 1 if c else 1), f"v-{uuid.uuid4().hex}"
         w = df.write
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.root}/{version}")
-        self.spark.createDataFrame([(generation, version)], "generation bigint, version string").coalesce(1).write.mode("append").json(f"{self.root}/pointers")
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers/g-{generation:012d}.json")
+        fs = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            out = fs.create(place, False)  # not over an existing one
+        except Exception as e:
+            raise RuntimeError(f"generation {generation} was published by another writer") from e
+        try:
+            out.write(bytearray(f'{{"generation": {generation}, "version": "{version}"}}\n'.encode()))
+        finally:
+            out.close()
         return generation
 
     def upsert(self, rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> int:

@@ -84,8 +84,9 @@ def upsert_stream(stream: DataFrame, root: str, keys: list[str], order: list[Col
     return out
 
 
-def refresh_changed(stream: DataFrame, root: str, key: str, text_col: str, build: Callable[[DataFrame], DataFrame], checkpoint: str | None = None) -> VersionedTable:
-    """A derived table by key: of each batch only rows whose text hash differs from the stored one are built again."""
+def refresh_changed(stream: DataFrame, root: str, key: str, text_col: str, build: Callable[[DataFrame], DataFrame], checkpoint: str | None = None, live: DataFrame | None = None) -> VersionedTable:
+    """A derived table by key: of each batch only rows whose text hash differs from the stored one are built again. With ``live`` (key), the
+    keys that still exist, stored rows of other keys go."""
     out = VersionedTable(stream.sparkSession, root)
 
     def merge(batch: DataFrame, _: int) -> None:
@@ -96,7 +97,8 @@ def refresh_changed(stream: DataFrame, root: str, key: str, text_col: str, build
             return
         changed = rows.join(old.select(key, "_hash").distinct(), [key, "_hash"], "left_anti")
         fresh = build(changed)
-        out.publish(old.join(changed.select(key).distinct(), key, "left_anti").unionByName(fresh))
+        kept = old.join(changed.select(key).distinct(), key, "left_anti").unionByName(fresh)
+        out.publish(kept if live is None else kept.join(live.select(key).distinct(), key, "left_semi"))
 
     run_available(stream, merge, "append", checkpoint)
     return out
