@@ -102,8 +102,8 @@ def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of each document by byte_bpe_50k."""
-    return bytepair.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Token ids of each document by byte_bpe_50k, or by the vocabulary file the session names."""
+    return bytepair.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", spark.conf.get("spark.tessera.tokenizer", bytepair.TOKENIZER))
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def split_texts(df: DataFrame, id_col: str, text_col: str, kind_col: str, order_
     """
     long = df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("body"), F.col(kind_col).alias("kind"), F.col(order_col).alias("seen"))
     long = long.where(F.col("record_id").isNotNull() & (F.length("body") > limit))
-    # the text moves only if it must: one winner per id by a narrow key, then its text
+    # one shuffle of the oversized texts by id; of repeated ids the partial maximum keeps one a task
     long = long.groupBy("record_id").agg(F.max(F.struct("seen", "body", "kind")).alias("r")).select("record_id", "r.body", "r.kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
