@@ -162,6 +162,32 @@ def pack(items: DataFrame, limit: int) -> DataFrame:
     return items.withColumn("used", F.sum("size").over(w)).where(F.col("used") <= limit)
 
 
+def whole_lines(text: Column, most: Column) -> Column:
+    """The first whole lines of a text that take at most ``most`` bytes; the text itself where it fits."""
+    raw = F.encode(text, "UTF-8")
+    # one byte more than allowed: what then stands behind the last line end did not fit
+    cut = F.substring(raw, F.lit(1), (most + 1).cast("int"))
+    at = F.length(F.regexp_extract(F.decode(cut, "ISO-8859-1"), r"(?s)^(.*)\n", 1))
+    kept = F.when(F.locate("\n", F.decode(cut, "ISO-8859-1")) > 0, F.decode(F.substring(raw, F.lit(1), at), "UTF-8")).otherwise("")
+    return F.when(text.isNull() | (F.octet_length(text) <= most), text).otherwise(kept)
+
+
+def packed(sources: DataFrame, limit: int, floor_share: float = 0.5, mode: str = "full") -> DataFrame:
+    """(pack, item, content, bytes, truncated, outcome): sources (pack, item, path, start, end, score, direct, text) rendered, given shares of a
+    byte budget, cut at whole lines, and told apart: kept, budget (not one line fits) or duplicate (a better source of the pack has the same
+    path, lines and content)."""
+    from tessera.operators.relations import allocate_budget
+
+    r = sources.withColumn("shown", render(F.col("text"), mode)).withColumn("size", F.octet_length("shown"))
+    r = r.join(allocate_budget(r.select("pack", "item", "size", "score", "direct"), limit, floor_share), ["pack", "item"])
+    r = r.withColumn("content", whole_lines(F.col("shown"), F.col("granted")))
+    truncated = F.col("content") != F.col("shown")
+    same = Window.partitionBy("pack", "path", "start", "end", F.md5("content")).orderBy(F.desc("score"), "path", "start", "end", "item")
+    outcome = F.when(truncated & (F.col("content") == ""), "budget").when(F.row_number().over(same) > 1, "duplicate").otherwise("kept")
+    kept = F.when(outcome == "kept", F.col("content")).otherwise("")
+    return r.select("pack", "item", kept.alias("content"), F.octet_length(kept).alias("bytes"), (truncated & (outcome == "kept")).alias("truncated"), outcome.alias("outcome"))
+
+
 def identifier_floor(ranked: DataFrame, defining: DataFrame, k: int) -> DataFrame:
     """(query, doc, score, defines): the k best of each query, files that define the identifier before all others."""
     d = defining.select("query", "doc").distinct().withColumn("defines", F.lit(True))
@@ -234,5 +260,11 @@ def missing_embeddings(wanted: DataFrame, cache: DataFrame, keys: Sequence[str])
     return wanted.join(cache.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def fill_embeddings(wanted: DataFrame, cache: DataFrame, keys: Sequence[str], embed: Callable[[Column], Column]) -> DataFrame:
+    """The cache (keys.., embedding) with the embeddings of the wanted rows (keys.., text) it lacked; what it has is not computed again."""
+    new = missing_embeddings(wanted, cache, keys).dropDuplicates(list(keys)).select(*keys, embed(F.col("text")).alias("embedding"))
+    return cache.select(*keys, "embedding").unionByName(new)
+
+
 def stems(path: Column) -> Column:
     return normal_stem(path)

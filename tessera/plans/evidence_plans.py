@@ -640,3 +640,35 @@ def crawled_tree(spark, sf):
     d.repartition(8, "doc_id").write.partitionBy("part", "doc_id").text(at)
     c = readers.crawl(spark, at, extensions=("txt",), ignore=["part=vendor/"])
     return c.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).alias("name"), "size", F.md5("text").alias("digest"))
+
+
+# ---- packs, imports, caches ----------------------------------------------------------------------
+
+
+@query(r"""WITH s AS (SELECT kind AS pack, doc_id AS item, coalesce(title, '') AS path, CAST(doc_id % 3 AS INT) AS start, CAST(coalesce(n_chars, 0) % 97 AS DOUBLE) AS score, doc_id % 9 = 0 AS direct,
+    array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\s*(?://|#|/\*|\*)')), chr(10)) AS shown FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT *, strlen(shown) AS size, CASE WHEN direct THEN least(strlen(shown), floor(60000 * 0.5 / sum(direct::INT) OVER (PARTITION BY pack))) ELSE 0 END AS fl FROM s),
+  g AS (SELECT *, least(size, fl + CASE WHEN sum(score) OVER w > 0 THEN floor((60000 - sum(fl) OVER w) * score / sum(score) OVER w) ELSE floor((60000 - sum(fl) OVER w) / count(*) OVER w) END)::BIGINT AS granted FROM f WINDOW w AS (PARTITION BY pack)),
+  l AS (SELECT *, string_split(shown, chr(10)) AS ls FROM g), c AS (SELECT *, CASE WHEN size <= granted THEN shown ELSE array_to_string(list_transform(list_filter(list_zip(ls, generate_series(1, len(ls))), lambda x: list_sum(list_transform(ls[1 : x[2]], lambda y: strlen(y) + 1)) - 1 <= granted), lambda x: x[1]), chr(10)) END AS content FROM l),
+  o AS (SELECT *, CASE WHEN content <> shown AND content = '' THEN 'budget' WHEN row_number() OVER (PARTITION BY pack, path, start, md5(content) ORDER BY score DESC, path, start, item) > 1 THEN 'duplicate' ELSE 'kept' END AS outcome FROM c)
+  SELECT pack, item, outcome, CAST(CASE WHEN outcome = 'kept' THEN strlen(content) ELSE 0 END AS BIGINT) AS bytes, content <> shown AND outcome = 'kept' AS truncated FROM o""")
+def packed_sources(spark, sf):
+    i = F.col("doc_id")
+    s = _docs(spark, sf).select(F.col("kind").alias("pack"), i.alias("item"), F.coalesce("title", F.lit("")).alias("path"), (i % 3).cast("int").alias("start"), (i % 3).cast("int").alias("end"), (F.coalesce("n_chars", F.lit(0)) % 97).cast("double").alias("score"), (i % 9 == 0).alias("direct"), "text")
+    return evidence.packed(s, 60_000, 0.5, "no_comments").select("pack", "item", "outcome", F.col("bytes").cast("bigint").alias("bytes"), "truncated")
+
+
+@query("""WITH d AS (SELECT CASE WHEN doc_id % 50 = 0 THEN NULL ELSE CAST(doc_id // 2 AS VARCHAR) END AS id, text FROM documents), p AS (SELECT CASE WHEN trim(coalesce(id, ''), ' ') = '' THEN 'missing_id' WHEN trim(coalesce(text, ''), ' ') = '' THEN 'missing_text' WHEN strlen(text) > 6000 THEN 'too_large'
+  WHEN row_number() OVER (PARTITION BY id ORDER BY text NULLS FIRST) > 1 THEN 'repeated_id' ELSE 'good' END AS problem FROM d) SELECT problem, count(*) AS n FROM p GROUP BY problem""")
+def import_problems(spark, sf):
+    raw = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 50 == 0, F.lit(None)).otherwise(F.floor(F.col("doc_id") / 2).cast("string")).alias("document_id"), F.col("text").alias("body"))
+    return readers.validated_documents(raw, 6_000).groupBy(F.coalesce("problem", F.lit("good")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT DISTINCT document_id AS id FROM dense_vectors WHERE document_id IS NOT NULL), w AS (SELECT DISTINCT chunk_id AS id FROM product_chunk_metadata WHERE text_content IS NOT NULL) SELECT id, id IN (SELECT id FROM c) AS cached FROM (SELECT id FROM c UNION SELECT id FROM w)""")
+def filled_cache(spark, sf):
+    """Embeddings of chunks that the vector table lacks are computed, the others taken from it."""
+    cache = table(spark, sf, "dense_vectors").where(F.col("document_id").isNotNull()).groupBy(F.col("document_id").alias("id")).agg(F.first("embedding").alias("embedding"))
+    wanted = table(spark, sf, "product_chunk_metadata").where(F.col("text_content").isNotNull()).select(F.col("chunk_id").alias("id"), F.col("text_content").alias("text"))
+    full = evidence.fill_embeddings(wanted, cache, ["id"], lambda t: Q.hash_embedding(T.unicode_tokens(t)))
+    return full.join(cache.select("id", F.lit(True).alias("cached")), "id", "left").select("id", F.coalesce("cached", F.lit(False)).alias("cached"))

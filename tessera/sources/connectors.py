@@ -59,10 +59,20 @@ def read_tree(spark: SparkSession, root: str, parts: int = 8) -> DataFrame:
     return spark.read.format("tessera_tree").option("root", root).option("parts", parts).load()
 
 
+# How the content of a media type begins, in hex.
+SIGNATURES = {"pdf": "^255044462D", "png": "^89504E470D0A1A0A", "wav": "^52494646.{8}57415645"}
+
+
 def admit_media(spark: SparkSession, root: str) -> DataFrame:
-    """(path, kind, size, admitted, reason): media files by type and size; contents are not read, and Spark lists no empty files."""
+    """(path, kind, size, admitted, reason): media files by type, size and content: signatures of PDF, PNG and WAV files, UTF-8 of texts. Only the
+    contents of files of an admitted type and size are looked at; Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     most = F.element_at(F.create_map(*[F.lit(v) for kv in MEDIA_BYTES.items() for v in kv]), kind)
-    reason = F.when(most.isNull(), "type").when(F.col("length") > most, "size")
+    begins = F.hex(F.substring("content", 1, 12))
+    signed = F.lit(True)
+    for name, rx in SIGNATURES.items():
+        signed = F.when(kind == name, begins.rlike(rx)).otherwise(signed)
+    whole = F.when(kind.isin("txt", "md"), F.is_valid_utf8(F.col("content").cast("string"))).otherwise(signed)
+    reason = F.when(most.isNull(), "type").when(F.col("length") > most, "size").when(~whole, "content")
     return files.select("path", kind.alias("kind"), F.col("length").alias("size"), reason.isNull().alias("admitted"), reason.alias("reason"))

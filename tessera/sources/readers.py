@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +75,16 @@ def read_documents(spark: SparkSession, path: str, strict: bool = False) -> Data
     return rows if strict else rows.where(F.col("id").isNotNull() & F.col("text").isNotNull())
 
 
+def validated_documents(raw: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """(id, text, title, uri, problem) of imported rows: missing_id, missing_text, too_large or repeated_id (all but the first by text), null where
+    a row is good. An import takes the good rows or, if it must be whole, none."""
+    d = aliased(raw)
+    w = Window.partitionBy("id").orderBy("text")
+    blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    problem = F.when(blank("id"), "missing_id").when(blank("text"), "missing_text").when(F.octet_length("text") > most_bytes, "too_large").when(F.row_number().over(w) > 1, "repeated_id")
+    return d.withColumn("problem", problem)
+
+
 _SEGMENT = "array<struct<start_millis:bigint,end_millis:bigint,text:string,speaker_label:string>>"
 
 
@@ -149,6 +159,16 @@ class VersionedTable:
         return self.publish(latest_wins(rows if old is None else old.unionByName(rows), keys, order))
 
 
+def open_or_refresh(stored: VersionedTable, manifest: DataFrame | None, disk: DataFrame, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """(table, refreshed): the stored version where all stamps (path, size, mtime) of its manifest are those on disk, else a new one."""
+    from tessera.operators.relations import freshness
+
+    if manifest is not None and (old := stored.load()) is not None and freshness(manifest, disk).first()["fresh"]:
+        return old, False
+    stored.publish(build())
+    return stored.load(), True
+
+
 def save_postings(post: DataFrame, root: str, buckets: int = 64) -> int:
     """Publish postings in buckets by token, so a query's tokens read a few buckets only; returns the generation."""
     t = VersionedTable(post.sparkSession, root)

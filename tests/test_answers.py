@@ -171,3 +171,33 @@ def test_left_out_files(spark, tmp_path):
         (tmp_path / name).write_text("x" * size)
     got = {r["path"].rsplit("/", 1)[-1]: r["reason"] for r in readers.left_out(spark, str(tmp_path), ignore=["vendor/"]).collect()}
     assert got == {"b.bin": "extension", "c.py": "ignored", "big.py": "too_large"}
+
+
+def test_media_are_admitted_by_their_content(spark, tmp_path):
+    from tessera.sources import connectors
+
+    files = {"a.pdf": b"%PDF-1.7 x", "b.pdf": b"plain text", "c.png": b"\x89PNG\r\n\x1a\nzz", "d.wav": b"RIFF\0\0\0\0WAVEfmt", "e.txt": "é".encode(), "f.txt": b"\xff\xfe\xfa", "g.exe": b"MZ"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[-1]: r["reason"] for r in connectors.admit_media(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": None, "b.pdf": "content", "c.png": None, "d.wav": None, "e.txt": None, "f.txt": "content", "g.exe": "type"}
+
+
+def test_open_or_refresh(spark, tmp_path):
+    from tessera.sources.readers import VersionedTable, open_or_refresh
+
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    stamps = spark.createDataFrame([("a", 1, 1)], "path string, size int, mtime int")
+    df, fresh = open_or_refresh(t, None, stamps, lambda: spark.range(3))
+    assert fresh and df.count() == 3
+    df, fresh = open_or_refresh(t, stamps, stamps, lambda: spark.range(9))
+    assert not fresh and df.count() == 3
+    df, fresh = open_or_refresh(t, stamps, stamps.withColumn("size", F.lit(2)), lambda: spark.range(9))
+    assert fresh and df.count() == 9
+
+
+def test_whole_lines(spark):
+    from tessera.operators.evidence import whole_lines
+
+    d = spark.createDataFrame([("é1\nab\ncd", n) for n in (0, 2, 3, 4, 5, 6, 7, 8, 9, 20)] + [(None, 3)], "t string, n int")
+    assert [r[0] for r in d.select(whole_lines(F.col("t"), F.col("n"))).collect()] == ["", "", "é1", "é1", "é1", "é1\nab", "é1\nab", "é1\nab", "é1\nab\ncd", "é1\nab\ncd", None]
