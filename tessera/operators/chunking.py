@@ -124,6 +124,38 @@ def structure_chunks(docs: DataFrame, id_col: str, text_col: str, kind_col: str,
     return body.mapInPandas(run, "doc string, seq int, chunk_id string, role string, byte_start long, byte_end long, tokens int, digest string")
 
 
+def chunk_receipts(docs: DataFrame, id_col: str, text_col: str, kind_col: str, target: int = 200, child: int = 50, overlap: int = 20, version: int = 1) -> DataFrame:
+    """(doc, chunk_id, role, parent_id, byte_start, byte_end, digest): parents along the blocks of each text and children of at most ``child`` tokens
+    along the same blocks, each under the parent that shares most bytes with it, the earliest on ties."""
+
+    def receipt(text: str, span: tuple[int, int]) -> tuple[int, int, str]:
+        part = text[span[0] : span[1]]
+        lead = len(part) - len(part.lstrip())
+        raw = part.strip().encode("utf-8", "replace")
+        start = len(text[: span[0] + lead].encode("utf-8", "replace"))
+        return start, start + len(raw), hashlib.sha256(raw).hexdigest()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text, kind in zip(batch["doc"], batch["body"], batch["kind"]):
+                found = blocks(text, (kind or "prose").lower())
+                name = f"{doc}#structure.v{version}."
+                parents = [receipt(text, s) for s in pack_blocks(text, found, target, overlap)]
+                rows += [(doc, f"{name}p{i}", "parent", None, *r) for i, r in enumerate(parents)]
+                at = 0
+                for i, (a, b, digest) in enumerate(receipt(text, s) for s in pack_blocks(text, found, child, 0)):
+                    while at < len(parents) - 1 and parents[at][1] <= a:
+                        at += 1
+                    near = range(max(at - 1, 0), min(at + 3, len(parents)))  # parents are in order, and only neighbours overlap
+                    best = max(near, key=lambda j: (min(b, parents[j][1]) - max(a, parents[j][0]), -j))
+                    rows.append((doc, f"{name}c{i}", "child", f"{name}p{best}", a, b, digest))
+            yield pd.DataFrame(rows, columns=["doc", "chunk_id", "role", "parent_id", "byte_start", "byte_end", "digest"])
+
+    body = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("body"), F.col(kind_col).alias("kind"))
+    return body.mapInPandas(run, "doc string, chunk_id string, role string, parent_id string, byte_start long, byte_end long, digest string")
+
+
 def headings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, line, level, title, parent_line): headings with their parent, the nearest earlier heading of a lower level."""
     from tessera.functions.text import heading_level

@@ -21,6 +21,42 @@ PATTERNS = {
 }
 
 
+_WHO = r"\b([A-Za-z][\w\s\-]{1,40}?)"
+# Forms of objects: one name up to its first word end, a word, a sum, a number, a phrase up to the end of its sentence.
+OBJECTS = {
+    "name": r"([A-Za-z][\w\s\-]{1,40}?)\b", "word": r"([A-Za-z][\w\-]{2,30})\b", "sum": r"(\$?\d[\d,]*(?:\.\d+)?(?:\s*(?:USD|usd|dollars?))?)\b",
+    "phrase": r"([A-Za-z0-9][\w\s\.\-%$]{1,50}?)(?:[.!?;,\n]|$)", "version": r"(v?\d[\w\.\-]{0,20})\b", "percent": r"(\d{1,3}%|\d+\s*nines?)\b",
+}
+# Fixed values: (predicate, what stands between a subject and an object, form of the object, a word without which nothing is found).
+STATEMENTS = (
+    ("price", r"price\s+is", "sum", "price"), ("costs", "costs", "sum", "costs"), ("role", r"has\s+role", "name", "role"), ("role", r"role\s+is", "name", "role"),
+    ("color", r"(?:are|is)\s+painted", "word", "painted"), ("color", r"(?:color|colour)\s+is", "word", "colo"), ("located_in", r"(?:is\s+)?(?:located|based|headquartered)\s+in", "name", "ed"),
+    ("owns", r"(?:owns|acquired|acquired by)", "name", "o"), ("founded", r"(?:was\s+)?founded\s+(?:in|by)", "name", "founded"), ("works_at", r"(?:works|worked)\s+at", "name", "work"),
+    ("requires", "requires", "phrase", "requires"), ("supports", "supports", "phrase", "supports"), ("uses", "uses", "phrase", "uses"), ("version", r"version(?:\s+is)?", "version", "version"),
+    ("sla", r"SLA(?:\s+is)?", "percent", "sla"), ("depends_on", r"depends\s+on", "phrase", "depends"), ("provides", "provides", "phrase", "provides"), ("integrates_with", r"integrates\s+with", "phrase", "integrates"),
+    ("owned_by", r"(?:is\s+)?owned\s+by", "phrase", "owned"), ("reports_to", r"reports\s+to", "phrase", "reports"), ("powered_by", r"(?:is\s+)?powered\s+by", "phrase", "powered"), ("manages", "manages", "phrase", "manages"),
+    ("responsible_for", r"(?:is\s+)?responsible\s+for", "phrase", "responsible"), ("announced", "announced", "phrase", "announced"), ("has", "has", "phrase", "has"), ("is", "is", "phrase", "is"),
+)
+# Subjects and objects that say nothing.
+EMPTY_SUBJECTS = "it this that there here what which who they he she we one some any all each every the a an these those".split()
+EMPTY_OBJECTS = "a an the it this that true false important possible available".split()
+
+
+def extract_statements(docs: DataFrame, id_col: str, text_col: str, rules=STATEMENTS) -> DataFrame:
+    """(doc, predicate, subject, object): distinct statements 'subject verb object' of each document by a table of verbs, lower-cased and with single
+    blanks. Empty subjects and objects are left out, and so are objects of more than eight words; a pattern runs only over texts that hold its word."""
+    found = []
+    for predicate, between, form, word in rules:
+        rx = rf"(?i){_WHO}\s+{between}\s+{OBJECTS[form]}"
+        has = F.lower(F.col(text_col)).contains(word)
+        pairs = F.when(has, F.arrays_zip(F.regexp_extract_all(text_col, F.lit(rx), F.lit(1)).alias("subject"), F.regexp_extract_all(text_col, F.lit(rx), F.lit(2)).alias("object")))
+        found.append(F.coalesce(_as_claims(pairs, predicate), F.array().cast("array<struct<predicate:string,subject:string,object:string>>")))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.explode(F.concat(*found)).alias("c"))
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    s = rows.select("doc", "c.predicate", tidy("c.subject").alias("subject"), tidy("c.object").alias("object")).distinct()
+    return s.where((F.length("subject") > 1) & (F.col("object") != "") & ~F.col("subject").isin(*EMPTY_SUBJECTS) & ~F.col("object").isin(*EMPTY_OBJECTS) & (F.size(F.split("object", " ")) <= 8))
+
+
 def extract_claims(docs: DataFrame, id_col: str, text_col: str, patterns: dict[str, str] | None = None) -> DataFrame:
     """(doc, predicate, subject, object, mentions): distinct claims of each document, lower-cased."""
     patterns = patterns or PATTERNS

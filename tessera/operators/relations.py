@@ -46,6 +46,34 @@ def deny_reason(
     return reason
 
 
+# Predicates that a filter may have; those that name what an evaluation expects are refused where it runs blind.
+FILTER_KEYS, EVALUATION_KEYS = ("tenant", "scopes", "source_types", "tags", "valid_from", "valid_to", "principal"), ("gold_ids", "expected_documents")
+
+
+def normalise_filter(spec: dict, blind: bool = True) -> dict:
+    """The arguments of ``deny_reason`` from a caller's filter: names and values are trimmed, lists lower-cased (but for scopes and tags), sorted and made
+    distinct, empty ones dropped. An unknown predicate, one of an evaluation in a blind run, or a window that ends before it begins is an error."""
+    out: dict = {}
+    for key, value in spec.items():
+        name = key.strip().lower()
+        if name in EVALUATION_KEYS and blind:
+            raise ValueError(f"{name} is not for blind runs")
+        if name not in FILTER_KEYS:
+            if name in EVALUATION_KEYS:
+                continue
+            raise ValueError(f"unknown predicate {key!r}")
+        if name in ("scopes", "source_types", "tags"):
+            items = [v.strip() for v in ([value] if isinstance(value, str) else value or [])]
+            value = tuple(sorted({v.lower() if name == "source_types" else v for v in items if v}))
+        elif isinstance(value, str):
+            value = value.strip()
+        if value:
+            out[name] = value
+    if out.get("valid_from", "") > out.get("valid_to", "9999"):
+        raise ValueError("the window ends before it begins")
+    return out
+
+
 def compile_pattern(pattern: str) -> str:
     """A structural pattern as a regular expression: $NAME stands for an identifier, the rest for itself."""
     import re

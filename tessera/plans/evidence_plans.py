@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import questions as Q
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import answers, arms, claims, code, evidence, metrics, privacy, ranking, relations, work
+from tessera.operators import answers, arms, chunking, claims, code, dense, evidence, graph, metrics, privacy, ranking, relations, work
 from tessera.plans.knowledge import _CLAIM_SQL, _EV, _event_claims, _RARE, _rare_edges
 from tessera.plans.registry import query
 from tessera.plans.retrieval import TERMS
@@ -672,3 +672,99 @@ def filled_cache(spark, sf):
     wanted = table(spark, sf, "product_chunk_metadata").where(F.col("text_content").isNotNull()).select(F.col("chunk_id").alias("id"), F.col("text_content").alias("text"))
     full = evidence.fill_embeddings(wanted, cache, ["id"], lambda t: Q.hash_embedding(T.unicode_tokens(t)))
     return full.join(cache.select("id", F.lit(True).alias("cached")), "id", "left").select("id", F.coalesce("cached", F.lit(False)).alias("cached"))
+
+
+@query("""SELECT chunk_id, digest FROM (SELECT chunk_id, md5(coalesce(text_content, '')) AS digest, row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, md5(coalesce(text_content, ''))) AS n FROM product_chunk_metadata) WHERE n = 1""")
+def delta_appends(spark, sf):
+    """Chunks appended in four deltas, compacted once on the way; a read takes the latest row of each id."""
+    c = table(spark, sf, "product_chunk_metadata").select("chunk_id", "updated_at", F.md5(F.coalesce("text_content", F.lit(""))).alias("digest"))
+    t = readers.DeltaTable(spark, f"{shared_dir(spark)}/delta-{uuid.uuid4().hex}", ["chunk_id"], [F.desc("updated_at"), F.asc("digest")])
+    part = F.pmod(F.xxhash64("chunk_id", "updated_at"), F.lit(4))
+    for i in range(4):
+        t.append(c.where(part == i))
+        if i == 1:
+            t.compact()
+    return t.load().select("chunk_id", "digest")
+
+
+@query("""WITH u AS (SELECT DISTINCT source_uri AS path FROM product_chunk_metadata WHERE source_uri IS NOT NULL) SELECT path FROM u WHERE contains(path, '/snapshot') ORDER BY path LIMIT 5""")
+def resolved_seeds(spark, sf):
+    u = table(spark, sf, "product_chunk_metadata").where(F.col("source_uri").isNotNull()).select(F.col("source_uri").alias("path")).distinct()
+    return relations.resolve_seeds(u, code.heuristic_symbols(_files(spark, sf), "path", "text"), "/snapshot")
+
+
+@query()
+def chunk_receipts(spark, sf):
+    """Parents and children along the blocks; no SQL: the splitter is a state machine. Tested on hand-made texts."""
+    return chunking.chunk_receipts(table(spark, sf, "documents"), "doc_id", "text", "kind")
+
+
+def _prior_sql(steps: int) -> str:
+    parts = [f"{_RARE}, b AS (SELECT DISTINCT src, dst FROM ed UNION SELECT dst, src FROM ed), nodes AS (SELECT DISTINCT src AS node FROM b), n AS (SELECT count(*) AS n FROM nodes), k AS (SELECT src, count(*) AS k FROM b GROUP BY src), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, n)"]
+    for i in range(steps):
+        parts.append(f"r{i + 1} AS (SELECT nodes.node, 0.15::DOUBLE / n + 0.85 * coalesce(f, 0) AS rank FROM nodes LEFT JOIN (SELECT dst, sum(rank / k) AS f FROM b JOIN k USING (src) JOIN r{i} ON r{i}.node = src GROUP BY dst) x ON x.dst = nodes.node, n)")
+    return ", ".join(parts)
+
+
+@query(rf"""WITH {_prior_sql(3)}, s AS (SELECT doc_id AS doc, len(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda t: t IN ({_IN}))) / 10.0::DOUBLE AS score FROM documents WHERE text IS NOT NULL), m AS (SELECT min(rank) AS lo, max(rank) AS hi FROM r3)
+  SELECT doc, round(score * (1 + 0.15 * CASE WHEN rank IS NULL THEN 0 WHEN hi - lo < 1e-12 THEN 1 ELSE (rank - lo) / (hi - lo) END), 6) AS score FROM s LEFT JOIN r3 ON node = doc, m""")
+def pagerank_prior(spark, sf):
+    """Lexical scores raised by the PageRank of documents that share rare words."""
+    e = _rare_edges(spark, sf)
+    both = e.union(e.select("dst", "src")).distinct()
+    rank = graph.pagerank(both, both.select(F.col("src").alias("node")).distinct(), 3).select(F.col("node").alias("doc"), F.col("rank").alias("prior"))
+    hits = F.size(F.filter(T.unicode_tokens("text"), lambda t: t.isin(*TERMS))) / 10
+    return ranking.min_max_prior(_docs(spark, sf).select(F.col("doc_id").alias("doc"), hits.alias("score")), rank).select("doc", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT event_type AS suite, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type""")
+def latency_percentiles(spark, sf):
+    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("suite")).agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+
+
+@query("""WITH m AS (SELECT doc_id AS doc, lower(coalesce(source, '')) AS tenant, [CAST(doc_id % 7 AS VARCHAR)] AS deny, CASE WHEN doc_id % 3 = 0 THEN ['1', '2'] WHEN doc_id % 3 = 1 THEN [] END AS allow FROM documents)
+  SELECT doc, CASE WHEN tenant <> 'wiki' THEN 'tenant' WHEN list_contains(deny, '1') THEN 'principal_denied' WHEN NOT coalesce(list_contains(allow, '1') OR len(allow) = 0, true) THEN 'principal_not_allowed' END AS reason FROM m""")
+def governed_access(spark, sf):
+    i = F.col("doc_id")
+    m = table(spark, sf, "documents").select(i.alias("doc"), F.coalesce("source", F.lit("")).alias("tenant"), F.array((i % 7).cast("string")).alias("deny_principals"), F.when(i % 3 == 0, F.array(F.lit("1"), F.lit("2"))).when(i % 3 == 1, F.array().cast("array<string>")).alias("allow_principals"))
+    return m.select("doc", relations.deny_reason(**relations.normalise_filter({"tenant": " Wiki", "principal": "1"})).alias("reason"))
+
+
+@query("""WITH q AS (SELECT vec_id AS query, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]), 9) AS similarity FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS place FROM s)
+  SELECT query, id, CAST(place AS INT) AS place FROM r WHERE place <= 5""")
+def vector_search(spark, sf):
+    """Every twentieth vector against all, exactly."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return dense.search(e, e.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding"), 5, "exact").select("query", "id", "place")
+
+
+@query()
+def vector_search_ann(spark, sf):
+    """The same by random projections; no SQL: an approximation. Its recall is tested."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return dense.search(e, e.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding"), 5, "ann").select("query", "id", "place")
+
+
+_FORMS = {
+    "name": r"([A-Za-z][\w\s\-]{1,40}?)\b", "word": r"([A-Za-z][\w\-]{2,30})\b", "sum": r"(\$?\d[\d,]*(?:\.\d+)?(?:\s*(?:USD|usd|dollars?))?)\b", "phrase": r"([A-Za-z0-9][\w\s\.\-%$]{1,50}?)(?:[.!?;,\n]|$)",
+    "version": r"(v?\d[\w\.\-]{0,20})\b", "percent": r"(\d{1,3}%|\d+\s*nines?)\b",
+}
+_VERBS = [
+    ("price", r"price\s+is", "sum"), ("costs", "costs", "sum"), ("role", r"has\s+role", "name"), ("role", r"role\s+is", "name"), ("color", r"(?:are|is)\s+painted", "word"), ("color", r"(?:color|colour)\s+is", "word"),
+    ("located_in", r"(?:is\s+)?(?:located|based|headquartered)\s+in", "name"), ("owns", r"(?:owns|acquired|acquired by)", "name"), ("founded", r"(?:was\s+)?founded\s+(?:in|by)", "name"), ("works_at", r"(?:works|worked)\s+at", "name"),
+    *[(v, v, "phrase") for v in ("requires", "supports", "uses", "provides", "manages", "announced", "has", "is")], ("version", r"version(?:\s+is)?", "version"), ("sla", r"SLA(?:\s+is)?", "percent"),
+    ("depends_on", r"depends\s+on", "phrase"), ("integrates_with", r"integrates\s+with", "phrase"), ("owned_by", r"(?:is\s+)?owned\s+by", "phrase"), ("reports_to", r"reports\s+to", "phrase"), ("powered_by", r"(?:is\s+)?powered\s+by", "phrase"),
+    ("responsible_for", r"(?:is\s+)?responsible\s+for", "phrase"),
+]
+_SAID = " UNION ALL ".join(
+    rf"SELECT doc_id AS doc, '{p}' AS predicate, unnest(regexp_extract_all(text, '(?i)\b([A-Za-z][\w\s\-]{{1,40}}?)\s+{v}\s+{_FORMS[f]}', 1)) AS s, unnest(regexp_extract_all(text, '(?i)\b([A-Za-z][\w\s\-]{{1,40}}?)\s+{v}\s+{_FORMS[f]}', 2)) AS o FROM documents WHERE text IS NOT NULL" for p, v, f in _VERBS
+)
+_NO_S = ", ".join(f"'{w}'" for w in "it this that there here what which who they he she we one some any all each every the a an these those".split())
+_NO_O = ", ".join(f"'{w}'" for w in "a an the it this that true false important possible available".split())
+
+
+@query(rf"""WITH u AS ({_SAID}), t AS (SELECT DISTINCT doc, predicate, trim(regexp_replace(lower(s), '\s+', ' ', 'g'), ' ') AS subject, trim(regexp_replace(lower(o), '\s+', ' ', 'g'), ' ') AS object FROM u)
+  SELECT * FROM t WHERE length(subject) > 1 AND object <> '' AND subject NOT IN ({_NO_S}) AND object NOT IN ({_NO_O}) AND len(string_split(object, ' ')) <= 8""")
+def extract_statements(spark, sf):
+    return claims.extract_statements(table(spark, sf, "documents"), "doc_id", "text")

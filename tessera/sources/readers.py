@@ -159,6 +159,32 @@ class VersionedTable:
         return self.publish(latest_wins(rows if old is None else old.unionByName(rows), keys, order))
 
 
+class DeltaTable:
+    """A keyed table to which batches are appended as they are: a read takes the latest row of each key over the current version and the deltas
+    after it. ``compact`` makes a new version of that; until it is published, readers see the old one with its deltas."""
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[Column]):
+        self.spark, self.base, self.keys, self.order = spark, VersionedTable(spark, root), keys, order
+
+    def _deltas(self) -> str:
+        c = self.base.current()
+        return f"{self.base.root}/deltas/after-{c[0] if c else 0}"
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self._deltas())
+
+    def load(self) -> DataFrame | None:
+        from tessera.operators.relations import latest_wins
+
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._deltas())
+        has = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        parts = [x for x in (self.base.load(), self.spark.read.parquet(self._deltas()) if has else None) if x is not None]
+        return latest_wins(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), self.keys, self.order) if parts else None
+
+    def compact(self) -> int:
+        return self.base.publish(self.load())
+
+
 def open_or_refresh(stored: VersionedTable, manifest: DataFrame | None, disk: DataFrame, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
     """(table, refreshed): the stored version where all stamps (path, size, mtime) of its manifest are those on disk, else a new one."""
     from tessera.operators.relations import freshness

@@ -201,3 +201,59 @@ def test_whole_lines(spark):
 
     d = spark.createDataFrame([("é1\nab\ncd", n) for n in (0, 2, 3, 4, 5, 6, 7, 8, 9, 20)] + [(None, 3)], "t string, n int")
     assert [r[0] for r in d.select(whole_lines(F.col("t"), F.col("n"))).collect()] == ["", "", "é1", "é1", "é1", "é1\nab", "é1\nab", "é1\nab", "é1\nab\ncd", "é1\nab\ncd", None]
+
+
+def test_filters_are_normalised():
+    from tessera.operators.relations import normalise_filter
+
+    assert normalise_filter({"Tags": ["b", "a", "b", " "], "source_types": "EN", "tenant": " x ", "scopes": []}) == {"tags": ("a", "b"), "source_types": ("en",), "tenant": "x"}
+    for bad in ({"colour": 1}, {"gold_ids": [1]}, {"valid_from": "2025-02-01", "valid_to": "2025-01-01"}):
+        with pytest.raises(ValueError):
+            normalise_filter(bad)
+    assert normalise_filter({"gold_ids": [1]}, blind=False) == {}
+
+
+def test_recall_of_projections(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 24))
+    x = centres[rng.integers(0, 60, 1500)] + 0.25 * rng.standard_normal((1500, 24))
+    from tessera.operators import dense
+
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, embedding array<double>")
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding")
+    table = lambda mode: {(r["query"], r["id"]) for r in dense.search(v, q, 10, mode).collect()}
+    want, got = table("exact"), table("ann")
+    assert len(want) == 750 and len(want & got) / len(want) >= 0.9
+    few = v.where("id < 8")
+    assert dense.search(few, q.where("query = 0"), 10).count() == 8 and dense.search(few, q.where("query = 0"), 10, "ann").count() == 8
+
+
+def test_chunk_receipts(spark):
+    from tessera.operators import chunking
+
+    text = "\n\n".join(" ".join(f"w{i}_{j}" for j in range(30)) for i in range(12)) + "\n\né end"
+    d = spark.createDataFrame([("a", text, "prose"), ("b", None, "prose"), ("c", "", None)], "id string, t string, k string")
+    rows = chunking.chunk_receipts(d, "id", "t", "k", 100, 35, 0).collect()
+    raw, spans = text.encode(), {r["chunk_id"]: (r["byte_start"], r["byte_end"]) for r in rows}
+    parents, children = [r for r in rows if r["role"] == "parent"], [r for r in rows if r["role"] == "child"]
+    assert len(parents) == 4 and len(children) >= 12 and {r["doc"] for r in rows} == {"a"}
+    for c in children:
+        share = {p["chunk_id"]: min(c["byte_end"], p["byte_end"]) - max(c["byte_start"], p["byte_start"]) for p in parents}
+        assert share[c["parent_id"]] == max(share.values()) > 0
+    assert raw[slice(*spans[children[-1]["chunk_id"]])].decode().endswith("é end")
+
+
+def test_deltas_and_compaction(spark, tmp_path):
+    from tessera.sources.readers import DeltaTable
+
+    t = DeltaTable(spark, str(tmp_path / "d"), ["k"], [F.desc("at")])
+    assert t.load() is None
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, at int, v string")
+    t.append(rows((1, 1, "a"), (2, 1, "b")))
+    t.append(rows((1, 2, "c")))
+    assert {tuple(r) for r in t.load().collect()} == {(1, 2, "c"), (2, 1, "b")}
+    assert t.compact() == 1
+    t.append(rows((2, 5, "z")))
+    assert {tuple(r) for r in t.load().collect()} == {(1, 2, "c"), (2, 5, "z")}

@@ -288,7 +288,7 @@ def test_tree_source_and_media(spark, tmp_path):
 
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.txt").write_text("hi")
-    (tmp_path / "e.png").write_bytes(b"12")
+    (tmp_path / "e.png").write_bytes(b"\x89PNG\r\n\x1a\n12")
     (tmp_path / "z.exe").write_bytes(b"1")
     got = {r["path"]: r for r in connectors.read_tree(spark, str(tmp_path)).collect()}
     assert set(got) == {"a/x.txt", "e.png", "z.exe"} and got["a/x.txt"]["blob"] == hashlib.sha1(b"blob 2\0hi").hexdigest()
