@@ -130,7 +130,7 @@ def equal_heads(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def support_sentences(docs: DataFrame, id_col: str, text_col: str, claim_tokens: Sequence[str]) -> DataFrame:
     """(doc, sentence, overlap): the sentence of each document that holds most of a claim's tokens, the first on ties."""
-    s = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, r"(?<=[.!?])\s+")).alias("i", "sentence"))
+    s = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.regexp_replace(text_col, r"([.!?])\s+", "$1\u0001"), "\u0001")).alias("i", "sentence"))
     want = F.array(*[F.lit(t) for t in claim_tokens])
     n = F.size(F.array_intersect(want, F.regexp_extract_all(F.lower("sentence"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))
     best = s.withColumn("overlap", n).where("overlap > 0").groupBy("doc").agg(F.max_by(F.struct("sentence", "overlap"), F.struct("overlap", -F.col("i"))).alias("b"))

@@ -57,8 +57,11 @@ def bm25_of(hits: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
 def coverage_tfidf(docs: DataFrame, id_col: str, tokens: Column, terms: Sequence[str]) -> DataFrame:
     """(doc, score, matched): sum of log1p(tf) log1p(N / (df + 1)), demoted by the share of the terms that are missing."""
     terms = list(dict.fromkeys(terms))
-    n = docs.agg(F.count("*").alias("n"))
-    post = index.query_postings(docs, id_col, tokens, terms)
+    return coverage_of(index.query_postings(docs, id_col, tokens, terms), docs.agg(F.count("*").alias("n")), terms)
+
+
+def coverage_of(post: DataFrame, n: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """``coverage_tfidf`` of the terms' postings (doc, token, tf) and one row with the number of documents."""
     df = post.groupBy("token").agg(F.count("*").alias("df"))
     scored = post.join(F.broadcast(df), "token").crossJoin(F.broadcast(n))
     each = F.log1p("tf") * F.log1p(F.col("n") / (F.col("df") + 1))
@@ -118,7 +121,12 @@ def code_search(files: DataFrame, path_col: str, tokens: Column, terms: Sequence
 
     ``definitions`` (path, name) are joined once, restricted to the terms beforehand.
     """
-    score = coverage_tfidf(files, path_col, tokens, terms).withColumnRenamed("doc", "path")
+    return code_search_of(coverage_tfidf(files, path_col, tokens, terms), terms, definitions, k)
+
+
+def code_search_of(score: DataFrame, terms: Sequence[str], definitions: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """``code_search`` of term scores (doc, score), such as those of saved postings."""
+    score = score.withColumnRenamed("doc", "path")
     path = F.col("path")
     boosted = F.col("score") * path_multiplier(path) + path_term_bonus(path, terms) + depth_bonus(path)
     if definitions is not None:

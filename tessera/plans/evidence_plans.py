@@ -12,7 +12,7 @@ from tessera.functions import questions as Q
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import answers, arms, chunking, claims, code, dense, evidence, graph, metrics, privacy, ranking, relations, work
-from tessera.plans.knowledge import _CLAIM_SQL, _EV, _event_claims, _RARE, _rare_edges
+from tessera.plans.knowledge import _CLAIM_SQL, _EV, _RARE, _SYMBOLS, _event_claims, _rare_edges, symbols
 from tessera.plans.registry import query
 from tessera.plans.retrieval import TERMS
 from tessera.runtime import shared_dir, table
@@ -414,6 +414,26 @@ def import_stem_edges(spark, sf):
     return evidence.import_stem_edges(out, "snapshot").select("file", "line", "to")
 
 
+def _hop_sql(name: str, seeds: str, found: str) -> str:
+    """Up to forty files that share a symbol with the seeds, less what was found."""
+    near = f"SELECT path, name, CASE WHEN kind = 'def' THEN 0 ELSE 1 END AS k FROM symbols WHERE name IN (SELECT name FROM symbols WHERE path IN (SELECT path FROM {seeds})) AND path NOT IN (SELECT path FROM {seeds})"
+    return f"{name}_n AS (SELECT path FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY name, k) AS n FROM ({near})) WHERE n = 1 ORDER BY name, k, path LIMIT 40), {name} AS (SELECT path FROM {name}_n WHERE path NOT IN (SELECT path FROM {found}))"
+
+
+@query(f"""WITH {_SYMBOLS}, {_EDGES}, nm AS (SELECT name AS s FROM symbols GROUP BY name ORDER BY count(*) DESC, name LIMIT 1), de AS (SELECT DISTINCT path FROM symbols, nm WHERE kind = 'def' AND lower(name) = lower(s)),
+  rf AS (SELECT DISTINCT path FROM symbols, nm WHERE kind = 'ref' AND name IN (s, lower(s)) AND path NOT IN (SELECT path FROM de) ORDER BY path LIMIT 24), f1 AS (SELECT path FROM de UNION SELECT path FROM rf),
+  im AS (SELECT file AS path, min(de.path) AS definer FROM edges JOIN de ON contains(lower("to"), lower(de.path)) WHERE kind = 'import' AND file NOT IN (SELECT path FROM f1) GROUP BY file ORDER BY definer, file LIMIT 16), f2 AS (SELECT path FROM f1 UNION SELECT path FROM im),
+  c0 AS (SELECT file FROM edges, nm WHERE kind IN ('call', 'reference', 'lexical') AND "to" = s AND "from" <> s ORDER BY file, position LIMIT 24), c1 AS (SELECT file FROM edges, nm WHERE s <> lower(s) AND kind IN ('call', 'reference', 'lexical') AND "to" = lower(s) AND "from" <> lower(s) ORDER BY file, position LIMIT 24),
+  ca AS (SELECT file AS path, min(i) AS i FROM (SELECT file, 0 AS i FROM c0 UNION ALL SELECT file, 1 FROM c1) WHERE file NOT IN (SELECT path FROM f2) GROUP BY file ORDER BY i, file LIMIT 24), h0 AS (SELECT path FROM f2 UNION SELECT path FROM ca),
+  {_hop_sql('h1', 'h0', 'h0')}, f3 AS (SELECT path FROM h0 UNION SELECT path FROM h1), {_hop_sql('h2', 'h1', 'f3')}, every AS (SELECT path, 0 AS hops FROM h0 UNION ALL SELECT path, 1 FROM h1 UNION ALL SELECT path, 2 FROM h2)
+  SELECT path, hops, CASE WHEN (SELECT count(*) FROM every) <= 4 THEN 'low' WHEN (SELECT count(*) FROM every) <= 16 THEN 'medium' ELSE 'high' END AS severity FROM every""")
+def impact_closure(spark, sf):
+    """Files that a change of the most frequent symbol may touch, to two hops."""
+    s, e = symbols(spark, sf), code.typed_edges(_files(spark, sf), "path", "text")
+    name = s.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").first()["name"]
+    return relations.impact(s, name, imports=e.where("kind = 'import'").select(F.col("file").alias("path"), F.col("to").alias("target")), edges=e)
+
+
 _STARTS = r"^(?:def |class |function |fn |func |pub fn |export (?:function|const|class|interface|type|default) |type |interface |const |let |struct |impl |enum |async def )"
 
 
@@ -768,3 +788,15 @@ _NO_O = ", ".join(f"'{w}'" for w in "a an the it this that true false important
   SELECT * FROM t WHERE length(subject) > 1 AND object <> '' AND subject NOT IN ({_NO_S}) AND object NOT IN ({_NO_O}) AND len(string_split(object, ' ')) <= 8""")
 def extract_statements(spark, sf):
     return claims.extract_statements(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_ASKED = "['what is ', 'how does ', 'where is ', 'why does ', 'what changed in ']"
+_ENDS = "['', ' work', ' used', ' matter', '']"
+
+
+@query(rf"""WITH w AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(lower({_clip('text', 400)}), '[\p{{L}}\p{{N}}]{{4,}}'), lambda x: x NOT IN ({_STOPS})) AS ws FROM documents WHERE text IS NOT NULL),
+  d AS (SELECT doc, list_transform(list_filter(list_zip(ws, generate_series(1, len(ws))), lambda x: list_position(ws, x[1]) = x[2]), lambda x: x[1]) AS ws FROM w)
+  SELECT doc, {_ASKED}[i] || ws[i] || {_ENDS}[i] AS question FROM d, generate_series(1, 5) t(i) WHERE i <= least(len(ws), 8)""")
+def question_lines(spark, sf):
+    """Templated questions of each document by a vectorised UDF."""
+    return _docs(spark, sf).select(F.col("doc_id").alias("doc"), F.explode(Q.question_lines(F.col("text"))).alias("question"))

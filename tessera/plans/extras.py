@@ -131,9 +131,11 @@ def equal_heads(spark, sf):
     return evidence.equal_heads(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query()
+@query(rf"""WITH s AS (SELECT doc_id AS doc, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE text IS NOT NULL), u AS (SELECT doc, unnest(ss) AS sentence, unnest(range(len(ss))) AS i FROM s),
+  o AS (SELECT *, len(list_filter([{_IN}], lambda t: list_contains(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}]+'), t))) AS overlap FROM u), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY overlap DESC, i) AS n FROM o WHERE overlap > 0)
+  SELECT doc, sentence, CAST(overlap AS INT) AS overlap FROM r WHERE n = 1""")
 def quote_recovery(spark, sf):
-    """Best supporting sentence of each document; no SQL: the sentence split looks behind, which RE2 cannot."""
+    """Best supporting sentence of each document, the first on ties."""
     return evidence.support_sentences(table(spark, sf, "documents"), "doc_id", "text", TERMS)
 
 
@@ -202,15 +204,12 @@ def context_headers(spark, sf):
     return evidence.run_workers(jobs, "context_header")
 
 
-@query()
-def question_lines(spark, sf):
-    """Templated questions of each document by a vectorised UDF; no SQL: byte-cut heads and ordered distinct words."""
-    return _docs(spark, sf).select(F.col("doc_id").alias("doc"), F.explode(Q.question_lines(F.col("text"))).alias("question"))
-
-
-@query()
+@query(r"""WITH t AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) >= 3) AS ts FROM documents WHERE text IS NOT NULL), u AS (SELECT doc, unnest(ts) AS token FROM t),
+  w AS (SELECT DISTINCT token FROM u), h AS (SELECT token, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(token, ''), lambda c: ord(c)::HUGEINT)), lambda a, b: (a * 31 + b) % 18446744073709551616) AS h FROM w),
+  b AS (SELECT token, CAST(CASE WHEN h >= 9223372036854775808 THEN 18446744073709551616 - h ELSE h END % 256 AS INT) AS bin FROM h), n AS (SELECT doc, bin, count(*) AS n FROM u JOIN b USING (token) GROUP BY ALL), m AS (SELECT doc, map(list(bin), list(n)) AS m FROM n GROUP BY doc)
+  SELECT t.doc, list_transform(range(256), lambda i: CAST(coalesce(m[CAST(i AS INT)], 0) AS FLOAT)) AS embedding FROM t LEFT JOIN m ON m.doc = t.doc""")
 def hash_embeddings(spark, sf):
-    """Hashed bag embeddings with wrapping 64-bit arithmetic; no SQL: DuckDB integers do not wrap."""
+    """Hashed bag embeddings with wrapping 64-bit arithmetic."""
     return _docs(spark, sf).select(F.col("doc_id").alias("doc"), Q.hash_embedding(T.unicode_tokens("text")).alias("embedding"))
 
 

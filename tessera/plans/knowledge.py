@@ -13,8 +13,6 @@ from tessera.runtime import table
 # ---- symbols of code documents -------------------------------------------------------------------
 
 _DEF = r"(?:def|func|function|type|struct|class|as|range)\s+([A-Za-z_]\w{2,})"
-_IMPORT = r"(?m)^\s*(?:import|from|use|require|#include)\s+[\"'<(]?([\w./:@\-]+)"
-_CALL = r"((?:def|func|function)\s+[A-Za-z_]\w{2,}|\b[A-Za-z_]\w{2,}\s*(?=\())"
 _REF = r"\b([a-z]{6,14})\b"
 _SYMBOLS = rf"""code AS (SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents WHERE kind = 'code' AND text IS NOT NULL),
   defs AS (SELECT DISTINCT path, unnest(regexp_extract_all(text, '{_DEF}', 1)) AS name FROM code),
@@ -73,30 +71,6 @@ def route_bridges(spark, sf):
     return relations.route_bridges(s, ends["a"], ends["b"], 10)
 
 
-def _code(spark, sf):
-    return table(spark, sf, "documents").where((F.col("kind") == "code") & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("path"), "text")
-
-
-def _imports(spark, sf):
-    return _code(spark, sf).select("path", F.explode(F.regexp_extract_all("text", F.lit(_IMPORT), F.lit(1))).alias("target"))
-
-
-def _calls(spark, sf):
-    """Edges from the definition before a call, or the file, to what is called."""
-    at = _code(spark, sf).select(F.col("path").alias("file"), F.posexplode(F.regexp_extract_all("text", F.lit(_CALL), F.lit(1))).alias("position", "token"))
-    defined = F.regexp_extract("token", r"^(?:def|func|function)\s+(\w+)", 1)
-    at = at.withColumn("from", F.coalesce(F.last(F.nullif(defined, F.lit("")), True).over(Window.partitionBy("file").orderBy("position")), F.lit("<file>")))
-    return at.where(defined == "").select("file", "position", "from", F.regexp_extract("token", r"^\w+", 0).alias("to"), F.lit("call").alias("kind"))
-
-
-@query()
-def impact_closure(spark, sf):
-    """Files a symbol's change may touch, to two hops; no SQL: each hop depends on the capped one before."""
-    s = symbols(spark, sf)
-    name = s.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").first()["name"]
-    return relations.impact(s, name, imports=_imports(spark, sf), edges=_calls(spark, sf))
-
-
 _LINKS = f"""{_SYMBOLS}, links AS (SELECT r.path AS src, d.path AS dst FROM symbols r JOIN symbols d USING (name) WHERE r.kind = 'ref' AND d.kind = 'def' AND r.path <> d.path)"""
 
 

@@ -249,9 +249,12 @@ def context_budget(spark, sf):
     return relations.allocate_budget(s, 100_000, 0.4)
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT user_id AS session, event_id AS item, 'L' || (event_id % 4) AS tier, length(props) AS size, row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY event_id) AS n FROM events),
+  g(session, tier, n, left_over, item, took) AS (SELECT DISTINCT session, tier, 0::BIGINT, CASE tier WHEN 'L0' THEN 400 WHEN 'L1' THEN 300 WHEN 'L2' THEN 200 ELSE 100 END::BIGINT, NULL::BIGINT, false FROM i
+    UNION ALL SELECT i.session, i.tier, i.n, CASE WHEN size <= left_over THEN left_over - size ELSE left_over END, i.item, size <= left_over FROM g JOIN i ON i.session = g.session AND i.tier = g.tier AND i.n = g.n + 1)
+  SELECT i.session, i.item, i.tier, i.item AS position, CAST(i.size AS BIGINT) AS size FROM g JOIN i USING (session, tier, n) WHERE took""")
 def tier_budgets(spark, sf):
-    """Greedy byte budgets of a session's tiers; no SQL: an item that does not fit is skipped, later ones may."""
+    """Greedy byte budgets of a session's tiers: an item that does not fit is skipped, later ones may."""
     e = table(spark, sf, "events")
     items = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("item"), F.concat(F.lit("L"), (F.col("event_id") % 4).cast("string")).alias("tier"), F.col("event_id").alias("position"), F.length("props").cast("bigint").alias("size"))
     return relations.tier_budgets(items, {"L0": 400, "L1": 300, "L2": 200, "L3": 100})

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import index, ranking
+from tessera.plans import registry
 from tessera.plans.registry import query
-from tessera.runtime import table
+from tessera.runtime import shared_dir, table
+from tessera.sources import readers
 
 TERMS = ["retired", "cursor", "snapshot", "report", "file"]
 _IN = ", ".join(f"'{t}'" for t in TERMS)
@@ -171,6 +175,31 @@ def code_search(spark, sf):
     return hits.select("path", F.round("score", 6).alias("score"))
 
 
+def saved_index(spark, sf):
+    """(postings by path and token, titles, one row of counts) of the documents, saved in the shared folder under the stamps of the table's files: built
+    where there is none for these stamps, else opened."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [fs.getFileStatus(place)] if not fs.getFileStatus(place).isDirectory() else list(fs.listStatus(place))
+    stamp = hashlib.sha256("|".join(sorted(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}" for f in files)).encode()).hexdigest()[:24]
+    root = f"{shared_dir(spark)}/index-{stamp}"
+    parts = {k: readers.VersionedTable(spark, f"{root}-{k}") for k in ("names", "counts")}
+    if parts["counts"].current() is None:  # written last
+        d = _paths(spark, sf)
+        readers.save_postings(index.postings(d, "path", T.unicode_tokens("text")), f"{root}-postings")
+        parts["names"].publish(d.select("path", F.explode(F.split(F.lower("title"), " ")).alias("name")))
+        parts["counts"].publish(d.agg(F.count("*").alias("n")))
+    return f"{root}-postings", parts["names"].load(), parts["counts"].load()
+
+
+@query(registry.SQL["code_search"])
+def code_search_saved(spark, sf):
+    """``code_search`` over the saved index: only the buckets of the query's tokens are read."""
+    post, names, counts = saved_index(spark, sf)
+    hits = ranking.code_search_of(ranking.coverage_of(readers.load_postings(spark, post, TERMS), counts, TERMS), TERMS, names, 50)
+    return hits.select("path", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT DISTINCT source_uri, CAST(round({_multiplier_sql('lower(source_uri)')}, 6) AS DOUBLE) AS multiplier FROM product_chunk_metadata WHERE source_uri IS NOT NULL")
 def path_multiplier(spark, sf):
     uris = table(spark, sf, "product_chunk_metadata").where(F.col("source_uri").isNotNull()).select("source_uri").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -120,15 +121,25 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointers(self) -> DataFrame | None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.schema("generation bigint, version string").option("pathGlobFilter", "g-*.json").json(f"{self.root}/pointers") if fs.exists(path) else None
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def current(self) -> tuple[int, str] | None:
-        p = self._pointers()
-        row = p.orderBy(F.desc("generation"), F.desc("version")).first() if p is not None else None
-        return (row["generation"], row["version"]) if row else None
+        """(generation, version) of the newest pointer file; no job runs."""
+        folder, fs = self._path("pointers")
+        if not fs.exists(folder):
+            return None
+        found = sorted((f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().startswith("g-") and f.getLen() > 0), reverse=True)
+        if not found:
+            return None
+        place, fs = self._path(f"pointers/{found[0]}")
+        stream = fs.open(place)
+        try:
+            row = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return row["generation"], row["version"]
 
     def load(self) -> DataFrame | None:
         c = self.current()
@@ -139,8 +150,7 @@ class VersionedTable:
         generation, version = (c[0] + 1 if c else 1), f"v-{uuid.uuid4().hex}"
         w = df.write
         (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{self.root}/{version}")
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers/g-{generation:012d}.json")
-        fs = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        place, fs = self._path(f"pointers/g-{generation:012d}.json")
         try:
             out = fs.create(place, False)  # not over an existing one
         except Exception as e:
@@ -176,8 +186,8 @@ class DeltaTable:
     def load(self) -> DataFrame | None:
         from tessera.operators.relations import latest_wins
 
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._deltas())
-        has = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        path, fs = self.base._path(self._deltas()[len(self.base.root) + 1 :])
+        has = fs.exists(path)
         parts = [x for x in (self.base.load(), self.spark.read.parquet(self._deltas()) if has else None) if x is not None]
         return latest_wins(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), self.keys, self.order) if parts else None
 
@@ -204,8 +214,9 @@ def save_postings(post: DataFrame, root: str, buckets: int = 64) -> int:
 def load_postings(spark: SparkSession, root: str, tokens: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:
     post = VersionedTable(spark, root).load()
     if tokens is not None:
-        wanted = spark.range(1).select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in tokens])).alias("b"))
-        post = post.where(F.col("bucket").isin(*[r["b"] for r in wanted.distinct().collect()]) & F.col("token").isin(*tokens))
+        # literals: Spark folds the hashes into partition values while it plans, so no job runs for them
+        wanted = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in tokens]
+        post = post.where(F.col("bucket").isin(*wanted) & F.col("token").isin(*tokens))
     return post.drop("bucket")
 
 
