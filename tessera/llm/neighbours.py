@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import BROADCAST_BYTES, checked_broadcast, materialise
 
-SAMPLE = 16_384  # rows of a partition that fit its index, at most
-CELL_ROWS, MAX_CELLS = 128, 1_024
+SAMPLE, SAMPLE_OF_CELL = 16_384, 8  # rows of a partition that fit its index: the first, or so many a cell where that is more
+CELL_ROWS, MAX_CELLS = 128, 16_384  # cells grow in number with the rows up to two million rows a partition, beyond that in size
+STRIP = 4_096  # rows scored against all centres at once
 TILE = 16_384  # rows of a cell that meet in one task, at most
 COPIES = 64
 _OUT = "part int, a string, b string, similarity double"
@@ -47,8 +48,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int, spherical: bool) -> np
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        score = x @ c.T if spherical else x @ c.T - (c * c).sum(1) / 2
-        own = score.argmax(1)
+        less = 0 if spherical else (c * c).sum(1) / 2
+        own = np.concatenate([(x[i : i + STRIP] @ c.T - less).argmax(1) for i in range(0, len(x), STRIP)])
         total = np.zeros_like(c)
         np.add.at(total, own, x)
         count = np.bincount(own, minlength=k)
@@ -177,10 +178,10 @@ def usable(df: DataFrame, keys: list[str], id_col: str = "document_id") -> DataF
 
 
 class Index:
-    """Partition numbers, cell centres and quantisers, fitted on samples of at most ``SAMPLE`` rows a partition.
+    """Partition numbers, cell centres and quantisers, fitted on samples of at most ``SAMPLE`` or ``SAMPLE_OF_CELL`` x ``MAX_CELLS`` rows a partition.
 
     Each partition's sample, drawn by a hash of the id, is fitted in a task of its own; the driver gets the fitted models alone
-    (some 1,024 centres and the codebooks a partition) and sends them to the workers.
+    (at most ``MAX_CELLS`` centres and the codebooks a partition) and sends them to the workers.
     """
 
     def __init__(self, rows: DataFrame, keys: list[str]):
@@ -190,7 +191,7 @@ class Index:
         self.number = {p: i for i, p in enumerate(self.parts)}
         spark = rows.sparkSession
         fields = rows.select(*keys).schema
-        self.table = spark.createDataFrame([(*p, i, min(1.0, SAMPLE / counts[p])) for p, i in self.number.items()], fields.add("part", "integer").add("share", "double"))
+        self.table = spark.createDataFrame([(*p, i, min(1.0, max(SAMPLE, SAMPLE_OF_CELL * min(MAX_CELLS, counts[p] // CELL_ROWS)) / counts[p])) for p, i in self.number.items()], fields.add("part", "integer").add("share", "double"))
         on = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]) if keys else F.lit(True)
         # one row per partition: bounded by the number of stores, generations, models and lengths
         self.rows = rows.alias("r").join(F.broadcast(self.table).alias("p"), on).select("p.part", "p.share", "r.id", "r.embedding")
@@ -250,7 +251,8 @@ def _cell_sizes(index: Index, spread: int) -> DataFrame:
 
 def _nearest_cells(x: np.ndarray, centres: np.ndarray, spread: int) -> np.ndarray:
     take = min(spread, len(centres))
-    return np.argpartition(-(x @ centres.T), take - 1, axis=1)[:, :take].astype(np.int32)
+    strips = [np.argpartition(-(x[i : i + STRIP] @ centres.T), take - 1, axis=1)[:, :take] for i in range(0, len(x), STRIP)]
+    return np.concatenate(strips).astype(np.int32)
 
 
 def _cells(index: Index, spread: int, least: float) -> DataFrame:
