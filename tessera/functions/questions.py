@@ -74,6 +74,37 @@ def question_plan(question: Column, several: bool = True) -> Column:
     return plan(question)
 
 
+# Wording that tells what a question wants.
+PLAN_CUES = {
+    "lists": r"(?i)\b(list|enumerate|every|all of|complete (required|list)|each of)\b", "kinds": r"(?i)\b(which|what)\s+(customers?|partners?|teams?|channels?|exceptions?|steps?|fields?|metrics?|actions?)\b",
+    "choice": r"(?i)\b(or|rather than|instead of|as opposed to)\b", "dispute": r"(?i)\b(correction|corrected|supersed|actually|telemetry review|conflicting|wrongly|initially (said|noted)|earlier note)\b",
+    "several": r"(?i)\b(and also|as well as|in addition|both .+ and|across (docs?|documents?|teams?))\b", "project": r"(?i)\b(how (do|should|can) we|what is the (recommended|suggested)|remediation|rollout|runbook|playbook|process for)\b",
+    "bound": r"(?i)\b(only for|limited to|in (us|eu|ap)-|for the .+ tier|under the .+ plan|when using)\b", "absent": r"(?i)\b(is there any|are there any|does .+ (exist|support)|has anyone|any customer other than)\b", "asks": r"(?i)^(what|who|when|where|how many|how much)\b",
+}
+
+
+def effective_type(question: Column) -> Column:
+    """What kind of answer a question wants, the first rule that holds: info_not_found or completeness (by 'other than', 'besides'), conflicting_info,
+    completeness, project_related, constrained, semantic (long and no short fact), basic (a short fact), else semantic. Length counts content
+    words (12) or bytes (120)."""
+    from tessera.functions.text import content_tokens
+
+    q, low = F.trim(question), F.lower(F.trim(question))
+    cue = {k: q.rlike(rx) for k, rx in PLAN_CUES.items()}
+    words = F.size(content_tokens(q))
+    lists = cue["lists"] | cue["kinds"]
+    conflict = cue["choice"] & (cue["dispute"] | low.contains("oom") | low.contains("stall") | low.contains("was it") | low.contains("is it"))
+    long = (words >= 12) | (F.octet_length(q) >= 120)
+    short = cue["asks"] & (words <= 14) & ~lists & ~conflict
+    wide = long & ~short
+    several = lists | conflict | cue["several"] | cue["project"] | wide
+    other = low.contains("other than") | low.contains("besides")
+    return (
+        F.when(q == "", "basic").when(cue["absent"] & ~lists & other, "completeness").when(cue["absent"] & ~lists, "info_not_found").when(conflict, "conflicting_info").when(lists, "completeness")
+        .when(cue["project"] & several, "project_related").when(cue["bound"] & several, "constrained").when(wide, "semantic").when(short, "basic").otherwise("semantic")
+    )
+
+
 def question_lines(text: Column, most: int = 5) -> Column:
     """Up to five templated questions from the first eight content words of a text's first 400 bytes, one string per line set."""
 

@@ -24,6 +24,12 @@ def cooccurrence_edges(postings: DataFrame, cap: int = 12) -> DataFrame:
     return pairs.groupBy(F.col("a.doc").alias("src"), F.col("b.doc").alias("dst")).agg(F.count("*").alias("shared"))
 
 
+def structure_edges(tokens: DataFrame, most: int = 8) -> DataFrame:
+    """(src, dst): both directions between documents that share a structure token (doc, token), over the first ``most`` documents of each token."""
+    e = cooccurrence_edges(tokens, most).select("src", "dst")
+    return e.union(e.select("dst", "src"))
+
+
 def weighted_graph(postings: DataFrame, max_docs: int = 80, max_members: int = 80) -> DataFrame:
     """(src, dst, weight): for each token of 2..max_docs documents a star from its first document and a chain at 0.8 of the weight
     1 / ln(max(2, n)); the largest weight of a pair."""

@@ -800,3 +800,34 @@ _ENDS = "['', ' work', ' used', ' matter', '']"
 def question_lines(spark, sf):
     """Templated questions of each document by a vectorised UDF."""
     return _docs(spark, sf).select(F.col("doc_id").alias("doc"), F.explode(Q.question_lines(F.col("text"))).alias("question"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id AS doc, unnest(list_distinct(list_transform({_MENTIONED.format('text')}, lambda x: lower(x)))) AS token FROM documents WHERE text IS NOT NULL AND kind <> 'prose'), c AS (SELECT doc, token FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY doc) AS i FROM t) WHERE i <= 8)
+  SELECT DISTINCT a.doc AS src, b.doc AS dst FROM c a JOIN c b ON a.token = b.token AND a.doc <> b.doc""")
+def structure_edges(spark, sf):
+    """Code, tables and chats that share an identifier-like token."""
+    d = _docs(spark, sf).where("kind <> 'prose'")
+    return graph.structure_edges(d.select(F.col("doc_id").alias("doc"), F.explode(arms.structure_tokens(F.col("text"), 1 << 20)).alias("token")))
+
+
+_WANTS = {
+    "lists": r"(?i)\b(list|enumerate|every|all of|complete (required|list)|each of)\b", "kinds": r"(?i)\b(which|what)\s+(customers?|partners?|teams?|channels?|exceptions?|steps?|fields?|metrics?|actions?)\b",
+    "choice": r"(?i)\b(or|rather than|instead of|as opposed to)\b", "dispute": r"(?i)\b(correction|corrected|supersed|actually|telemetry review|conflicting|wrongly|initially (said|noted)|earlier note)\b",
+    "multi": r"(?i)\b(and also|as well as|in addition|both .+ and|across (docs?|documents?|teams?))\b", "project": r"(?i)\b(how (do|should|can) we|what is the (recommended|suggested)|remediation|rollout|runbook|playbook|process for)\b",
+    "bound": r"(?i)\b(only for|limited to|in (us|eu|ap)-|for the .+ tier|under the .+ plan|when using)\b", "absent": r"(?i)\b(is there any|are there any|does .+ (exist|support)|has anyone|any customer other than)\b", "asks": r"(?i)^(what|who|when|where|how many|how much)\b",
+}
+_CUES = ", ".join(f"regexp_matches(q, '{rx}') AS {k}" for k, rx in _WANTS.items())
+
+
+@query(rf"""WITH s AS (SELECT doc_id AS doc, trim(unnest(regexp_split_to_array(text, '[?.!]')), ' ') AS q FROM documents WHERE text IS NOT NULL AND kind <> 'prose' UNION SELECT item_id, trim(text, ' ') FROM benchmark WHERE text IS NOT NULL),
+  c AS (SELECT DISTINCT doc, q, lower(q) AS low, {_CUES}, len(list_distinct(list_filter(regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}]+'), lambda t: strlen(t) >= 4 AND t NOT IN ({_STOPS})))) AS n FROM s),
+  f AS (SELECT *, lists OR kinds AS listed, choice AND (dispute OR contains(low, 'oom') OR contains(low, 'stall') OR contains(low, 'was it') OR contains(low, 'is it')) AS conflict, n >= 12 OR strlen(q) >= 120 AS long FROM c),
+  g AS (SELECT *, asks AND n <= 14 AND NOT listed AND NOT conflict AS short FROM f), w AS (SELECT *, long AND NOT short AS wide FROM g), p AS (SELECT *, listed OR conflict OR multi OR project OR wide AS several FROM w),
+  e AS (SELECT CASE WHEN q = '' THEN 'basic' WHEN absent AND NOT listed AND (contains(low, 'other than') OR contains(low, 'besides')) THEN 'completeness' WHEN absent AND NOT listed THEN 'info_not_found' WHEN conflict THEN 'conflicting_info' WHEN listed THEN 'completeness'
+    WHEN project AND several THEN 'project_related' WHEN bound AND several THEN 'constrained' WHEN wide THEN 'semantic' WHEN short THEN 'basic' ELSE 'semantic' END AS kind FROM p) SELECT kind, count(*) AS n FROM e GROUP BY kind""")
+def question_types(spark, sf):
+    """Kinds of the sentences of documents and of the benchmark items, read as questions."""
+    d = _docs(spark, sf).where("kind <> 'prose'").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "[?.!]")).alias("q"))
+    b = table(spark, sf, "benchmark").where(F.col("text").isNotNull()).select(F.col("item_id"), "text")
+    q = d.union(b).select("doc", F.trim("q").alias("q")).distinct()
+    return q.groupBy(Q.effective_type(F.col("q")).alias("kind")).agg(F.count("*").alias("n"))

@@ -208,7 +208,20 @@ def open_or_refresh(stored: VersionedTable, manifest: DataFrame | None, disk: Da
 def save_postings(post: DataFrame, root: str, buckets: int = 64) -> int:
     """Publish postings in buckets by token, so a query's tokens read a few buckets only; returns the generation."""
     t = VersionedTable(post.sparkSession, root)
-    return t.publish(post.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).repartition("bucket"), ["bucket"])
+    generation = t.publish(post.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).repartition("bucket"), ["bucket"])
+    checksum(t.load(), sorted(post.columns)).write.parquet(f"{root}/sums/g-{generation}")
+    return generation
+
+
+def verify_postings(spark: SparkSession, root: str) -> bool:
+    """Whether the saved postings still have the rows and the checksum they were saved with."""
+    t = VersionedTable(spark, root)
+    c = t.current()
+    if c is None:
+        return False
+    rows = t.load()
+    want = spark.read.parquet(f"{root}/sums/g-{c[0]}").first()
+    return tuple(checksum(rows, sorted(x for x in rows.columns if x != "bucket")).first()) == tuple(want)
 
 
 def load_postings(spark: SparkSession, root: str, tokens: Sequence[str] | None = None, buckets: int = 64) -> DataFrame:

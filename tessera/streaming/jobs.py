@@ -52,6 +52,17 @@ def run_with_retries(start: Callable[[], None], attempts: int = 6, first: float
             pause = min(pause * 2, most)
 
 
+def poll(once: Callable[[], bool], every: float, rounds: int | None = None) -> int:
+    """Ask again and again, with pauses of ``every`` seconds, whether something changed (``once`` refreshes what did); returns how often it had."""
+    n = changed = 0
+    while rounds is None or n < rounds:
+        if n:
+            time.sleep(every)
+        changed += bool(once())
+        n += 1
+    return changed
+
+
 def collect_versions(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there; the last published version is the result."""
     spark = stream.sparkSession

@@ -257,3 +257,52 @@ def test_deltas_and_compaction(spark, tmp_path):
     assert t.compact() == 1
     t.append(rows((2, 5, "z")))
     assert {tuple(r) for r in t.load().collect()} == {(1, 2, "c"), (2, 5, "z")}
+
+
+def test_a_pinned_commit_is_read(spark, tmp_path):
+    import subprocess
+
+    from tessera.sources import connectors
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=n@example.org", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "é.txt").write_text("one")
+    (tmp_path / "e.py").write_text("")
+    git("add", "-A")
+    git("commit", "-qm", "first")
+    first = git("rev-parse", "HEAD")
+    (tmp_path / "d" / "é.txt").write_text("changed")
+    git("commit", "-qam", "second")
+    got = {r["path"]: (bytes(r["content"]).decode(), r["size"], r["mode"]) for r in connectors.read_commit(spark, str(tmp_path), first, 2).collect()}
+    assert got == {"d/é.txt": ("one", 3, "100644"), "e.py": ("", 0, "100644")}
+
+
+def test_postings_are_verified(spark, tmp_path):
+    import glob
+    import os
+
+    from tessera.sources import readers
+
+    root = str(tmp_path / "p")
+    readers.save_postings(spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "doc string, token string, tf int"), root)
+    assert readers.verify_postings(spark, root) and not readers.verify_postings(spark, str(tmp_path / "none"))
+    os.remove(next(f for f in glob.glob(f"{root}/v-*/bucket=*/*.parquet")))
+    assert not readers.verify_postings(spark, root)
+
+
+def test_polling():
+    from tessera.streaming import jobs
+
+    seen = iter([True, False, True])
+    assert jobs.poll(lambda: next(seen), 0.01, 3) == 2
+
+
+@pytest.mark.parametrize("question,want", [
+    ("", "basic"), ("List all of the exporters", "completeness"), ("Are there any customers besides Acme?", "completeness"), ("Are there any exports?", "info_not_found"), ("Was it corrected or superseded instead of moved?", "conflicting_info"),
+    ("How do we start a rollout?", "project_related"), ("When was the cursor moved?", "basic"), ("Tell me more", "semantic"),
+])
+def test_question_types(spark, question, want):
+    from tessera.functions import questions as Q
+
+    assert spark.createDataFrame([(question,)], "q string").select(Q.effective_type(F.col("q"))).first()[0] == want
