@@ -37,20 +37,38 @@ STATEMENTS = (
     ("owned_by", r"(?:is\s+)?owned\s+by", "phrase", "owned"), ("reports_to", r"reports\s+to", "phrase", "reports"), ("powered_by", r"(?:is\s+)?powered\s+by", "phrase", "powered"), ("manages", "manages", "phrase", "manages"),
     ("responsible_for", r"(?:is\s+)?responsible\s+for", "phrase", "responsible"), ("announced", "announced", "phrase", "announced"), ("has", "has", "phrase", "has"), ("is", "is", "phrase", "is"),
 )
+# Statements of three parts, recovery objectives, and lines of the form "subject: object".
+OF_IS = r"(?i)\b([A-Za-z][\w\-]{2,30})\s+of\s+([A-Za-z][\w\s\-]{1,40}?)\s+is\s+([A-Za-z0-9][\w\s\.\-%$]{0,40}?)(?:[.!?;,\n]|$)"
+BETWEEN = r"(?i)\b([A-Za-z][\w\s\-]{1,30}?)\s+between\s+([A-Za-z][\w\s\-]{1,30}?)\s+and\s+([A-Za-z][\w\s\-]{1,30}?)\b"
+RECOVERY = {"rpo": r"(?i)\b(?:RPO|recovery\s+point\s+objective)\s+(?:is|of|=)\s*(\d[\d\s]*(?:hours?|days?|minutes?|h|d|m)?)\b", "rto": r"(?i)\b(?:RTO|recovery\s+time\s+objective)\s+(?:is|of|=)\s*(\d[\d\s]*(?:hours?|days?|minutes?|h|d|m)?)\b"}
+COLON = r"^([A-Za-z][\w\s\-]{1,40}?):\s*([A-Za-z0-9][\w\s\.\-%$]{1,60})$"
 # Subjects and objects that say nothing.
 EMPTY_SUBJECTS = "it this that there here what which who they he she we one some any all each every the a an these those".split()
 EMPTY_OBJECTS = "a an the it this that true false important possible available".split()
 
 
+def _groups(text_col: str, rx: str, n: int) -> Column:
+    """Structs (g1, .. gn) of the groups of each match; the text is searched once, and the groups are read off the short matches."""
+    return F.transform(F.regexp_extract_all(text_col, F.lit(f"({rx})" if not rx.startswith("(?i)") else f"(?i)({rx[4:]})"), F.lit(1)), lambda m: F.struct(*[F.regexp_extract(m, rx, i).alias(f"g{i}") for i in range(1, n + 1)]))
+
+
 def extract_statements(docs: DataFrame, id_col: str, text_col: str, rules=STATEMENTS) -> DataFrame:
-    """(doc, predicate, subject, object): distinct statements 'subject verb object' of each document by a table of verbs, lower-cased and with single
-    blanks. Empty subjects and objects are left out, and so are objects of more than eight words; a pattern runs only over texts that hold its word."""
+    """(doc, predicate, subject, object): distinct statements of each document, lower-cased and with single blanks: 'subject verb object' by a table of
+    verbs, 'X of Y is Z', 'X between Y and Z', recovery objectives and lines 'subject: object'. Empty subjects and objects are left out, and so are objects of more than eight words; a pattern runs only over texts that hold its word."""
+    part = lambda predicate, subject, object_: F.struct(predicate.alias("predicate"), F.lower(subject).alias("subject"), F.lower(object_).alias("object"))
+    none = F.array().cast("array<struct<predicate:string,subject:string,object:string>>")
     found = []
     for predicate, between, form, word in rules:
         rx = rf"(?i){_WHO}\s+{between}\s+{OBJECTS[form]}"
         has = F.lower(F.col(text_col)).contains(word)
-        pairs = F.when(has, F.arrays_zip(F.regexp_extract_all(text_col, F.lit(rx), F.lit(1)).alias("subject"), F.regexp_extract_all(text_col, F.lit(rx), F.lit(2)).alias("object")))
-        found.append(F.coalesce(_as_claims(pairs, predicate), F.array().cast("array<struct<predicate:string,subject:string,object:string>>")))
+        pairs = F.when(has, _groups(text_col, rx, 2))
+        found.append(F.coalesce(F.transform(pairs, lambda p: part(F.lit(predicate), p["g1"], p["g2"])), none))  # noqa: B023
+    low = F.lower(F.col(text_col))
+    found.append(F.when(low.contains(" of "), F.transform(_groups(text_col, OF_IS, 3), lambda p: part(F.lower(p["g1"]), p["g2"], p["g3"]))).otherwise(none))
+    found.append(F.when(low.contains("between"), F.transform(_groups(text_col, BETWEEN, 3), lambda p: part(F.lit("between"), p["g1"], F.concat(p["g2"], F.lit(" and "), p["g3"])))).otherwise(none))
+    found += [F.transform(F.regexp_extract_all(text_col, F.lit(rx), F.lit(1)), lambda v: part(F.lit("is"), F.lit(name), v)) for name, rx in RECOVERY.items()]
+    lines = F.filter(F.transform(F.split(text_col, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: (F.octet_length(x) <= 100) & x.rlike(COLON))
+    found.append(F.transform(lines, lambda x: part(F.lit("is"), F.regexp_extract(x, COLON, 1), F.regexp_extract(x, COLON, 2))))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.explode(F.concat(*found)).alias("c"))
     tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     s = rows.select("doc", "c.predicate", tidy("c.subject").alias("subject"), tidy("c.object").alias("object")).distinct()

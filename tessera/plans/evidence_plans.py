@@ -780,6 +780,14 @@ _VERBS = [
 _SAID = " UNION ALL ".join(
     rf"SELECT doc_id AS doc, '{p}' AS predicate, unnest(regexp_extract_all(text, '(?i)\b([A-Za-z][\w\s\-]{{1,40}}?)\s+{v}\s+{_FORMS[f]}', 1)) AS s, unnest(regexp_extract_all(text, '(?i)\b([A-Za-z][\w\s\-]{{1,40}}?)\s+{v}\s+{_FORMS[f]}', 2)) AS o FROM documents WHERE text IS NOT NULL" for p, v, f in _VERBS
 )
+_OF = r"(?i)\b([A-Za-z][\w\-]{2,30})\s+of\s+([A-Za-z][\w\s\-]{1,40}?)\s+is\s+([A-Za-z0-9][\w\s\.\-%$]{0,40}?)(?:[.!?;,\n]|$)"
+_MID = r"(?i)\b([A-Za-z][\w\s\-]{1,30}?)\s+between\s+([A-Za-z][\w\s\-]{1,30}?)\s+and\s+([A-Za-z][\w\s\-]{1,30}?)\b"
+_GOAL = r"(?i)\b(?:{0}|recovery\s+{1}\s+objective)\s+(?:is|of|=)\s*(\d[\d\s]*(?:hours?|days?|minutes?|h|d|m)?)\b"
+_PAIR = r"^([A-Za-z][\w\s\-]{1,40}?):\s*([A-Za-z0-9][\w\s\.\-%$]{1,60})$"
+_SAID += "".join(f" UNION ALL SELECT doc_id, 'is', unnest(list_transform(regexp_extract_all(text, '{_GOAL.format(a, b)}', 1), lambda x: '{a}')), unnest(regexp_extract_all(text, '{_GOAL.format(a, b)}', 1)) FROM documents WHERE text IS NOT NULL" for a, b in (("rpo", "point"), ("rto", "time")))
+_SAID += f""" UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_OF}', 1))), unnest(regexp_extract_all(text, '{_OF}', 2)), unnest(regexp_extract_all(text, '{_OF}', 3)) FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 'between', g1, g2 || ' and ' || g3 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_MID}', 1)) AS g1, unnest(regexp_extract_all(text, '{_MID}', 2)) AS g2, unnest(regexp_extract_all(text, '{_MID}', 3)) AS g3 FROM documents WHERE text IS NOT NULL)
+  UNION ALL SELECT doc_id, 'is', regexp_extract(x, '{_PAIR}', 1), regexp_extract(x, '{_PAIR}', 2) FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS x FROM documents WHERE text IS NOT NULL) WHERE strlen(x) <= 100 AND regexp_matches(x, '{_PAIR}')"""
 _NO_S = ", ".join(f"'{w}'" for w in "it this that there here what which who they he she we one some any all each every the a an these those".split())
 _NO_O = ", ".join(f"'{w}'" for w in "a an the it this that true false important possible available".split())
 
