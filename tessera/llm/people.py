@@ -66,5 +66,6 @@ BEFORE = (
 )
 #: What follows a person.
 AFTER = (" moved to ", " moves to ", " called from ", " called ", " wrote:", " wrote ", " writes:", " schrieb:", " schrieb ", " wohnt ", " lives at ", " lives in ", " a écrit", " habite ", " escribió", " vive en ")
-#: Fields of records that hold a person.
-FIELD = r"(?<![\w])[\"']?(?:owner|author|name|full_?name|contact|assignee|reporter|customer|employee|patient|client|user|recipient|sender|holder|beneficiary|besitzer|inhaber|kunde|titulaire|titular)[\"']?\s*[:=]\s*[\"']?(?=[^\W\d_])"
+#: Fields of records that hold a person, and what stands between a field and its value.
+FIELDS = "owner author name full_name fullname contact assignee reporter customer employee patient client user recipient sender holder beneficiary besitzer inhaber kunde titulaire titular".split()
+FIELD_SEP = r"[\"']?\s*[:=]\s*[\"']?(?=[^\W\d_])"

@@ -106,6 +106,8 @@ def _triggers() -> ahocorasick.Automaton:
         kinds.setdefault(w, set()).add("given")
     for w in people.BEFORE:
         kinds.setdefault(w, set()).add("before")
+    for w in people.FIELDS:
+        kinds.setdefault(w, set()).add("field")
     for w in people.AFTER:
         kinds.setdefault(w, set()).add("after")
     for w in STREETS.split("|"):
@@ -122,7 +124,7 @@ def _triggers() -> ahocorasick.Automaton:
     return a
 
 
-FIELD = re.compile(people.FIELD, re.I)
+FIELD_SEP = re.compile(people.FIELD_SEP)
 PAIR = re.compile(rf"(?<![\w.@+\-])(?:(?P<f>[^\W\d_]+(?:['’\-][^\W\d_]+)*)\.?[ \xa0]+(?:[^\W\d_]\.[ \xa0]+)?(?P<s>{_W})|(?P<t>{_W}),[ \xa0]+(?P<g>[^\W\d_]+)\.?)(?![\w@])")
 
 
@@ -161,6 +163,9 @@ class Detector:
                     self._email(text, at, end + 1, out)
                 elif kind in ("street", "euro"):
                     self._address(text, low, at, end + 1, kind, out)
+                elif kind == "field":
+                    if (at == 0 or not (low[at - 1].isalnum() or low[at - 1] == "_")) and (m := FIELD_SEP.match(text, end + 1)):
+                        names.append((m.end(), "field"))
                 elif kind == "label":
                     if at == 0 or not low[at - 1].isalnum():
                         self._label(text, at, out)
@@ -172,8 +177,6 @@ class Detector:
         for a, b, kind in contacts:
             if kind == "email":
                 self._told_by_email(text, a, b, out)
-        for m in FIELD.finditer(text):
-            names.append((m.end(), "field"))
         for at, kind in names:
             self._name(text, low, at, kind, out)
         self._shaped(text, out)
