@@ -119,17 +119,16 @@ def pagerank_by_name(symbols: DataFrame, nodes: DataFrame, steps: int, damping:
     without forming the links: what a file passes on is summed by name first and then goes to the name's files. So a name with r
     references and d definitions costs r + d rows instead of r x d."""
     named = materialise(symbols.where("kind IN ('ref', 'def')").select("path", "name", "kind").distinct(), label="named")
-    refs = named.where("kind = 'ref'").select(F.col("path").alias("src"), "name")
     defs = named.where("kind = 'def'").select(F.col("path").alias("dst"), "name")
-    targets = defs.groupBy("name").agg(F.count("*").alias("targets"))
-    out = materialise(refs.join(targets, "name").groupBy("src").agg(F.sum("targets").alias("total")), label="out")
+    refs = named.where("kind = 'ref'").select(F.col("path").alias("src"), "name").join(defs.groupBy("name").agg(F.count("*").alias("targets")), "name")
+    out = refs.groupBy("src").agg(F.sum("targets").alias("total"))
+    shares = materialise(refs.join(out, "src").select("src", "name", (1 / F.col("total")).alias("share")), label="shares")
 
     def flow(rank: DataFrame) -> DataFrame:
-        given = rank.join(out, rank.node == out.src).select("src", (F.col("rank") / F.col("total")).alias("each"))
-        by_name = refs.join(given, "src").groupBy("name").agg(F.sum("each").alias("each"))
+        by_name = shares.join(rank, shares.src == rank.node).groupBy("name").agg(F.sum(F.col("rank") * F.col("share")).alias("each"))
         return defs.join(by_name, "name").groupBy("dst").agg(F.sum("each").alias("into"))
 
-    return _ranked(flow, out.select("src"), nodes, steps, damping, seeds, dangling, normalise, cut_every)
+    return _ranked(flow, shares.select("src").distinct(), nodes, steps, damping, seeds, dangling, normalise, cut_every)
 
 
 def _ranked(flow: Callable[[DataFrame], DataFrame], linked: DataFrame, nodes: DataFrame, steps: int, damping: float, seeds: DataFrame | None, dangling: str, normalise: bool, cut_every: int) -> DataFrame:
