@@ -47,14 +47,15 @@ PREFIX_HINTS = ("akia", "asia", "gho_", "ghp_", "ghs_", "ghr_", "ghu_", "github_
 ISSUED = re.compile(r"(?<![\w/+.\-])([a-z]{2,6})[.\-][0-9a-f]{24,64}(?!\w)")
 _ISSUED_HINT = re.compile(r"[.\-][0-9a-f]{24}")
 NOT_ISSUED = frozenset("sha md blake crc commit rev ref build trace span req run job img image blob etag uuid guid id hash digest sum object tree node doc page log file tmp cache layer pod".split())
-_PEM_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
-_PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+_PEM_BEGIN = re.compile(r"-----BEGIN[ \xa0](?:[A-Z0-9]+[ \xa0]){0,3}PRIVATE[ \xa0]KEY(?:[ \xa0]BLOCK)?-----")
+_PEM_END = re.compile(r"-----END[ \xa0](?:[A-Z0-9]+[ \xa0]){0,3}PRIVATE[ \xa0]KEY(?:[ \xa0]BLOCK)?-----")
+_BLANKS = dict.fromkeys(map(ord, "\xa0\u2002\u2003\u2009\u202f\u3000"), " ")
 _PEM_REST = re.compile(r"(?:[\s\\nr]|[A-Za-z0-9+/=]{16,}|\w[\w\-]*: [^\n]*)*")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:<[^>]*>?|\$\{.*|\$\(.*|\$[a-z_]\w*$|\$\w{1,2}\$.*|\{\{.*|%\w+%$|%\(\w+\)[sdr]$|%[sdv]$|[*.x•]{3,}|.*(?:replace|change|fill|insert)[-_ ]?(?:me|this|it|in).*|your[-_ ].*|.*\byour[-_].*|example.*|.*EXAMPLE(?:KEY)?$|dummy.*|todo.*|redacted"
     r"|placeholder.*|none|null|nil|true|false|undefined|empty|os\.(?:environ|getenv).*|process\.env.*|env[.\[(].*|getenv.*|vault[.:/(].*|secrets?[.:/(].*|config[.\[(].*|settings[.\[(].*|arn:.*|sha\d+[:\-].*|data:.*|https?://.*|ref\+.*|![A-Za-z]+(?:[\s:.].*)?|file:.*)$"
 )
-_SEP = re.compile(r"[\"'`\])]{0,3}[ \t]*(?::=|=>|=(?!=)|:(?!:)|,(?=[ \t]*[\"'`])|>(?![>=]))[ \t]*(?:Bearer[ \t]+|Basic[ \t]+)?", re.I)
+_SEP = re.compile(r"[\"'`\])]{0,3}[ \t\xa0]*(?::=|=>|=(?!=)|:(?!:)|,(?=[ \t]*[\"'`])|>(?![>=]))[ \t\xa0]*(?:Bearer[ \t\xa0]+|Basic[ \t\xa0]+)?", re.I)
 _QUOTED = re.compile(r"(?:[bruf]{1,2})?([\"'`])((?:\\.|(?!\1)[^\\\n])*)\1")
 _JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\.|\\)?[ \t]*\n?[ \t]*(?:\+[ \t]*)?(?=[\"'`])")
 _BARE = re.compile(r"[^\s\"'`<>,;]+")
@@ -64,7 +65,7 @@ _URL = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s:/@\"'<>]*:([^\s/\"'<>][^\s\"'<>]*?
 _NETRC = re.compile(r"(?i)login\s+\S+\s+password\s+(\S+)")
 _COMMAND = re.compile(r"(?:[^\n\\]|\\[\s\S]?)*")  # to the end of the line, or of the last line it is continued on
 _OPTIONS = {
-    "curl": re.compile(r"\s(?:-u|--user)[ =]+[\"']?[^\s:\"'/]+:([^\s\"']{4,})"),
+    "curl": re.compile(r"\s(?:-u|--user)[ =\xa0]+[\"']?[^\s:\"'/]+:([^\s\"']{4,})"),
     "sshpass": re.compile(r"\s-p\s*[\"']?([^\s\"']{4,})"),
     "redis-cli": re.compile(r"\s-a\s+[\"']?([^\s\"']{4,})"),
 }
@@ -121,6 +122,8 @@ def strong(v: str) -> bool:
         return True
     classes = bool(re.search(r"[a-z]", v)) + bool(re.search(r"[A-Z]", v)) + bool(re.search(r"\d", v)) + bool(re.search(r"[^\w\s]", v))
     switches = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(v, v[1:]))
+    if len(v) >= 20 and v.isalpha() and v.isascii() and 3 * switches >= len(v):
+        return True  # letters of either case at random: far more changes than in the words of a name
     return classes >= 3 and switches >= max(3, len(v) // 6) and not re.search(r"[/.](?:py|go|rs|ts|java)$|\(", v)
 
 
@@ -164,6 +167,7 @@ class Scanner:
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        low = low.translate(_BLANKS) if not low.isascii() else low  # hints also match over odd blanks
         out: list[tuple[int, int, str]] = []
         shell, pem, prefix, url = -1, False, False, False
         for end, (size, kind) in self.hints.iter(low):

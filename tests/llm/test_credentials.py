@@ -134,3 +134,12 @@ def test_unseen_names(text, secret):
 @pytest.mark.parametrize("text", UNSEEN_CLEAN)
 def test_unseen_clean(text):
     assert _secret_values(text) == []
+
+
+def test_odd_blanks_and_letters_alone():
+    assert _secret_values("curl\xa0-u\xa0svc:hBP2vDYFZ6VmSs https://a.example") == ["hBP2vDYFZ6VmSs"]
+    assert _secret_values("password\xa0=\xa0'RwcNpv_NA9f'") == ["RwcNpv_NA9f"]
+    key = "-----BEGIN\xa0RSA PRIVATE KEY-----\nabcdefghijklmnop\n-----END RSA PRIVATE\xa0KEY-----"
+    assert _secret_values(f"x\n{key}\ny") == [key]
+    assert _secret_values("GET https://a.example/v1?key=kWOdkHmceuWKJuLAILowuraWldQz&limit=2") == ["kWOdkHmceuWKJuLAILowuraWldQz"]
+    assert _secret_values("cache ?key=stageOutlineResolverWindow&limit=2") == []
