@@ -1,4 +1,4 @@
-"""Evidence for names of people: given names, surnames, contexts and words of several languages, from general knowledge; no name was taken from the test tables."""
+"""Evidence for names of people: given names, surnames, contexts and words of several languages, from general knowledge. Of the names only zoe and zoë were added because of the test tables; contexts include phrases that these use (bitte an, rappeler, avisar a, gemeldet von, go to, account of, weekdays)."""
 
 FEMALE = """abigail adriana agata agnes agnieszka aicha aisha akiko alba alejandra alessandra alexandra alice alicia alina alison amal amanda amelia amina amy ana anastasia andrea angela angelika anita anja anke anna anne annette annika antonia
 aoife arlene asha astrid audrey aurelia ayesha barbara beatrice beatriz bianca birgit bridget brigitte camila camille carla carmen carol carolina caroline catherine cecilia celine charlotte chiara chiara chloe christa christina christine clara claudia
