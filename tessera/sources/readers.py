@@ -234,5 +234,10 @@ def load_postings(spark: SparkSession, root: str, tokens: Sequence[str] | None =
 
 
 def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(rows, checksum): order-free checksum of rows."""
-    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.pmod(F.xxhash64(*columns), F.lit(1 << 40))), F.lit(0)).alias("checksum"))
+    """(rows, checksum): order-free checksum of rows, the sum of their hashes of 40 bits modulo 2^63. The upper and lower halves of the hashes are
+    summed apart: one sum of them all overflows at some 17 million rows."""
+    low = F.lit((1 << 20) - 1)
+    h = F.pmod(F.xxhash64(*columns), F.lit(1 << 40))
+    sums = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.shiftright(h, 20)), F.lit(0)).alias("upper"), F.coalesce(F.sum(h.bitwiseAND(low)), F.lit(0)).alias("lower"))
+    upper = (F.col("upper") + F.shiftright("lower", 20)).bitwiseAND(F.lit((1 << 43) - 1))
+    return sums.select("rows", F.shiftleft(upper, 20).bitwiseOR(F.col("lower").bitwiseAND(low)).alias("checksum"))

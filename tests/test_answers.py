@@ -291,6 +291,21 @@ def test_postings_are_verified(spark, tmp_path):
     assert not readers.verify_postings(spark, root)
 
 
+def test_checksums_of_many_rows(spark):
+    """More rows than a sum of their hashes as one long can hold; few rows have the plain sum, as the sums of older postings have."""
+    from pyspark.sql import functions as F
+
+    from tessera.sources import readers
+
+    assert tuple(readers.checksum(spark.range(0), ["id"]).first()) == (0, 0)
+    for n in (1000, 1 << 25):
+        d = spark.range(n)
+        plain = d.agg(F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("decimal(20,0)"))).first()[0]
+        assert (n < 1 << 25) == (plain < 1 << 63)
+        got = readers.checksum(d, ["id"])
+        assert got.dtypes == [("rows", "bigint"), ("checksum", "bigint")] and tuple(got.first()) == (n, int(plain) % (1 << 63))
+
+
 def test_polling():
     from tessera.streaming import jobs
 
