@@ -186,7 +186,7 @@ def saved_index(spark, sf):
     parts = {k: readers.VersionedTable(spark, f"{root}-{k}") for k in ("names", "counts")}
     if parts["counts"].current() is None:  # written last
         d = _paths(spark, sf)
-        readers.save_postings(index.postings(d, "path", T.unicode_tokens("text")), f"{root}-postings")
+        readers.save_postings(index.row_postings(d, "path", T.unicode_tokens("text")), f"{root}-postings")
         parts["names"].publish(d.select("path", F.explode(F.split(F.lower("title"), " ")).alias("name")))
         parts["counts"].publish(d.agg(F.count("*").alias("n")))
     return f"{root}-postings", parts["names"].load(), parts["counts"].load()

@@ -46,7 +46,7 @@ _IN = ", ".join(f"'{t}'" for t in TERMS)
 def postings_snapshot(spark, sf):
     """Postings saved in token buckets; the query's tokens read their buckets only."""
     at = _place(spark, "postings")
-    readers.save_postings(index.postings(table(spark, sf, "documents").where(F.col("text").isNotNull()), "doc_id", T.index_tokens("text")), at)
+    readers.save_postings(index.row_postings(table(spark, sf, "documents").where(F.col("text").isNotNull()), "doc_id", T.index_tokens("text")), at)
     return readers.load_postings(spark, at, TERMS)
 
 

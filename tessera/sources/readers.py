@@ -205,10 +205,13 @@ def open_or_refresh(stored: VersionedTable, manifest: DataFrame | None, disk: Da
     return stored.load(), True
 
 
-def save_postings(post: DataFrame, root: str, buckets: int = 64) -> int:
-    """Publish postings in buckets by token, so a query's tokens read a few buckets only; returns the generation."""
+def save_postings(post: DataFrame, root: str, buckets: int = 64, parts: int | None = None) -> int:
+    """Publish postings in buckets by token, so a query's tokens read a few buckets only; returns the generation. Each task writes its own files of
+    the buckets, so nothing is shuffled; there are at most ``parts`` tasks (else four for each core), which bounds the files. ``load_postings`` adds up
+    what several rows have of a document and token."""
     t = VersionedTable(post.sparkSession, root)
-    generation = t.publish(post.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).repartition("bucket"), ["bucket"])
+    parts = parts or 4 * post.sparkSession.sparkContext.defaultParallelism
+    generation = t.publish(post.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).coalesce(parts), ["bucket"])
     checksum(t.load(), sorted(post.columns)).write.parquet(f"{root}/sums/g-{generation}")
     return generation
 
@@ -230,7 +233,7 @@ def load_postings(spark: SparkSession, root: str, tokens: Sequence[str] | None =
         # literals: Spark folds the hashes into partition values while it plans, so no job runs for them
         wanted = [F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in tokens]
         post = post.where(F.col("bucket").isin(*wanted) & F.col("token").isin(*tokens))
-    return post.drop("bucket")
+    return post.groupBy(*[c for c in post.columns if c not in ("bucket", "tf")]).agg(F.sum("tf").alias("tf"))
 
 
 def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:

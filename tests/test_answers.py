@@ -291,10 +291,27 @@ def test_postings_are_verified(spark, tmp_path):
     assert not readers.verify_postings(spark, root)
 
 
+def test_postings_are_saved_without_a_shuffle(spark, tmp_path):
+    """Counted by row and written from there; rows of one document are added up when they are read."""
+    from tessera.functions import text as T
+    from tessera.operators import index
+    from tessera.sources import readers
+
+    rows = [(1, "b a b  B c"), (2, ""), (3, None), (4, "zz"), (1, "a a"), (None, "a É é e\u0301"), (5, "?!"), (6, "ab " * 3000)]
+    d = spark.createDataFrame(rows, "id bigint, t string").repartition(3)
+    post = index.row_postings(d, "id", T.unicode_tokens("t"))
+    assert "Exchange" not in index.row_postings(spark.range(9).select("id", F.lit("a").alias("t")), "id", T.unicode_tokens("t"))._jdf.queryExecution().executedPlan().toString()
+    assert post.dtypes == [("doc", "bigint"), ("token", "string"), ("tf", "bigint")] and post.count() == 9
+    readers.save_postings(post, str(tmp_path / "p"), parts=2)
+    want = index.postings(d, "id", T.unicode_tokens("t"))
+    key = lambda r: (r["doc"] or 0, r["token"])
+    assert sorted(readers.load_postings(spark, str(tmp_path / "p")).collect(), key=key) == sorted(want.collect(), key=key)
+    got = readers.load_postings(spark, str(tmp_path / "p"), ["a", "none"])
+    assert sorted((r["doc"] or 0, r["token"], r["tf"]) for r in got.collect()) == [(0, "a", 1), (1, "a", 3)] and readers.verify_postings(spark, str(tmp_path / "p"))
+
+
 def test_checksums_of_many_rows(spark):
     """More rows than a sum of their hashes as one long can hold; few rows have the plain sum, as the sums of older postings have."""
-    from pyspark.sql import functions as F
-
     from tessera.sources import readers
 
     assert tuple(readers.checksum(spark.range(0), ["id"]).first()) == (0, 0)
